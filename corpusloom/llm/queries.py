@@ -2,9 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 from .tables import read_table
 
 
@@ -23,8 +25,21 @@ FROM t WINDOW g AS (PARTITION BY text)
 """
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id",
+        "bpe.n_tokens",
+        F.sha2("bpe.ids", 256).alias("ids_sha256"),
+        F.sha2("bpe.decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {
+        "op4_exact_dedup": op4_exact_dedup,
+        "op8_bpe": op8_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
