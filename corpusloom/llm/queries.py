@@ -3,10 +3,10 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality
+from . import bpe, exact_dedup, packing, pii, quality
 from .tables import read_table
 
 
@@ -46,12 +46,30 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def spans_text(spans: str) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(of_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(spans_text("pii.base"), 256).alias("base_sha256"),
+        spans_text("pii.spans").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
         "op8_bpe": op8_bpe,
         "op3_packing": op3_packing,
         "op2_quality": op2_quality,
+        "op1_pii": op1_pii,
     }
 
 
