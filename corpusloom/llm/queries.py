@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dup, packing, pii, quality
+from . import ann, bpe, exact_dedup, near_dup, packing, pii, quality
 from .tables import read_table
 
 
@@ -67,6 +67,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.ngram_join(read_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op1_pii": op1_pii,
         "op5_ngram_join": op5_ngram_join,
+        "op10_nearest": op10_nearest,
     }
 
 
