@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, near_dup, packing, pii, quality
+from . import ann, bpe, exact_dedup, near_dup, packing, pii, quality, suffix_dedup
 from .tables import read_table
 
 
@@ -71,6 +71,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("repeats.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("repeats.spans").cast("long").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
@@ -80,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op5_ngram_join": op5_ngram_join,
         "op10_nearest": op10_nearest,
+        "op7_suffix_dedup": op7_suffix_dedup,
     }
 
 
