@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, near_dup, packing, pii, quality, suffix_dedup
+from . import ann, bpe, exact_dedup, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
 from .tables import read_table
 
 
@@ -83,6 +83,71 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# `pages` as web captures, in SQL that Spark and DuckDB read alike: every page is a full response and, an hour
+# later under another spelling of its URL, a not-modified revisit. Validators agree, differ or are missing by id.
+CAPTURES = """
+SELECT 2 * page_id AS record_id, url, 60 * page_id AS ts, 'response' AS kind, 200 AS http_status,
+       CASE WHEN page_id % 7 <> 3 THEN concat('"', substr(md5(html), 1, 16), '"') END AS etag,
+       CASE WHEN page_id % 5 <> 4 THEN concat('day ', cast(page_id % 11 AS string)) END AS last_modified,
+       'text/html' AS content_type, cast(length(html) AS string) AS content_length,
+       cast(NULL AS string) AS cache_control
+FROM pages
+UNION ALL
+SELECT 2 * page_id + 1, concat(replace(url, '.example.', '.EXAMPLE.'), '#seen'), 60 * page_id + 3600, 'revisit', 304,
+       CASE WHEN page_id % 4 = 1 THEN concat('W/"', substr(md5(html), 1, 16), '"')
+            WHEN page_id % 4 = 2 THEN '"changed"' END,
+       CASE WHEN page_id % 3 <> 2 THEN concat('day ', cast(page_id % 11 AS string)) END,
+       'text/plain', '0', concat('max-age=', cast(page_id % 600 AS string))
+FROM pages
+"""
+HEADERS = ("etag", "last_modified", "content_type", "content_length", "cache_control")
+
+
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}"), pages=read_table(spark, sf_dir, "pages"))
+    named = F.map_from_arrays(F.array(*(F.lit(h.replace("_", "-")) for h in HEADERS)), F.array(*HEADERS))
+    records = captures.withColumn("headers", F.map_filter(named, lambda _, value: value.isNotNull()))
+    line = lambda e: F.concat_ws(": ", e["key"], e["value"])
+    found = warc.resolve_revisits(records)
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), line), "\n")
+    return found.select("record_id", "url", "refers_to", "status", lines.alias("headers"))
+
+
+OP6_SQL = f"""
+WITH captures AS ({CAPTURES.replace("AS string", "AS varchar")}),
+plain AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS p FROM captures),
+rows_ AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(p, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*', ''),
+       '([?&])(?:utm_[A-Za-z]*=[^&]*&?)+', '\\1', 'g'), '[?&]$', ''), '/$', '') AS canon
+  FROM plain),
+asof_ AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {{'id': record_id, 'etag': etag, 'lm': last_modified,
+      'ct': content_type, 'cl': content_length}} END IGNORE NULLS)
+    OVER (PARTITION BY canon ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
+  FROM rows_),
+checked AS (
+  SELECT *, CASE WHEN r IS NULL THEN 'orphan' ELSE
+      CASE coalesce(regexp_replace(etag, '^W/', '') = r.etag, last_modified = r.lm)
+        WHEN true THEN 'resolved' WHEN false THEN 'mismatch' ELSE 'unchecked' END END AS status
+  FROM asof_ WHERE kind = 'revisit'),
+merged AS (
+  SELECT *, status IN ('resolved', 'unchecked') AS m FROM checked)
+SELECT record_id, canon AS url, r.id AS refers_to, status,
+  concat_ws(chr(10), 'cache-control: ' || cache_control,
+    'content-length: ' || CASE WHEN m THEN r.cl ELSE content_length END,
+    'content-type: ' || CASE WHEN m THEN r.ct ELSE content_type END,
+    'etag: ' || CASE WHEN m THEN coalesce(etag, r.etag) ELSE etag END,
+    'last-modified: ' || CASE WHEN m THEN coalesce(last_modified, r.lm) ELSE last_modified END) AS headers
+FROM merged
+"""
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "page.title", "page.text", F.length("page.text").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
@@ -93,8 +158,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": op5_ngram_join,
         "op10_nearest": op10_nearest,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op6_revisits": op6_revisits,
+        "op9_html": op9_html,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {
+        "op4_exact_dedup": OP4_SQL,
+        "op6_revisits": OP6_SQL,
+    }
