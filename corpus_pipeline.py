@@ -1,3 +1,58 @@
-"""A training-data pipeline over documents: STAGES, run() and ORACLE_SQL."""
+"""A training-data pipeline over documents: low quality out, copies out, personal data masked, the rest packed.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept. All but the
+last return the columns of `documents`; the last returns the pieces of the packed sequences. No SQL can say
+the learned stages, so the pipeline is tested against a plain version of itself (tests/llm).
+"""
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import exact_dedup, near_dup, packing, pii, quality
+from corpusloom.llm.tables import materialise, read_table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 1."""
+    scored = quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, the one with the largest id."""
+    return exact_dedup.drop_exact(docs, keep="max")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by similar word 5-grams, the one with the least id."""
+    return near_dup.drop_near(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("exact", drop_copies),
+    ("near", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

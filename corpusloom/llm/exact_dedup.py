@@ -27,15 +27,9 @@ def exact_groups(
     the group are null. Of rows that repeat the same winning id each is marked kept: they are the same row.
     An empty table gives an empty result. Extra columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
-    best = F.max("_id") if keep == "max" else F.min("_id")
-    groups = (
-        rows.groupBy(hash_of(F.col("_text")).alias("_h"), "_text")
-        .agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.col("_h").alias("_gh"), F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
     marks = rows.select("_id", hash_of(F.col("_text")).alias("_h"), F.sha2("_text", 256).alias("_sha"))
+    groups = equal_texts(rows, keep, hash_of)
     return marks.join(groups, (F.col("_h") == F.col("_gh")) & (F.col("_sha") == F.col("text_sha256"))).select(
         F.col("_id").alias(id_col),
         "keep_id",
@@ -45,7 +39,29 @@ def exact_groups(
     )
 
 
+def text_of(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+
+
+def equal_texts(rows: DataFrame, keep: str, hash_of) -> DataFrame:
+    """(_gh, text_sha256, keep_id, group_size) of each distinct text of (_id, _text) rows."""
+    best = F.max("_id") if keep == "max" else F.min("_id")
+    groups = rows.groupBy(hash_of(F.col("_text")).alias("_h"), "_text").agg(
+        best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    )
+    return groups.select(F.col("_h").alias("_gh"), F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
+
+
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """docs without the rows that exact_groups() marks as copies; all columns stay. Ids must be unique."""
-    drop = exact_groups(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias("_drop_id"))
-    return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti")
+    """docs with one row of each distinct text, that of the smallest or largest id; all columns stay.
+
+    Of rows that repeat both id and text any one stays. Rows find their group by its digests and the id that
+    stays, so a large group is spread over its ids and only one row of it passes the join.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
+    groups = equal_texts(rows, keep, content_hash).drop("group_size")
+    text = text_of(text_col)
+    marked = docs.withColumns({"_h": content_hash(text), "_sha": F.sha2(text, 256)})
+    same = (F.col("_h") == F.col("_gh")) & (F.col("_sha") == F.col("text_sha256"))
+    kept = marked.join(groups, same & F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")))
+    return kept.dropDuplicates(["_h", "_sha", id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -317,7 +317,10 @@ def verified(loaded: DataFrame, forest: Forest, similarity: float) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of linked texts, that of the least id; all columns stay. Ids must be unique."""
+    """docs with one row of each class of linked texts, that of the least id; all columns stay.
+
+    Rows that share an id go only if each of them is linked to a lesser id. Rows without an id stay.
+    """
     classes = ngram_join(docs, id_col, text_col, **options)
-    drop = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_drop_id"))
-    return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti")
+    drop = classes.groupBy(F.col(id_col).alias("_drop_id")).agg(F.every(F.col(id_col) != F.col("class_id")).alias("_drop"))
+    return docs.join(drop.where("_drop").drop("_drop"), docs[id_col] == F.col("_drop_id"), "left_anti")

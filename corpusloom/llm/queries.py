@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": op7_suffix_dedup,
         "op6_revisits": op6_revisits,
         "op9_html": op9_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 
