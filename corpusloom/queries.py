@@ -1,9 +1,664 @@
-"""All queries over the generated tables outside the llm subpackage."""
+"""Queries over the generated tables, one for each operator, and the same in SQL that DuckDB runs.
 
+The tables hold no Chinese text, so operators that look for it run with another character class or label.
+Floating point results are rounded to six digits, since engines add in different orders.
+"""
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from .functions import text as tx
+from .functions import vectors as vx
+from .operators import attention, dialogue, experiments, filters, metrics, sampling, tokens
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Unicode white space for RE2.
+WS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]"
+STRIP = lambda x: f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+NL = "chr(10)"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: long_ints(f(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def long_ints(df: DataFrame) -> DataFrame:
+    """Integer columns as bigint, the type that SQL engines count in."""
+    return df.select(*(F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      text || ' `x y` ```a' || {NL} || 'b``` https://ex.org/a?b=1 C:\\\\\\\\dir\\\\f.txt /home/me/x.py' || chr(1) || ' end ',
+      '```.*?```', ' ', 'gs'), '`[^`\\n]{{1,80}}`', ' ', 'g'), 'https?://[^\\s]+', ' ', 'g'),
+      '[Cc]:\\\\\\\\[\\w.\\\\]+|[\\\\/](?:home|Users|root|tmp)[\\\\/][\\w./-]*', ' ', 'g'),
+      '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '{WS}+', ' ', 'g')) AS cleaned FROM documents"""
+)
+def strip_noise(spark, sf_dir):
+    noise = F.lit(" `x y` ```a\nb``` https://ex.org/a?b=1 C:\\\\\\\\dir\\\\f.txt /home/me/x.py\x01 end ")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_noise(F.concat("text", noise)).alias("cleaned"))
+
+
+@query(
+    f"""SELECT doc_id, length(regexp_replace(text, '{WS}', '', 'g')) AS n_chars,
+      round(length(regexp_replace(text, '[^a-z]', '', 'g')) / nullif(length(regexp_replace(text, '{WS}', '', 'g')), 0)::double, 6) AS class_ratio,
+      round((length(text) - length(regexp_replace(text, '{WS}', '', 'g'))) / length(text)::double, 6) AS space_ratio
+    FROM documents"""
+)
+def char_stats(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        tx.char_len(text).alias("n_chars"),
+        F.round(tx.class_ratio(text, "[a-z]"), 6).alias("class_ratio"),
+        F.round(tx.whitespace_ratio(text), 6).alias("space_ratio"),
+    )
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, turn), '{WS}', '', 'g') AS b FROM conversations)
+    SELECT conv_id, turn, b = '' OR regexp_full_match(b, '[，。！？；：、,.!?;:…—''"()\\[\\]{{}}-]*')
+      OR (length(b) > 2 AND len(list_distinct(string_split(b, ''))) = 1) AS degenerate FROM t"""
+)
+def degenerate_flag(spark, sf_dir):
+    head = F.substring("text", F.lit(1), F.col("turn").cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_degenerate(head).alias("degenerate"))
+
+
+def grams_sql(n: int) -> str:
+    gram = " || ".join(["c"] + [f"lead(c, {k}) OVER w" for k in range(1, n)])
+    return f"""WITH d AS (SELECT doc_id, regexp_replace(text, '{WS}', '', 'g') AS t FROM documents),
+    c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS p FROM d WHERE t <> ''),
+    g AS (SELECT doc_id, {gram} AS g FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    k AS (SELECT doc_id, g, count(*) AS n FROM g WHERE g IS NOT NULL GROUP BY ALL)"""
+
+
+def repetition_sql(n: int) -> str:
+    return f"""{grams_sql(n)}, s AS (SELECT doc_id, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n)::double AS r FROM k GROUP BY 1)
+    SELECT d.doc_id, round(CASE WHEN length(t) < {2 * n} THEN 0 ELSE coalesce(r, 0) END, 6) AS repetition FROM d LEFT JOIN s USING (doc_id)"""
+
+
+def distinct_sql(n: int) -> str:
+    return f"""{grams_sql(n)}, s AS (SELECT doc_id, count(*) / sum(n)::double AS r FROM k GROUP BY 1)
+    SELECT d.doc_id, round(coalesce(r, 0), 6) AS distinct_share FROM d LEFT JOIN s USING (doc_id)"""
+
+
+def ngram_queries() -> None:
+    def repetition(n):
+        return lambda spark, sf_dir: metrics.ngram_repetition(table(spark, sf_dir, "documents"), n).withColumn(
+            "repetition", F.round("repetition", 6)
+        )
+
+    def distinct(n):
+        return lambda spark, sf_dir: metrics.distinct_n(table(spark, sf_dir, "documents"), n).select(
+            "doc_id", F.round("distinct", 6).alias("distinct_share")
+        )
+
+    for n in (2, 3, 4):
+        QUERIES[f"ngram_rep{n}"], ORACLES[f"ngram_rep{n}"] = repetition(n), repetition_sql(n)
+    for n in (1, 2):
+        QUERIES[f"distinct{n}"], ORACLES[f"distinct{n}"] = distinct(n), distinct_sql(n)
+
+
+ngram_queries()
+
+# --- dialogue -------------------------------------------------------------------------------------------------
+
+RENDERED = f"""said AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '用户：' WHEN 'assistant' THEN '模型：' END
+      || {STRIP("coalesce(text, '')")} AS line FROM conversations WHERE role IN ('user', 'assistant') AND {STRIP("coalesce(text, '')")} <> ''),
+    blocks AS (SELECT conv_id, count(*) AS n_turns, string_agg(line, {NL} ORDER BY turn) AS block FROM said GROUP BY 1)"""
+
+
+@query(f"WITH {RENDERED} SELECT * FROM blocks")
+def render_dialogue(spark, sf_dir):
+    return dialogue.render(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    f"""WITH {RENDERED}, n AS (SELECT conv_id, block, len(regexp_extract_all(block, '用户[:：]')) AS u, len(regexp_extract_all(block, '模型[:：]')) AS m FROM blocks)
+    SELECT conv_id, u AS n_user, m AS n_model, greatest(u, m) AS turns,
+      u + m >= 2 AND (contains(block, '模型') OR contains(lower(block), 'model')) AS has_structure FROM n"""
+)
+def turn_structure(spark, sf_dir):
+    found = dialogue.render(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", tx.turn_structure(F.col("block")).alias("s")).select("conv_id", "s.*")
+
+
+@query(
+    f"""WITH {RENDERED},
+    l AS (SELECT conv_id, unnest(string_split(block, {NL})) AS line, generate_subscripts(string_split(block, {NL}), 1) AS p FROM blocks),
+    e AS (SELECT *, starts_with({STRIP("line")}, '模型：') AS opens, {STRIP("line")} = '' OR starts_with({STRIP("line")}, '用户：') OR starts_with({STRIP("line")}, '模型：') AS stops FROM l),
+    o AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN true WHEN stops THEN false END IGNORE NULLS)
+      OVER (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS open,
+      row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1 AS at_end FROM e),
+    x AS (SELECT conv_id, p, 0 AS k, '<eos>' AS line FROM o WHERE open AND stops
+      UNION ALL SELECT conv_id, p, 1, line FROM o WHERE line <> ''
+      UNION ALL SELECT conv_id, p, 2, '<eos>' FROM o WHERE at_end AND coalesce(CASE WHEN opens THEN true WHEN stops THEN false END, open))
+    SELECT conv_id, string_agg(line, {NL} ORDER BY p, k) AS block FROM x GROUP BY 1"""
+)
+def insert_eos(spark, sf_dir):
+    return dialogue.insert_eos(dialogue.render(table(spark, sf_dir, "conversations")), ["conv_id"])
+
+
+@query(
+    f"""WITH {RENDERED} SELECT conv_id, CASE WHEN contains(block, {NL} || '用户：') THEN left(block, instr(block, {NL} || '用户：') - 1)
+      WHEN contains(block, {NL} || '模型：') THEN left(block, instr(block, {NL} || '模型：') - 1) ELSE block END AS text FROM blocks"""
+)
+def truncate_turn(spark, sf_dir):
+    found = dialogue.render(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", tx.truncate_at_turn(F.col("block")).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_extract(text, '^(.*[.!?])', 1, 's') <> '' THEN regexp_extract(text, '^(.*[.!?])', 1, 's') ELSE text END AS text FROM documents""")
+def clip_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clip_sentence(F.col("text"), ".!?").alias("text"))
+
+
+PAIRED = """kinds AS (SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN role = 'user' THEN CASE WHEN coalesce(text, '') <> '' THEN 'user' ELSE 'bad_user' END
+      WHEN role = 'assistant' AND coalesce(text, '') <> '' THEN 'reply' END AS kind FROM conversations),
+    lagged AS (SELECT *, lag(kind) OVER w AS lk, lag(text) OVER w AS lt FROM kinds WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    pairs AS (SELECT conv_id, turn, lt AS user_, text AS asst FROM lagged WHERE kind = 'reply' AND lk = 'user')"""
+
+
+@query(f'WITH {PAIRED} SELECT conv_id, turn, user_ AS "user", asst FROM pairs')
+def pair_turns(spark, sf_dir):
+    return dialogue.pair_turns(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE role IN ('user', 'assistant') AND text <> '')
+    SELECT u.conv_id, u.nth, u.text AS "user", a.text AS asst FROM n u JOIN n a ON u.conv_id = a.conv_id AND u.nth = a.nth WHERE u.role = 'user' AND a.role = 'assistant'"""
+)
+def pair_zip(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant') and text <> ''")
+    kind = F.when(F.col("role") == "user", "user").otherwise("chunk")
+    said = c.select(F.col("conv_id").alias("session"), (F.col("turn") * 2).alias("seq"), kind.alias("kind"), "turn", F.lit(0).alias("idx"), "text")
+    ends = said.where("kind = 'chunk'").select("session", (F.col("seq") + 1).alias("seq"), F.lit("end").alias("kind"), "turn", "idx", F.lit(None).alias("text"))
+    return dialogue.session_pairs(said.union(ends)).withColumnRenamed("session", "conv_id").withColumn("nth", F.col("nth").cast("long"))
+
+
+# --- filters and sampling -------------------------------------------------------------------------------------
+
+LIMITS = filters.Limits(max_user=400, max_assistant=700, max_combined=900, least_ratio=0.8, character_class="[a-z]")
+BARE = lambda x: f"regexp_replace({x}, '{WS}', '', 'g')"
+CLEANED = lambda x: f"trim(regexp_replace(regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '{WS}+', ' ', 'g'))"
+DEGENERATE = lambda b: f"({b} = '' OR regexp_full_match({b}, '[，。！？；：、,.!?;:…—''\"()\\[\\]{{}}-]*') OR (length({b}) > 2 AND len(list_distinct(string_split({b}, ''))) = 1))"
+JUDGED = f"""{PAIRED},
+    cleaned AS (SELECT conv_id, turn, {CLEANED("user_")} AS u, {CLEANED("asst")} AS a FROM pairs WHERE user_ <> '' AND asst <> ''),
+    sized AS (SELECT *, length({BARE("u")}) AS nu, length({BARE("a")}) AS na, {BARE("u")} AS bu, {BARE("a")} AS ba FROM cleaned),
+    judged AS (SELECT *, CASE WHEN length(u) < 3 OR length(a) < 6 THEN 'too_short'
+      WHEN u IN ('继续', '好', '好的', '可以', '嗯', '对', '行', 'ok', 'okay', '继续吧', '然后呢', '然后', '是的', '对的', '好呀', '接着说') OR (length(u) <= 3 AND contains(u, '继续')) THEN 'stopword_user'
+      WHEN nu > 400 OR na > 700 OR nu + na > 900 THEN 'too_long'
+      WHEN length(regexp_replace(bu || ba, '[^a-z]', '', 'g')) / nullif(nu + na, 0)::double < 0.8 THEN 'low_ratio'
+      WHEN {DEGENERATE("bu")} OR {DEGENERATE("ba")} THEN 'degenerate'
+      WHEN u = a OR (length(u) >= 6 AND contains(a, u)) THEN 'echo' END AS r FROM sized),
+    final AS (SELECT conv_id, turn, u, a, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY u, a, r ORDER BY conv_id, turn) > 1 THEN 'dup' ELSE r END AS drop_reason FROM judged)"""
+
+
+def judged(spark, sf_dir):
+    return filters.filter_pairs(dialogue.pair_turns(table(spark, sf_dir, "conversations")), ["conv_id", "turn"], LIMITS)
+
+
+@query(f'WITH {JUDGED} SELECT conv_id, turn, u AS "user", a AS asst, drop_reason FROM final')
+def filter_cascade(spark, sf_dir):
+    return judged(spark, sf_dir)
+
+
+@query(f"WITH {JUDGED} SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM final GROUP BY 1")
+def drop_reasons(spark, sf_dir):
+    return filters.drop_counts(judged(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedup_exact(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return filters.first_of_equals(docs, [F.col("text")], ["doc_id"]).select("doc_id", "source")
+
+
+def ranked_sql(seed: str) -> str:
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('{seed}|' || source || '|' || doc_id), doc_id) AS rn,
+      count(*) OVER (PARTITION BY source) AS n FROM documents)"""
+
+
+@query(f"WITH {ranked_sql('1337')} SELECT doc_id, source, CASE WHEN rn <= floor(n * 9 / 10) THEN 'train' ELSE 'val' END AS split FROM r")
+def split_90_10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.split(docs, ["source"], ["doc_id"])
+
+
+@query(
+    f"""WITH {ranked_sql('1338')}, q AS (SELECT *, CASE WHEN starts_with(source, 'src1') THEN 0.25 WHEN starts_with(source, 'src') THEN 0.5 ELSE 1 END AS q FROM r)
+    SELECT doc_id, source FROM q WHERE q >= 1 OR rn <= greatest(1, floor(n * q))"""
+)
+def source_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    ratio = sampling.ratio_for(F.col("source"), [("src", 0.5), ("src1", 0.25)])
+    return sampling.down_sample(docs, ratio, ["source"], ["doc_id"], seed=1338)
+
+
+@query(
+    f"""WITH {ranked_sql('1339')}, q AS (SELECT *, CASE WHEN lang = 'de' THEN 0.0 WHEN lang = 'fr' THEN 1.0 ELSE 0.25 END AS q FROM r)
+    SELECT doc_id, lang FROM q WHERE q >= 1 OR (q > 0 AND rn <= greatest(1, floor(n * q)))"""
+)
+def task_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    ratio = F.when(F.col("lang") == "de", 0.0).when(F.col("lang") == "fr", 1.0).otherwise(0.25)
+    return sampling.down_sample(docs, ratio, ["source"], ["doc_id"], seed=1339).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, left(text, (length(text) * 9 // 10)::int) AS train, substr(text, (length(text) * 9 // 10)::int + 1) AS val FROM documents")
+def char_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", sampling.char_split(F.col("text")).alias("s")).select("doc_id", "s.train", "s.val")
+
+
+@query(
+    f"""WITH {RENDERED},
+    l AS (SELECT conv_id, string_split(block, {NL}) AS ls, unnest(string_split(block, {NL})) AS line, generate_subscripts(string_split(block, {NL}), 1) - 1 AS p FROM blocks),
+    u AS (SELECT * FROM l WHERE p > 0 AND starts_with(line, '用户：') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY md5('1337|' || conv_id || '|' || p), p) = 1)
+    SELECT conv_id, array_to_string(ls[1:p + 1], {NL}) || {NL} || '模型：' AS prompt FROM u"""
+)
+def prompt_sample(spark, sf_dir):
+    return sampling.sample_prompts(dialogue.render(table(spark, sf_dir, "conversations")), ["conv_id"], tx.USER, tx.MODEL)
+
+
+@query(
+    """SELECT event_id, CASE WHEN ('0x' || left(md5('1337|' || event_id), 8))::bigint % 10000 < 3000 THEN 'second' ELSE 'first' END AS source FROM events"""
+)
+def mix_schedule(spark, sf_dir):
+    return sampling.mix_schedule(table(spark, sf_dir, "events").select("event_id"), "event_id", 0.3)
+
+
+# --- tokens ---------------------------------------------------------------------------------------------------
+
+VOCAB = "vocab AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''))"
+
+
+@query(f"WITH {VOCAB} SELECT * FROM vocab")
+def char_vocab(spark, sf_dir):
+    return tokens.char_vocab(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""WITH {VOCAB}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')
+    SELECT doc_id, count(*) AS n_ids, sum(id)::bigint AS id_sum FROM c JOIN vocab USING (ch) GROUP BY 1"""
+)
+def char_encode_len(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = tokens.char_encode(docs, tokens.char_vocab(docs))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), total.alias("id_sum"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, list_transform(string_split(left(text, 200), ''), lambda c: ord(c)) AS ids FROM documents WHERE text <> ''),
+    w AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids) - 64, 0), 32)) AS s FROM d)
+    SELECT doc_id, s // 32 AS "window", array_to_string(ids[s + 1:s + 64], ' ') AS x, array_to_string(ids[s + 2:s + 65], ' ') AS y FROM w"""
+)
+def token_windows(spark, sf_dir):
+    chars = F.transform(F.split(F.substring("text", 1, 200), ""), lambda c: F.ascii(c))
+    streams = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", chars.alias("ids"))
+    found = tokens.windows(streams, ["doc_id"], "ids", 64, 32)
+    return found.select("doc_id", "window", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, unnest(string_split(left(text, 400), '')) AS c, generate_subscripts(string_split(left(text, 400), ''), 1) - 1 AS pos FROM documents WHERE text <> ''),
+    e AS (SELECT doc_id, pos, ord(c) AS tok, lead(ord(c)) OVER w AS nx, lag(ord(c)) OVER w AS pv FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    m AS (SELECT *, CASE WHEN tok = 116 AND nx = 104 THEN 'open' WHEN tok = 97 AND nx = 110 THEN 'turn' WHEN tok = 46 AND nx = 32 THEN 'blank' END AS at_,
+      CASE WHEN pv = 116 AND tok = 104 THEN true WHEN pv = 97 AND tok = 110 THEN true WHEN pv = 46 AND tok = 32 THEN false END AS second FROM e)
+    SELECT doc_id, pos, coalesce(CASE WHEN at_ IN ('open', 'turn') THEN true WHEN at_ = 'blank' THEN false END, second,
+      last_value(CASE WHEN at_ = 'open' THEN true WHEN at_ IS NOT NULL THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS mask FROM m"""
+)
+def loss_mask(spark, sf_dir):
+    chars = F.posexplode(F.split(F.substring("text", 1, 400), "")).alias("pos", "c")
+    stream = table(spark, sf_dir, "documents").select("doc_id", chars).where("c <> ''")
+    stream = stream.select("doc_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").alias("tok"))
+    found = tokens.loss_mask(stream, ["doc_id"], (116, 104), ((97, 110),), (46, 32))
+    return found.select("doc_id", "pos", "mask")
+
+
+@query("""SELECT source, lang, count(*) AS n_docs, sum(length(text))::bigint AS n_chars, round(sum(length(text)) / count(*)::double, 6) AS mean_chars FROM documents GROUP BY ALL""")
+def corpus_totals(spark, sf_dir):
+    found = metrics.corpus_totals(table(spark, sf_dir, "documents"), ["source", "lang"])
+    return found.withColumn("mean_chars", F.round("mean_chars", 6))
+
+
+@query(
+    """WITH g AS (SELECT lang, source, CASE WHEN instr(text, '.') > 0 THEN instr(text, '.') - 1 END AS eos_pos, len(string_split(text, chr(10))) AS turns FROM documents)
+    SELECT lang, count(*) AS n, count(eos_pos) AS eos_hits, round(count(eos_pos) / count(*)::double, 6) AS eos_rate,
+      round(coalesce(sum(eos_pos), 0) / greatest(count(eos_pos), 1)::double, 6) AS mean_eos_pos, count(*) FILTER (turns >= 2) AS multi_turn FROM g GROUP BY 1"""
+)
+def eos_summary(spark, sf_dir):
+    at = F.instr("text", ".")
+    rows = table(spark, sf_dir, "documents").select("lang", F.when(at > 0, at - 1).alias("eos_pos"), F.size(F.split("text", "\n")).alias("turns"))
+    found = metrics.eos_summary(rows, ["lang"])
+    return found.withColumns({c: F.round(c, 6) for c in ("eos_rate", "mean_eos_pos")})
+
+
+# --- experiments ----------------------------------------------------------------------------------------------
+
+SERIES = """days AS (SELECT event_type AS arm, cast(ts AS date) AS day, round(avg(value), 6) AS val_loss, round(min(value), 6) AS train_loss FROM events GROUP BY 1, 2),
+    series AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY day) - 1 AS step, val_loss, train_loss FROM days)"""
+
+
+def series(spark, sf_dir):
+    return spark.sql(f"WITH {SERIES.replace('FROM events', 'FROM {events}')} SELECT * FROM series", events=table(spark, sf_dir, "events"))
+
+
+SUMMARY = """summary AS (SELECT arm, count(*) AS n_rows, min(step) AS first_step, max(step) AS last_step, min(val_loss) AS best_val,
+      arg_min(step, val_loss * 1e6 + step / 1e4) AS best_step, arg_max(val_loss, step) AS last_val FROM series GROUP BY 1)"""
+
+
+@query(f"WITH {SERIES}, {SUMMARY} SELECT * FROM summary")
+def results_summary(spark, sf_dir):
+    return experiments.summarize(series(spark, sf_dir))
+
+
+@query(f"WITH {SERIES}, {SUMMARY} SELECT arm, best_val, row_number() OVER (ORDER BY best_val NULLS LAST, arm) AS rank FROM summary")
+def exp_rank(spark, sf_dir):
+    return experiments.rank_arms(experiments.summarize(series(spark, sf_dir))).select("arm", "best_val", F.col("rank").cast("long").alias("rank"))
+
+
+BEST = """best AS (SELECT *, coalesce(least(1e9, min(val_loss) OVER (PARTITION BY arm ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1e9) AS prev_best FROM series)"""
+
+
+@query(f"WITH {SERIES}, {BEST} SELECT arm, step, val_loss, prev_best, val_loss < prev_best AND step > 0 AS is_best FROM best")
+def running_best(spark, sf_dir):
+    return experiments.running_best(series(spark, sf_dir)).select("arm", "step", "val_loss", "prev_best", "is_best")
+
+
+@query(
+    f"""WITH {SERIES}, {BEST}, g AS (SELECT *, val_loss < prev_best - 0.01 AS gain FROM best WHERE step >= 2),
+    i AS (SELECT *, sum(gain::int) OVER (PARTITION BY arm ORDER BY step) AS island FROM g),
+    r AS (SELECT *, sum((NOT gain)::int) OVER (PARTITION BY arm, island ORDER BY step) AS run FROM i)
+    SELECT arm, min(step) FILTER (run >= 3) AS stop_step FROM r GROUP BY 1"""
+)
+def early_stop(spark, sf_dir):
+    return experiments.early_stop(series(spark, sf_dir), min_steps=2, least_gain=0.01)
+
+
+@query(
+    f"""WITH {SERIES}, n AS (SELECT *, max(step) OVER (PARTITION BY arm) AS last FROM series)
+    SELECT arm, round(sum(val_loss * CASE WHEN step = 0 THEN pow(0.9, last) ELSE 0.1 * pow(0.9, last - step) END), 6) AS ema FROM n GROUP BY 1"""
+)
+def ema_fold(spark, sf_dir):
+    return experiments.ema(series(spark, sf_dir), "val_loss").withColumn("ema", F.round("ema", 6))
+
+
+@query(
+    """SELECT i AS step, round(CASE WHEN i < 100 THEN 6e-4 * (i + 1) / 101 WHEN i > 2000 THEN 6e-5
+      ELSE 6e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 1900)) * (6e-4 - 6e-5) END, 12) AS lr FROM range(0, 2500) t(i)"""
+)
+def lr_schedule(spark, sf_dir):
+    lr = experiments.learning_rate(F.col("id"), 6e-4, 6e-5, 100, 2000)
+    return spark.range(2500).select(F.col("id").alias("step"), F.round(lr, 12).alias("lr"))
+
+
+@query(
+    f"""WITH {SERIES}, t AS (SELECT arm, arg_max(val_loss, step) AS last_val, min(val_loss) AS best_val, min(val_loss) - arg_min(val_loss, step) AS delta_val FROM series GROUP BY 1),
+    b AS (SELECT * FROM t WHERE arm = 'click')
+    SELECT t.arm, t.last_val, t.best_val, round(t.delta_val, 6) AS delta_val, round(t.last_val - b.last_val, 6) AS last_delta, round(t.best_val - b.best_val, 6) AS best_delta FROM t, b"""
+)
+def ab_delta(spark, sf_dir):
+    found = experiments.arm_deltas(series(spark, sf_dir), "click")
+    return found.withColumns({c: F.round(c, 6) for c in ("delta_val", "last_delta", "best_delta")})
+
+
+@query(
+    f"""WITH {SERIES}, a AS (SELECT *, row_number() OVER (ORDER BY step) AS n FROM series WHERE arm = 'view' AND step % 3 <> 1),
+    b AS (SELECT *, row_number() OVER (ORDER BY step) AS n FROM series WHERE arm = 'click')
+    SELECT n, a.step, a.val_loss AS new_val, b.val_loss AS base_val, round(a.val_loss - b.val_loss, 6) AS delta FROM a JOIN b USING (n)"""
+)
+def zip_compare(spark, sf_dir):
+    s = series(spark, sf_dir)
+    found = experiments.zip_runs(s.where("arm = 'view' and step % 3 <> 1"), s.where("arm = 'click'"))
+    return found.withColumn("delta", F.round("delta", 6)).withColumn("n", F.col("n").cast("long"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------
+
+LONG = """e AS (SELECT vec_id, unnest(embedding[1:8])::double AS v, generate_subscripts(embedding[1:8], 1) - 1 AS i FROM embeddings)"""
+SOFT = """p AS (SELECT *, exp(v - max(v) OVER w) / sum(exp(v - m)) OVER w AS p FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM e) WINDOW w AS (PARTITION BY vec_id))"""
+
+
+def vectors(spark, sf_dir, dims: int = 8):
+    x = F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+
+
+def long_form(rows, value, name="y"):
+    out = rows.select("vec_id", F.posexplode(value).alias("i", name))
+    return out.select("vec_id", F.col("i").cast("long").alias("i"), (F.round(name, 6) + 0.0).alias(name))
+
+
+@query(f"WITH {LONG} SELECT vec_id, i, round(v / sqrt(avg(v * v) OVER (PARTITION BY vec_id) + 1e-5), 6) + 0.0 AS y FROM e")
+def rmsnorm(spark, sf_dir):
+    return long_form(vectors(spark, sf_dir), vx.rms_norm(F.col("x")))
+
+
+@query(f"WITH {LONG} SELECT vec_id, i, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 6) + 0.0 AS y FROM e WINDOW w AS (PARTITION BY vec_id)")
+def layernorm(spark, sf_dir):
+    return long_form(vectors(spark, sf_dir), vx.layer_norm(F.col("x")))
+
+
+@query(f"WITH {LONG} SELECT vec_id, i, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 1e-12), 6) + 0.0 AS y FROM e")
+def l2_normalize(spark, sf_dir):
+    return long_form(vectors(spark, sf_dir), vx.l2_normalize(F.col("x")))
+
+
+TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS r FROM p)"""
+
+
+def routes(rows, value):
+    out = rows.select("vec_id", F.posexplode(value).alias("slot", "r"))
+    return out.select("vec_id", F.col("slot").cast("long").alias("slot"), F.col("r.i").cast("long").alias("expert"), F.round("r.w", 6).alias("weight"))
+
+
+@query(f"WITH {LONG}, {SOFT}, {TOP} SELECT vec_id, r - 1 AS slot, i AS expert, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS weight FROM top WHERE r <= 2")
+def softmax_topk_route(spark, sf_dir):
+    return routes(vectors(spark, sf_dir), vx.route_softmax(F.col("x"), 2))
+
+
+@query(
+    f"""WITH {LONG}, p AS (SELECT *, 2.5 * sqrt(ln(1 + exp(v))) AS p FROM e), {TOP}
+    SELECT vec_id, r - 1 AS slot, i AS expert, round(p / (sum(p) OVER (PARTITION BY vec_id) + 1e-6), 6) AS weight FROM top WHERE r <= 2"""
+)
+def softplus_topk_route(spark, sf_dir):
+    return routes(vectors(spark, sf_dir), vx.route_softplus(F.col("x"), 2))
+
+
+LOAD = f"""WITH {LONG}, {SOFT}, {TOP}, load AS (SELECT i AS expert, count(*) FILTER (r <= 2) / (count(*) * 2)::double AS load, avg(p) AS mean_prob FROM top GROUP BY 1)"""
+
+
+@query(f"{LOAD} SELECT expert, round(load, 6) AS load, round(mean_prob, 6) AS mean_prob FROM load")
+def expert_load(spark, sf_dir):
+    found = attention.expert_load(vectors(spark, sf_dir), "x", 2)
+    return found.select(F.col("expert").cast("long").alias("expert"), F.round("load", 6).alias("load"), F.round("mean_prob", 6).alias("mean_prob"))
+
+
+@query(f"{LOAD} SELECT round(8 * sum(load * mean_prob), 6) AS loss FROM load")
+def switch_loss(spark, sf_dir):
+    return attention.switch_loss(attention.expert_load(vectors(spark, sf_dir), "x", 2), 8).select(F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {LONG}, l AS (SELECT vec_id, ln(sum(exp(v))) AS l FROM e GROUP BY 1) SELECT round(avg(l * l), 6) AS loss FROM l")
+def z_loss(spark, sf_dir):
+    return vectors(spark, sf_dir).agg(F.round(F.avg(vx.z_loss(F.col("x"))), 6).alias("loss"))
+
+
+@query(
+    """WITH h AS (SELECT vec_id, trunc(embedding[1]::double * 40)::bigint AS x FROM embeddings), s AS (SELECT *, unnest([0, 1]) AS slot FROM h)
+    SELECT vec_id, slot::bigint AS slot, (((x * (2654435761 + 97 * slot)) >> 16) % 8 + 8) % 8 AS expert FROM s"""
+)
+def hash_route(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(vx.route_hash(F.col("x")[0] * 40, 8, 2)).alias("slot", "expert"))
+    return rows.select("vec_id", F.col("slot").cast("long").alias("slot"), "expert")
+
+
+POOLED = """b AS (SELECT vec_id // 50 AS seq, (vec_id % 50) // 8 AS block, i AS dim, avg(v) AS mean FROM e GROUP BY 1, 2, 3 HAVING count(*) = 8)"""
+
+
+def pooled(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.expr("vec_id div 50").alias("seq"), (F.col("vec_id") % 50).alias("pos"), "x")
+    return attention.block_mean_pool(rows, ["seq"], "pos", "x", 8).withColumn("dim", F.col("dim").cast("long"))
+
+
+@query(f"WITH {LONG}, {POOLED} SELECT seq, block, dim, round(mean, 6) + 0.0 AS mean FROM b")
+def block_mean_pool(spark, sf_dir):
+    return pooled(spark, sf_dir).withColumn("mean", F.round("mean", 6) + 0.0)
+
+
+@query(f"""WITH {LONG}, {POOLED} SELECT seq, block, dim, round(coalesce(avg(mean) OVER (PARTITION BY seq, dim ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) + 0.0 AS prior FROM b""")
+def prior_block_mean(spark, sf_dir):
+    found = attention.prior_block_mean(pooled(spark, sf_dir), ["seq"])
+    return found.select("seq", "block", "dim", (F.round("prior", 6) + 0.0).alias("prior"))
+
+
+SEQ = """s AS (SELECT vec_id // 50 AS seq, vec_id % 50 AS pos, embedding[1:8]::double[] AS x FROM embeddings)"""
+
+
+def sequences(spark, sf_dir):
+    return vectors(spark, sf_dir).select(F.expr("vec_id div 50").alias("seq"), (F.col("vec_id") % 50).alias("pos"), "x")
+
+
+@query(
+    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, list_dot_product(q.x, k.x) / sqrt(8) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos BETWEEN q.pos AND q.pos + 5)
+    SELECT seq, q, k, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, q), 6) AS weight FROM w"""
+)
+def window_attention(spark, sf_dir):
+    pairs = attention.attention_pairs(sequences(spark, sf_dir), ["seq"], "pos", "x", 5)
+    found = attention.attend(pairs, ["seq"], 8**-0.5)
+    return found.select("seq", "q", "k", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, list_dot_product(q.x, k.x) / sqrt(8) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos)
+    SELECT seq, q, k, round(exp(s) / (sum(exp(s)) OVER (PARTITION BY seq, q) + exp(0.5)), 6) AS weight FROM w"""
+)
+def causal_attention_sink(spark, sf_dir):
+    pairs = attention.causal_pairs(sequences(spark, sf_dir), ["seq"], "pos", "x")
+    found = attention.attend(pairs, ["seq"], 8**-0.5, sink=0.5)
+    return found.select("seq", "q", "k", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, round(list_dot_product(q.x, k.x), 4) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos)
+    SELECT seq, q, k FROM w QUALIFY rank() OVER (PARTITION BY seq, q ORDER BY s DESC) <= 4"""
+)
+def topk_block_select(spark, sf_dir):
+    pairs = attention.causal_pairs(sequences(spark, sf_dir), ["seq"], "pos", "x").withColumn("score", F.round("score", 4))
+    return attention.keep_top(pairs, ["seq"], 4, ties=True).select("seq", "q", "k")
+
+
+@query(
+    f"""WITH {LONG}, o AS (SELECT a.vec_id, a.i, a.v, CASE WHEN a.i < 4 THEN -b.v ELSE b.v END AS u, a.vec_id / pow(10000, 2.0 * (a.i % 4) / 8) AS t
+      FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = (a.i + 4) % 8) SELECT vec_id, i, round(v * cos(t) + u * sin(t), 6) + 0.0 AS y FROM o"""
+)
+def rope_rotate(spark, sf_dir):
+    return long_form(vectors(spark, sf_dir), vx.rope(F.col("x"), F.col("vec_id")))
+
+
+@query(
+    f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN (SELECT vec_id, unnest(embedding[9:16])::double AS v, generate_subscripts(embedding[9:16], 1) - 1 AS i FROM embeddings) b USING (vec_id, i))
+    SELECT vec_id, i, round(greatest(x, y) + ln(exp(x - greatest(x, y)) + exp(y - greatest(x, y))), 6) + 0.0 AS y FROM p"""
+)
+def lse_merge(spark, sf_dir):
+    both = vectors(spark, sf_dir, 16).select("vec_id", F.slice("x", 1, 8).alias("a"), F.slice("x", 9, 8).alias("b"))
+    return long_form(both, vx.lse_merge(F.col("a"), F.col("b")))
+
+
+@query(
+    f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN (SELECT vec_id, unnest(embedding[9:16])::double AS v, generate_subscripts(embedding[9:16], 1) - 1 AS i FROM embeddings) b USING (vec_id, i))
+    SELECT vec_id, i, round(least(x, 0.1) / (1 + exp(-least(x, 0.1))) * greatest(least(y, 0.1), -0.1), 6) + 0.0 AS y FROM p"""
+)
+def swiglu(spark, sf_dir):
+    both = vectors(spark, sf_dir, 16).select("vec_id", F.slice("x", 1, 8).alias("a"), F.slice("x", 9, 8).alias("b"))
+    return long_form(both, vx.swiglu(F.col("a"), F.col("b"), clamp=0.1))
+
+
+@query(
+    """WITH a AS (SELECT vec_id AS idx, embedding[1]::double AS a, embedding[1]::double + (vec_id % 7) * 1e-4 AS b FROM embeddings)
+    SELECT round(max(abs(a - b)), 6) AS max_error, round(avg(abs(a - b)), 6) AS mean_error,
+      (SELECT list(idx ORDER BY a DESC, idx) FROM (SELECT * FROM a ORDER BY a DESC, idx LIMIT 5)) = (SELECT list(idx ORDER BY b DESC, idx) FROM (SELECT * FROM a ORDER BY b DESC, idx LIMIT 5)) AS same_top FROM a"""
+)
+def logits_diff(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    left = rows.select(F.col("vec_id").alias("idx"), F.col("x")[0].alias("value"))
+    right = rows.select(F.col("vec_id").alias("idx"), (F.col("x")[0] + (F.col("vec_id") % 7) * 1e-4).alias("value"))
+    found = experiments.compare_vectors(left, right)
+    return found.select(F.round("max_error", 6).alias("max_error"), F.round("mean_error", 6).alias("mean_error"), "same_top")
+
+
+@query(
+    f"""WITH {LONG}, k AS (SELECT * FROM e QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY v DESC) <= 5),
+    p AS (SELECT *, exp(v / 0.8) / sum(exp(v / 0.8)) OVER (PARTITION BY vec_id) AS p FROM k),
+    c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY i) AS c FROM p)
+    SELECT vec_id, coalesce(min(i) FILTER (c > (vec_id % 97) / 97.0), max(i)) AS tok FROM c GROUP BY 1"""
+)
+def sample_cdf(spark, sf_dir):
+    logits = vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("tok", "logit"))
+    logits = logits.withColumn("tok", F.col("tok").cast("long"))
+    return attention.sample_tokens(logits, ["vec_id"], (F.col("vec_id") % 97) / 97.0, 0.8, 5)
+
+
+@query(
+    f"""WITH {LONG}, c AS (SELECT *, (vec_id + i) % 4 AS n FROM e)
+    SELECT vec_id, i, round(CASE WHEN v >= 0 THEN v / pow(1.2, n) ELSE v * pow(1.2, n) END, 6) + 0.0 AS y FROM c"""
+)
+def repetition_penalty(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    penal = F.transform("x", lambda v, i: vx.repetition_penalty(v, (F.col("vec_id") + i) % 4, 1.2))
+    return long_form(rows, penal)
+
+
+@query(f"WITH {LONG}, {SOFT} SELECT round(avg(-ln(p)), 6) AS loss FROM p WHERE i = vec_id % 8 AND vec_id % 5 <> 0")
+def cross_entropy(spark, sf_dir):
+    target = F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("vec_id") % 8)
+    rows = vectors(spark, sf_dir).select(target.alias("target"), F.ln(F.get(vx.softmax(F.col("x")), (F.col("vec_id") % 8).cast("int"))).alias("logp"))
+    return attention.cross_entropy(rows, F.col("logp"), F.col("target")).select(F.round("loss", 6).alias("loss"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, unnest(string_split(left(text, 50), '')) AS c, generate_subscripts(string_split(left(text, 50), ''), 1) - 1 AS pos FROM documents WHERE text <> '')
+    SELECT doc_id, pos, ord(c)::bigint AS tok, lead(ord(c)::bigint, 1) OVER w AS ahead_1, lead(ord(c)::bigint, 2) OVER w AS ahead_2, lead(ord(c)::bigint, 3) OVER w AS ahead_3 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
+)
+def mtp_targets(spark, sf_dir):
+    chars = F.posexplode(F.split(F.substring("text", 1, 50), "")).alias("pos", "c")
+    stream = table(spark, sf_dir, "documents").select("doc_id", chars).where("c <> ''")
+    stream = stream.select("doc_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").alias("tok"))
+    return attention.ahead_targets(stream, ["doc_id"], 3)
+
+
+@query()
+def sinkhorn(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, F.lit(8)), lambda v: v.cast("double"))).alias("m")
+    )
+    out = rows.select("vec_id", F.posexplode(vx.sinkhorn(F.col("m"))).alias("row", "y"))
+    return out.select("vec_id", "row", F.transform("y", lambda v: F.round(v, 6)).alias("y"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
