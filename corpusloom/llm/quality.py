@@ -135,14 +135,16 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
     return counts
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from (id, text, label) rows, label 0 or 1.
+def fit(texts: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """A model from texts (doc, text) and their labels (id, label), label 0 or 1.
+
+    Labels grow with the documents, so they are joined by a shuffle at every size, and once only.
 
     The class log-count ratios are counted over all rows. The hinge-loss model is fitted on at most
     fit_rows rows of each class, those whose ids hash lowest; a quarter of them sets the sigmoid.
     Where a class has no rows the score is constant, the smoothed share of label 1.
     """
-    counts = class_counts(labelled)
+    counts = class_counts(texts.join(known.hint("shuffle_hash"), F.col("doc") == F.col("id")).select("text", "label"))
     sizes = counts[:, FEATURES]
     smooth = counts[:, :FEATURES] + 1
     scale = np.log(smooth[1] / (sizes[1] + 2)) - np.log(smooth[0] / (sizes[0] + 2))
@@ -150,20 +152,16 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not sizes.all():
         share = (sizes[1] + 1) / (sizes.sum() + 2)
         return Model(np.zeros(FEATURES), scale, 0.0, 0.0, float(np.log(share / (1 - share))))
-    ids = labelled.select("id", "label").withColumn("_order", F.xxhash64("id"))
-    lowest = lambda label: ids.where(F.col("label") == label).orderBy("_order", "id").limit(fit_rows)
-    chosen = F.broadcast(lowest(0).union(lowest(1)).select(F.col("id").alias("_id")).distinct())
+    ordered = known.withColumn("_order", F.xxhash64("id"))
+    lowest = lambda label: ordered.where(F.col("label") == label).orderBy("_order", "id").limit(fit_rows)
+    chosen = F.broadcast(lowest(0).union(lowest(1)).select("id", "label"))
 
     @F.pandas_udf("array<int>")
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(features, na_action=None)
 
-    rows = (
-        labelled.join(chosen, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-        .select("id", "label", found("text").alias("found"))
-        .toPandas()
-        .sort_values(["id", "label"], ignore_index=True)
-    )
+    rows = texts.join(chosen, F.col("doc") == F.col("id")).select("id", "label", found("text").alias("found")).toPandas()
+    rows = rows.sort_values(["id", "label"], ignore_index=True)
     y = rows["label"].to_numpy() * 2 - 1
     x = [np.asarray(r, dtype=np.int64) for r in rows["found"]]
     later = np.arange(len(y)) % 4 == 0
@@ -201,10 +199,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.where(~held_out(F.col("_doc")))
-    labelled = texts.join(known, F.col("_doc") == F.col("id")).select("id", "text", "label")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.where(~held_out(F.col("doc")))
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, known))
     scored = docs.withColumn("held_out", held_out(F.col(f"`{id_col}`")))
     scored = scored.withColumn("score", score(F.col(f"`{text_col}`"), model))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
