@@ -108,10 +108,9 @@ def without_prefix(text: Column, prefix: Column) -> Column:
 
 def human_size(n_bytes: Column) -> Column:
     """1.5 KB and the like; GB is the largest unit."""
-    out = F.concat(F.format_number(n_bytes / 1024**3, "0.0"), F.lit(" GB"))
+    out = F.format_string("%.1f GB", n_bytes / 1024**3)
     for power, unit in ((2, "MB"), (1, "KB"), (0, "B")):
-        below = n_bytes < 1024 ** (power + 1)
-        out = F.when(below, F.concat(F.format_number(n_bytes / 1024**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n_bytes < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n_bytes / 1024**power)).otherwise(out)
     return out
 
 
