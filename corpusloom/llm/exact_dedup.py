@@ -61,7 +61,9 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text"))
     groups = equal_texts(rows, keep, content_hash).drop("group_size")
     text = text_of(text_col)
-    marked = docs.withColumns({"_h": content_hash(text), "_sha": F.sha2(text, 256)})
+    marked = docs.select(  # the row as one value, so that its columns' names can't clash
+        F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("_id"), content_hash(text).alias("_h"), F.sha2(text, 256).alias("_sha")
+    )
     same = (F.col("_h") == F.col("_gh")) & (F.col("_sha") == F.col("text_sha256"))
-    kept = marked.join(groups, same & F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")))
-    return kept.dropDuplicates(["_h", "_sha", id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = marked.join(groups, same & F.col("_id").eqNullSafe(F.col("keep_id")))
+    return kept.dropDuplicates(["_h", "_sha", "_id"]).select("row.*")

@@ -1,5 +1,6 @@
 """Removal of repeated byte strings: anchors bring equal strings together, a Burrows-Wheeler transform compares them."""
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     """
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8)  # no UTF-8 text holds this byte
     n = len(text)
-    order, rank = suffix_order(text, length)
+    order = suffix_order(text, length)
     before = text[order - 1]
     first = np.argsort(before, kind="stable")
     back = np.empty(n, dtype=np.int64)
@@ -111,8 +112,8 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
-def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes by their first `length` bytes or more, equal ones by place; and the rank of each."""
+def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes by their first `length` bytes or more, equal ones by place, by doubling the length compared."""
     n, done = len(text), 8
     padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
@@ -120,11 +121,11 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
         key = key << np.uint64(8) | padded[k : n + k]
     while True:
         order = np.argsort(key, kind="stable")
+        if done >= length:
+            return order
         ordered = key[order]
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.concatenate([[0], (ordered[1:] != ordered[:-1]).cumsum()]).astype(np.uint64) + np.uint64(1)
-        if done >= length:
-            return order, rank
         key = rank << np.uint64(32)
         key[: max(0, n - done)] |= rank[done:]
         done *= 2
@@ -208,8 +209,6 @@ def count_strings(segments: DataFrame, length: int) -> DataFrame:
 
     @F.pandas_udf("array<struct<at: bigint, hash: binary>>")
     def strings(column: pd.Series) -> pd.Series:
-        import hashlib
-
         one = lambda s, a: {"at": a, "hash": hashlib.blake2b(s[a : a + length], digest_size=16).digest()}
         return column.map(lambda s: [one(s, a) for a in range(len(s) - length + 1)])
 
@@ -239,7 +238,7 @@ def remove_repeats(
     of a text of at least `length` bytes goes. Other columns pass through; one named `repeats` is replaced.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    texts = docs.select("*", F.unhex(F.md5(text)).alias("_ref"))
+    whole_rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(text)).alias("ref"))  # names can't clash
     plain = docs.select(text.alias("text")).select(F.unhex(F.md5("text")).alias("ref"), "text")
     rows = anchor_rows(plain, length, gram)
     keys = rows.groupBy(F.col("key").alias("_key")).agg(
@@ -292,5 +291,6 @@ def remove_repeats(
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return pd.DataFrame({"spans": pd.Series(spans, dtype=object), "kept": pd.Series(kept, dtype=object)})
 
-    joined = texts.join(spans.hint("shuffle_hash"), F.col("_ref") == F.col("_of"), "left")
-    return joined.withColumn("repeats", remove(F.col(f"`{text_col}`"), "_spans")).drop("_ref", "_of", "_spans")
+    joined = whole_rows.join(spans.hint("shuffle_hash"), F.col("ref") == F.col("_of"), "left")
+    done = joined.select("row", remove(F.col("row")[text_col], F.col("_spans")).alias("repeats"))
+    return done.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "repeats"), "repeats")
