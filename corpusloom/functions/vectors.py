@@ -1,9 +1,16 @@
 """Kernels over array<double> columns as Column expressions; nothing here leaves the JVM."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once: inside a lambda it would be evaluated again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -13,7 +20,7 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def scaled(x: Column, by: Column) -> Column:
-    return F.transform(x, lambda v: v * by)
+    return let(by, lambda b: F.transform(x, lambda v: v * b))
 
 
 def rms_norm(x: Column, weight: Column | None = None, eps: float = 1e-5) -> Column:
@@ -22,24 +29,24 @@ def rms_norm(x: Column, weight: Column | None = None, eps: float = 1e-5) -> Colu
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    mean = total(x) / F.size(x)
-    centred = F.transform(x, lambda v: v - mean)
-    return scaled(centred, 1 / F.sqrt(dot(centred, centred) / F.size(x) + eps))
+    centred = lambda mean: F.transform(x, lambda v: v - mean)
+    return let(let(total(x) / F.size(x), centred), lambda c: scaled(c, 1 / F.sqrt(dot(c, c) / F.size(c) + eps)))
 
 
 def l2_normalize(x: Column, eps: float = 1e-12) -> Column:
     return scaled(x, 1 / F.greatest(F.sqrt(dot(x, x)), F.lit(eps)))
 
 
+def exp_below(x: Column, top: Column) -> Column:
+    return F.transform(x, lambda v: F.exp(v - top))
+
+
 def logsumexp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.ln(total(F.transform(x, lambda v: F.exp(v - top))))
+    return let(F.array_max(x), lambda top: top + F.ln(total(exp_below(x, top))))
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return scaled(e, 1 / total(e))
+    return let(let(F.array_max(x), lambda top: exp_below(x, top)), lambda e: scaled(e, 1 / total(e)))
 
 
 def lse_merge(x: Column, y: Column) -> Column:
@@ -68,21 +75,24 @@ def top_k(x: Column, k: int) -> Column:
 def top_k_threshold(x: Column, k: int) -> Column:
     """x with null below its k-th largest value; ties at the threshold all stay."""
     least = F.element_at(F.sort_array(x, asc=False), F.least(F.lit(k), F.size(x)))
-    return F.transform(x, lambda v: F.when(v >= least, v))
+    return let(least, lambda edge: F.transform(x, lambda v: F.when(v >= edge, v)))
+
+
+def weighted(best: Column, extra: float = 0.0) -> Column:
+    """(i, w) of the chosen (v, i), weights over their sum."""
+    sum_ = lambda b: F.aggregate(b, F.lit(extra), lambda a, p: a + p["v"])
+    over = lambda b, s: F.transform(b, lambda p: F.struct(p["i"].alias("i"), (p["v"] / s).alias("w")))
+    return let(best, lambda b: let(sum_(b), lambda s: over(b, s)))
 
 
 def route_softmax(x: Column, k: int) -> Column:
     """Top k of the softmax as (i, w), weights scaled to sum to one."""
-    best = top_k(softmax(x), k)
-    sum_ = F.aggregate(best, F.lit(0.0), lambda a, p: a + p["v"])
-    return F.transform(best, lambda p: F.struct(p["i"].alias("i"), (p["v"] / sum_).alias("w")))
+    return weighted(top_k(softmax(x), k))
 
 
 def route_softplus(x: Column, k: int, scale: float = 2.5) -> Column:
     """Top k of scale * sqrt(softplus(x)) as (i, w), weights over their sum."""
-    best = top_k(F.transform(x, lambda v: scale * F.sqrt(F.ln(1 + F.exp(v)))), k)
-    sum_ = F.aggregate(best, F.lit(0.0), lambda a, p: a + p["v"]) + 1e-6
-    return F.transform(best, lambda p: F.struct(p["i"].alias("i"), (p["v"] / sum_).alias("w")))
+    return weighted(top_k(F.transform(x, lambda v: scale * F.sqrt(F.ln(1 + F.exp(v)))), k), 1e-6)
 
 
 # Fixed values of the hash router.

@@ -8,11 +8,10 @@ from ..functions.vectors import dot, softmax
 
 def expert_load(rows: DataFrame, logits: str, k: int) -> DataFrame:
     """(expert, load, mean_prob): share of the k slots an expert gets, and its mean softmax probability."""
-    probs = rows.select(F.transform(softmax(F.col(logits)), lambda v, i: F.struct((-v).alias("v"), i.alias("i"))).alias("p"))
-    chosen = F.slice(F.array_sort("p"), 1, k)
-    each = probs.select(
-        F.explode(F.transform("p", lambda p: F.struct(p["i"].alias("expert"), (-p["v"]).alias("prob"), F.exists(chosen, lambda c: c["i"] == p["i"]).alias("hit")))).alias("e")
-    )
+    ordered = lambda p: F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
+    best = ordered(softmax(F.col(logits)))
+    each = rows.select(F.posexplode(best).alias("place", "p"))
+    each = each.select(F.struct(F.col("p.i").alias("expert"), (-F.col("p.v")).alias("prob"), (F.col("place") < k).alias("hit")).alias("e"))
     by = each.groupBy("e.expert").agg(F.count_if("e.hit").alias("hits"), F.avg("e.prob").alias("mean_prob"), F.count(F.lit(1)).alias("n"))
     return by.select("expert", (F.col("hits") / (F.col("n") * k)).alias("load"), "mean_prob")
 

@@ -73,13 +73,12 @@ def char_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, turn), '{WS}', '', 'g') AS b FROM conversations)
+    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '{WS}', '', 'g') AS b FROM conversations)
     SELECT conv_id, turn, b = '' OR regexp_full_match(b, '[，。！？；：、,.!?;:…—''"()\\[\\]{{}}-]*')
       OR (length(b) > 2 AND len(list_distinct(string_split(b, ''))) = 1) AS degenerate FROM t"""
 )
 def degenerate_flag(spark, sf_dir):
-    head = F.substring("text", F.lit(1), F.col("turn").cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_degenerate(head).alias("degenerate"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_degenerate(F.col("text")).alias("degenerate"))
 
 
 def grams_sql(n: int) -> str:
@@ -308,31 +307,38 @@ def char_encode_len(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, list_transform(string_split(left(text, 200), ''), lambda c: ord(c)) AS ids FROM documents WHERE text <> ''),
-    w AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids) - 64, 0), 32)) AS s FROM d)
-    SELECT doc_id, s // 32 AS "window", array_to_string(ids[s + 1:s + 64], ' ') AS x, array_to_string(ids[s + 2:s + 65], ' ') AS y FROM w"""
+    """WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: ord(c)) AS ids FROM documents WHERE text <> ''),
+    w AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids) - 64, 0), 64)) AS s FROM d)
+    SELECT doc_id, s // 64 AS "window", md5(array_to_string(ids[s + 1:s + 64], ' ')) AS x, md5(array_to_string(ids[s + 2:s + 65], ' ')) AS y FROM w"""
 )
 def token_windows(spark, sf_dir):
-    chars = F.transform(F.split(F.substring("text", 1, 200), ""), lambda c: F.ascii(c))
+    chars = F.transform(F.split("text", ""), lambda c: F.ascii(c))
     streams = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", chars.alias("ids"))
-    found = tokens.windows(streams, ["doc_id"], "ids", 64, 32)
-    return found.select("doc_id", "window", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
+    found = tokens.windows(streams, ["doc_id"], "ids", 64, 64)
+    return found.select("doc_id", "window", F.md5(F.array_join("x", " ")).alias("x"), F.md5(F.array_join("y", " ")).alias("y"))
+
+
+CHARS = """t AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE text <> '')"""
+
+
+def char_tokens(spark, sf_dir):
+    stream = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "c")).where("c <> ''")
+    return stream.select("doc_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("tok"))
 
 
 @query(
-    """WITH t AS (SELECT doc_id, unnest(string_split(left(text, 400), '')) AS c, generate_subscripts(string_split(left(text, 400), ''), 1) - 1 AS pos FROM documents WHERE text <> ''),
+    f"""WITH {CHARS},
     e AS (SELECT doc_id, pos, ord(c) AS tok, lead(ord(c)) OVER w AS nx, lag(ord(c)) OVER w AS pv FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     m AS (SELECT *, CASE WHEN tok = 116 AND nx = 104 THEN 'open' WHEN tok = 97 AND nx = 110 THEN 'turn' WHEN tok = 46 AND nx = 32 THEN 'blank' END AS at_,
-      CASE WHEN pv = 116 AND tok = 104 THEN true WHEN pv = 97 AND tok = 110 THEN true WHEN pv = 46 AND tok = 32 THEN false END AS second FROM e)
-    SELECT doc_id, pos, coalesce(CASE WHEN at_ IN ('open', 'turn') THEN true WHEN at_ = 'blank' THEN false END, second,
-      last_value(CASE WHEN at_ = 'open' THEN true WHEN at_ IS NOT NULL THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS mask FROM m"""
+      CASE WHEN pv = 116 AND tok = 104 THEN true WHEN pv = 97 AND tok = 110 THEN true WHEN pv = 46 AND tok = 32 THEN false END AS second FROM e),
+    s AS (SELECT *, max(CASE WHEN at_ IS NOT NULL THEN 2 * pos + (at_ = 'open')::int END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m),
+    k AS (SELECT doc_id, pos, coalesce(CASE WHEN at_ IN ('open', 'turn') THEN true WHEN at_ = 'blank' THEN false END, second, last % 2 = 1, false) AS mask FROM s)
+    SELECT doc_id, count(*) AS n, count(*) FILTER (mask) AS n_masked, (coalesce(sum(pos) FILTER (mask), 0))::bigint AS places FROM k GROUP BY 1"""
 )
 def loss_mask(spark, sf_dir):
-    chars = F.posexplode(F.split(F.substring("text", 1, 400), "")).alias("pos", "c")
-    stream = table(spark, sf_dir, "documents").select("doc_id", chars).where("c <> ''")
-    stream = stream.select("doc_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").alias("tok"))
-    found = tokens.loss_mask(stream, ["doc_id"], (116, 104), ((97, 110),), (46, 32))
-    return found.select("doc_id", "pos", "mask")
+    found = tokens.loss_mask(char_tokens(spark, sf_dir), ["doc_id"], (116, 104), ((97, 110),), (46, 32))
+    places = F.coalesce(F.sum(F.when(F.col("mask"), F.col("pos"))), F.lit(0))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("mask").alias("n_masked"), places.alias("places"))
 
 
 @query("""SELECT source, lang, count(*) AS n_docs, sum(length(text))::bigint AS n_chars, round(sum(length(text)) / count(*)::double, 6) AS mean_chars FROM documents GROUP BY ALL""")
@@ -423,27 +429,31 @@ def ab_delta(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SERIES}, a AS (SELECT *, row_number() OVER (ORDER BY step) AS n FROM series WHERE arm = 'view' AND step % 3 <> 1),
+    f"""WITH {SERIES}, a AS (SELECT *, row_number() OVER (ORDER BY step) AS n FROM series WHERE arm = 'view'),
     b AS (SELECT *, row_number() OVER (ORDER BY step) AS n FROM series WHERE arm = 'click')
     SELECT n, a.step, a.val_loss AS new_val, b.val_loss AS base_val, round(a.val_loss - b.val_loss, 6) AS delta FROM a JOIN b USING (n)"""
 )
 def zip_compare(spark, sf_dir):
     s = series(spark, sf_dir)
-    found = experiments.zip_runs(s.where("arm = 'view' and step % 3 <> 1"), s.where("arm = 'click'"))
+    found = experiments.zip_runs(s.where("arm = 'view'"), s.where("arm = 'click'"))
     return found.withColumn("delta", F.round("delta", 6)).withColumn("n", F.col("n").cast("long"))
 
 
 # --- vectors --------------------------------------------------------------------------------------------------
 
-LONG = """e AS (SELECT vec_id, unnest(embedding[1:8])::double AS v, generate_subscripts(embedding[1:8], 1) - 1 AS i FROM embeddings)"""
+LONG = """e AS (SELECT vec_id, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
 SOFT = """p AS (SELECT *, exp(v - max(v) OVER w) / sum(exp(v - m)) OVER w AS p FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM e) WINDOW w AS (PARTITION BY vec_id))"""
 
 
-def vectors(spark, sf_dir, dims: int = 8):
-    x = F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double"))
+def vectors(spark, sf_dir):
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
 
 
+def halves(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))
+
+
 def long_form(rows, value, name="y"):
     out = rows.select("vec_id", F.posexplode(value).alias("i", name))
     return out.select("vec_id", F.col("i").cast("long").alias("i"), (F.round(name, 6) + 0.0).alias(name))
@@ -494,9 +504,9 @@ def expert_load(spark, sf_dir):
     return found.select(F.col("expert").cast("long").alias("expert"), F.round("load", 6).alias("load"), F.round("mean_prob", 6).alias("mean_prob"))
 
 
-@query(f"{LOAD} SELECT round(8 * sum(load * mean_prob), 6) AS loss FROM load")
+@query(f"{LOAD} SELECT round(64 * sum(load * mean_prob), 6) AS loss FROM load")
 def switch_loss(spark, sf_dir):
-    return attention.switch_loss(attention.expert_load(vectors(spark, sf_dir), "x", 2), 8).select(F.round("loss", 6).alias("loss"))
+    return attention.switch_loss(attention.expert_load(vectors(spark, sf_dir), "x", 2), 64).select(F.round("loss", 6).alias("loss"))
 
 
 @query(f"WITH {LONG}, l AS (SELECT vec_id, ln(sum(exp(v))) AS l FROM e GROUP BY 1) SELECT round(avg(l * l), 6) AS loss FROM l")
@@ -532,7 +542,7 @@ def prior_block_mean(spark, sf_dir):
     return found.select("seq", "block", "dim", (F.round("prior", 6) + 0.0).alias("prior"))
 
 
-SEQ = """s AS (SELECT vec_id // 50 AS seq, vec_id % 50 AS pos, embedding[1:8]::double[] AS x FROM embeddings)"""
+SEQ = """s AS (SELECT vec_id // 50 AS seq, vec_id % 50 AS pos, embedding::double[] AS x FROM embeddings)"""
 
 
 def sequences(spark, sf_dir):
@@ -540,22 +550,22 @@ def sequences(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, list_dot_product(q.x, k.x) / sqrt(8) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos BETWEEN q.pos AND q.pos + 5)
+    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, list_dot_product(q.x, k.x) / sqrt(64) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos BETWEEN q.pos AND q.pos + 5)
     SELECT seq, q, k, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, q), 6) AS weight FROM w"""
 )
 def window_attention(spark, sf_dir):
     pairs = attention.attention_pairs(sequences(spark, sf_dir), ["seq"], "pos", "x", 5)
-    found = attention.attend(pairs, ["seq"], 8**-0.5)
+    found = attention.attend(pairs, ["seq"], 64**-0.5)
     return found.select("seq", "q", "k", F.round("weight", 6).alias("weight"))
 
 
 @query(
-    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, list_dot_product(q.x, k.x) / sqrt(8) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos)
+    f"""WITH {SEQ}, w AS (SELECT q.seq, q.pos AS q, k.pos AS k, list_dot_product(q.x, k.x) / sqrt(64) AS s FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos)
     SELECT seq, q, k, round(exp(s) / (sum(exp(s)) OVER (PARTITION BY seq, q) + exp(0.5)), 6) AS weight FROM w"""
 )
 def causal_attention_sink(spark, sf_dir):
     pairs = attention.causal_pairs(sequences(spark, sf_dir), ["seq"], "pos", "x")
-    found = attention.attend(pairs, ["seq"], 8**-0.5, sink=0.5)
+    found = attention.attend(pairs, ["seq"], 64**-0.5, sink=0.5)
     return found.select("seq", "q", "k", F.round("weight", 6).alias("weight"))
 
 
@@ -569,29 +579,27 @@ def topk_block_select(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LONG}, o AS (SELECT a.vec_id, a.i, a.v, CASE WHEN a.i < 4 THEN -b.v ELSE b.v END AS u, a.vec_id / pow(10000, 2.0 * (a.i % 4) / 8) AS t
-      FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = (a.i + 4) % 8) SELECT vec_id, i, round(v * cos(t) + u * sin(t), 6) + 0.0 AS y FROM o"""
+    f"""WITH {LONG}, o AS (SELECT a.vec_id, a.i, a.v, CASE WHEN a.i < 32 THEN -b.v ELSE b.v END AS u, a.vec_id / pow(10000, 2.0 * (a.i % 32) / 64) AS t
+      FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = (a.i + 32) % 64) SELECT vec_id, i, round(v * cos(t) + u * sin(t), 6) + 0.0 AS y FROM o"""
 )
 def rope_rotate(spark, sf_dir):
     return long_form(vectors(spark, sf_dir), vx.rope(F.col("x"), F.col("vec_id")))
 
 
 @query(
-    f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN (SELECT vec_id, unnest(embedding[9:16])::double AS v, generate_subscripts(embedding[9:16], 1) - 1 AS i FROM embeddings) b USING (vec_id, i))
+    f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = a.i + 32)
     SELECT vec_id, i, round(greatest(x, y) + ln(exp(x - greatest(x, y)) + exp(y - greatest(x, y))), 6) + 0.0 AS y FROM p"""
 )
 def lse_merge(spark, sf_dir):
-    both = vectors(spark, sf_dir, 16).select("vec_id", F.slice("x", 1, 8).alias("a"), F.slice("x", 9, 8).alias("b"))
-    return long_form(both, vx.lse_merge(F.col("a"), F.col("b")))
+    return long_form(halves(spark, sf_dir), vx.lse_merge(F.col("a"), F.col("b")))
 
 
 @query(
-    f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN (SELECT vec_id, unnest(embedding[9:16])::double AS v, generate_subscripts(embedding[9:16], 1) - 1 AS i FROM embeddings) b USING (vec_id, i))
+    f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = a.i + 32)
     SELECT vec_id, i, round(least(x, 0.1) / (1 + exp(-least(x, 0.1))) * greatest(least(y, 0.1), -0.1), 6) + 0.0 AS y FROM p"""
 )
 def swiglu(spark, sf_dir):
-    both = vectors(spark, sf_dir, 16).select("vec_id", F.slice("x", 1, 8).alias("a"), F.slice("x", 9, 8).alias("b"))
-    return long_form(both, vx.swiglu(F.col("a"), F.col("b"), clamp=0.1))
+    return long_form(halves(spark, sf_dir), vx.swiglu(F.col("a"), F.col("b"), clamp=0.1))
 
 
 @query(
@@ -629,22 +637,21 @@ def repetition_penalty(spark, sf_dir):
     return long_form(rows, penal)
 
 
-@query(f"WITH {LONG}, {SOFT} SELECT round(avg(-ln(p)), 6) AS loss FROM p WHERE i = vec_id % 8 AND vec_id % 5 <> 0")
+@query(f"WITH {LONG}, {SOFT} SELECT round(avg(-ln(p)), 6) AS loss FROM p WHERE i = vec_id % 64 AND vec_id % 5 <> 0")
 def cross_entropy(spark, sf_dir):
-    target = F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("vec_id") % 8)
-    rows = vectors(spark, sf_dir).select(target.alias("target"), F.ln(F.get(vx.softmax(F.col("x")), (F.col("vec_id") % 8).cast("int"))).alias("logp"))
+    target = F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("vec_id") % 64)
+    rows = vectors(spark, sf_dir).select(target.alias("target"), F.ln(F.get(vx.softmax(F.col("x")), (F.col("vec_id") % 64).cast("int"))).alias("logp"))
     return attention.cross_entropy(rows, F.col("logp"), F.col("target")).select(F.round("loss", 6).alias("loss"))
 
 
 @query(
-    """WITH t AS (SELECT doc_id, unnest(string_split(left(text, 50), '')) AS c, generate_subscripts(string_split(left(text, 50), ''), 1) - 1 AS pos FROM documents WHERE text <> '')
-    SELECT doc_id, pos, ord(c)::bigint AS tok, lead(ord(c)::bigint, 1) OVER w AS ahead_1, lead(ord(c)::bigint, 2) OVER w AS ahead_2, lead(ord(c)::bigint, 3) OVER w AS ahead_3 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
+    f"""WITH {CHARS}, a AS (SELECT doc_id, pos, lead(ord(c), 1) OVER w AS a1, lead(ord(c), 2) OVER w AS a2, lead(ord(c), 3) OVER w AS a3 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, count(a1) AS n_1, count(a3) AS n_3, sum(pos * a1)::bigint AS sum_1, sum(pos * a2)::bigint AS sum_2, sum(pos * a3)::bigint AS sum_3 FROM a GROUP BY 1"""
 )
 def mtp_targets(spark, sf_dir):
-    chars = F.posexplode(F.split(F.substring("text", 1, 50), "")).alias("pos", "c")
-    stream = table(spark, sf_dir, "documents").select("doc_id", chars).where("c <> ''")
-    stream = stream.select("doc_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").alias("tok"))
-    return attention.ahead_targets(stream, ["doc_id"], 3)
+    found = attention.ahead_targets(char_tokens(spark, sf_dir), ["doc_id"], 3)
+    sums = (F.sum(F.col("pos") * F.col(f"ahead_{k}")).alias(f"sum_{k}") for k in (1, 2, 3))
+    return found.groupBy("doc_id").agg(F.count("ahead_1").alias("n_1"), F.count("ahead_3").alias("n_3"), *sums)
 
 
 @query()
