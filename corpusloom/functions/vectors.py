@@ -189,3 +189,19 @@ def head_merge_place(t: Column, h: Column, heads: int, length: int) -> Column:
 def z_loss(x: Column) -> Column:
     return F.pow(logsumexp(x), F.lit(2.0))
 
+
+def kl_divergence(p: Column, q: Column, least: float = 1e-12) -> Column:
+    """Sum of p * (ln p - ln q), both cut off below at least."""
+    cut = lambda v: F.greatest(v, F.lit(least))
+    return total(F.zip_with(p, q, lambda a, b: cut(a) * (F.ln(cut(a)) - F.ln(cut(b)))))
+
+
+def mix_streams(mixing: Column, streams: Column) -> Column:
+    """Streams (array of vectors) mixed by the transpose of a matrix: stream c becomes the sum over h of mixing[h][c] * stream h."""
+    column = lambda c: F.transform(mixing, lambda r: F.get(r, c))
+    weighted_sum = lambda w: F.aggregate(
+        F.zip_with(w, streams, lambda a, x: F.transform(x, lambda v: a * v)),
+        F.transform(F.get(streams, F.lit(0)), lambda v: F.lit(0.0)),
+        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b),
+    )
+    return F.transform(streams, lambda _, c: let(column(c), weighted_sum))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import TURN_MARKERS
+
 #: Characters that are encoded together; tokens never span the edge of a chunk.
 CHUNK = 1_000_000
 IGNORED = -100
@@ -144,3 +146,33 @@ def loss_mask(tokens: DataFrame, key: list[str], opens: tuple[int, int], closes:
 def masked_targets(y: Column, mask: Column) -> Column:
     """Targets with IGNORED where the mask is false."""
     return F.zip_with(y, mask, lambda t, m: F.when(m, t).otherwise(IGNORED))
+
+
+def cut_at_turn(ids: Column, spec: str, markers: tuple[str, ...] = TURN_MARKERS) -> Column:
+    """Ids before a turn marker, cut at the last token that ends before it; the first marker in list order decides."""
+
+    @F.pandas_udf("array<int>")
+    def udf(values: pd.Series) -> pd.Series:
+        tokenizer = load_tokenizer(spec)
+        text = lambda some: tokenizer.decode(some, skip_special_tokens=False)
+
+        def cut(value) -> list[int]:
+            ids = [int(i) for i in value]
+            whole = text(ids)
+            at = next((p for p in map(whole.find, markers) if p >= 0), -1)
+            if at < 0:
+                return ids
+            low, high = 0, len(ids)  # the most ids whose text is no longer than the part before the marker
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if len(text(ids[:mid])) <= at else (low, mid - 1)
+            return ids[:low]
+
+        return values.map(cut)
+
+    return udf(ids)
+
+
+def lookup(tokens: DataFrame, vectors: DataFrame, tok: str = "tok") -> DataFrame:
+    """tokens with the vector of each from (tok, vector) rows; unknown tokens get null."""
+    return tokens.join(vectors.withColumnRenamed(tok, "_tok"), F.col(tok) == F.col("_tok"), "left").drop("_tok")

@@ -654,6 +654,104 @@ def mtp_targets(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("ahead_1").alias("n_1"), F.count("ahead_3").alias("n_3"), *sums)
 
 
+@query("""WITH v AS (SELECT vec_id, (vec_id % 50) * 8 + i AS v, vec_id % 50 AS t, i AS h FROM embeddings, range(0, 8) r(i)) SELECT vec_id, h, v // 50 AS from_h, v % 50 AS from_t FROM v""")
+def head_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("h"))
+    place = vx.head_merge_place(F.col("vec_id") % 50, F.col("h"), 8, 50)
+    return rows.select("vec_id", "h", place.alias("p")).select("vec_id", "h", F.col("p.h").alias("from_h"), F.col("p.t").alias("from_t"))
+
+
+@query(f"{LOAD} SELECT expert, round(-sign(load - 1.0 / 64) * 0.001, 6) + 0.0 AS change FROM load")
+def bias_update(spark, sf_dir):
+    found = attention.expert_load(vectors(spark, sf_dir), "x", 2)
+    return found.select("expert", (F.round(vx.bias_update(F.col("load"), 64, 0.001), 6) + 0.0).alias("change"))
+
+
+@query(f"WITH {LONG}, r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY v DESC) AS r FROM e) SELECT vec_id, i, CASE WHEN r <= 5 THEN round(v, 6) + 0.0 END AS y FROM r")
+def topk_mask(spark, sf_dir):
+    return long_form(vectors(spark, sf_dir), vx.top_k_threshold(F.col("x"), 5))
+
+
+@query(
+    f"""WITH {LONG}, {SOFT}, h AS (SELECT a.vec_id, a.p AS p, b.p AS q FROM p a JOIN p b ON b.vec_id = a.vec_id AND b.i = 63 - a.i)
+    SELECT vec_id, round(sum(p * (ln(p) - ln(q))), 6) + 0.0 AS kl FROM h GROUP BY 1"""
+)
+def kl_divergence(spark, sf_dir):
+    p = vectors(spark, sf_dir).select("vec_id", vx.softmax(F.col("x")).alias("p"))
+    return p.select("vec_id", (F.round(vx.kl_divergence(F.col("p"), F.reverse("p")), 6) + 0.0).alias("kl"))
+
+
+@query(
+    f"""WITH {LONG}, m AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, v FROM e)
+    SELECT a.vec_id, a.c AS stream, b.c AS dim, round(sum(a.v * b.v), 6) + 0.0 AS y FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.r = b.r GROUP BY ALL"""
+)
+def mix_streams(spark, sf_dir):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("x", r * 8 + 1, F.lit(8)))
+    mixed = vectors(spark, sf_dir).select("vec_id", rows.alias("m")).select("vec_id", F.posexplode(vx.mix_streams(F.col("m"), F.col("m"))).alias("stream", "y"))
+    return mixed.select("vec_id", "stream", F.posexplode("y").alias("dim", "y")).select("vec_id", "stream", "dim", (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query(
+    """WITH s AS (SELECT vec_id, unnest([0, 1, 2]) AS slot FROM embeddings), r AS (SELECT vec_id, slot, (vec_id + slot * slot) % 4 AS expert, (slot + 1) / 10.0 AS weight FROM s)
+    SELECT vec_id, expert, round(arg_max(weight, slot)::double, 6) AS weight FROM r GROUP BY 1, 2"""
+)
+def dispatch_combine(spark, sf_dir):
+    slots = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slot"))
+    routed = slots.select("vec_id", "slot", ((F.col("vec_id") + F.col("slot") * F.col("slot")) % 4).alias("expert"), ((F.col("slot") + 1) / 10).alias("weight"))
+    return attention.dispatch(routed, "vec_id").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    f"""WITH {CHARS}, g AS (SELECT doc_id, pos, ord(c) AS a, lead(ord(c), 1) OVER w AS b, lead(ord(c), 2) OVER w AS d FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    k AS (SELECT doc_id, count(*) AS n, count(DISTINCT (a, b, d)) FILTER (d IS NOT NULL) AS kinds FROM g GROUP BY 1)
+    SELECT d.doc_id, coalesce(n >= 40 AND kinds >= 0.35 * (n - 2) AND length(regexp_replace(text, '[^a-z]', '', 'g')) >= 0.3 * length(text), false) AS keep FROM documents d LEFT JOIN k USING (doc_id)"""
+)
+def sample_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
+    return docs.select("doc_id", filters.filter_sample(F.col("ids"), F.col("text"), "[a-z]").alias("keep"))
+
+
+@query("SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::double) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%.1f MB', n / 1048576.0::double) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+def human_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.human_size(F.octet_length("html")).alias("size"))
+
+
+@query(
+    f"""WITH {SERIES} SELECT arm, step, round((6 * 2850000.0 + 12 * 4 * 4 * 32 * 256) * 256 * 8 / (1 + step) / 312e12, 12) AS mfu FROM series"""
+)
+def mfu_series(spark, sf_dir):
+    value = experiments.mfu(F.lit(2850000.0), F.lit(4), F.lit(4), F.lit(32), F.lit(256), F.lit(8), 1 + F.col("step"))
+    return series(spark, sf_dir).select("arm", "step", F.round(value, 12).alias("mfu"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, length(text) % 10 AS tok FROM conversations), v AS (SELECT vec_id AS tok, embedding[1]::double AS x FROM embeddings)
+    SELECT conv_id, turn, tok, round(x, 6) + 0.0 AS x FROM t LEFT JOIN v USING (tok)"""
+)
+def token_lookup(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 10).cast("long").alias("tok"))
+    found = tokens.lookup(said, vectors(spark, sf_dir).select(F.col("vec_id").alias("tok"), F.col("x")[0].alias("x")))
+    return found.withColumn("x", F.round("x", 6) + 0.0)
+
+
+@query(
+    """WITH e AS (SELECT event_type, value > 50 AS moe, value > 20 AS shared, value IS NULL AS csa, event_id FROM events)
+    SELECT event_id, array_to_string(list_filter([CASE WHEN moe THEN 'MoE' END, CASE WHEN shared THEN 'Shared' END, CASE WHEN csa THEN 'CSA' END], lambda x: x IS NOT NULL), ' ') AS tags FROM e"""
+)
+def architecture_tags(spark, sf_dir):
+    flags = table(spark, sf_dir, "events").select("event_id", (F.col("value") > 50).alias("moe"), (F.col("value") > 20).alias("shared"), F.col("value").isNull().alias("csa"))
+    return flags.select("event_id", F.array_join(experiments.architecture_tags({"moe": "MoE", "shared": "Shared", "csa": "CSA"}), " ").alias("tags"))
+
+
+@query()
+def bpe_token_count(spark, sf_dir):
+    """Tokens of each text under a byte-level vocabulary, the end of text included."""
+    import public_tokenizers
+
+    ids = tokens.bpe_encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), append=50256)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(ids).alias("n_tokens"))
+
+
 @query()
 def sinkhorn(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(

@@ -157,3 +157,28 @@ def write_report(rows: DataFrame, path: str, title: str, columns: list[str], ord
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda r: r["_line"]), "\n")
     head = f"# {title}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
     rows.agg(F.concat(F.lit(head), lines).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Add evaluations to a metric series; earlier rows stay."""
+    names = {"train_loss": "train/loss", "val_loss": "val/loss"}
+    rows.select(*(F.col(c).alias(names.get(c, c)) for c in rows.columns)).write.mode("append").option("header", "true").csv(path)
+
+
+def read_prompt(spark: SparkSession, given: str) -> DataFrame:
+    """One row of text: the words given, or what a file holds if they begin with FILE:."""
+    if given.startswith("FILE:"):
+        return read_whole(spark, given.removeprefix("FILE:")).select("text")
+    return spark.createDataFrame([(given,)], "text string")
+
+
+def keep_previous(spark: SparkSession, path: str) -> bool:
+    """Move what is at path to path.old, of which one generation is kept; says whether anything was there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, old = hadoop(path), hadoop(path.rstrip("/") + ".old")
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(here):
+        return False
+    if store.exists(old):
+        store.delete(old, True)
+    return store.rename(here, old)
