@@ -38,7 +38,7 @@ def chunks(raw: bytes) -> Iterator[bytes]:
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text: byte trigrams, words, and pairs of adjacent words.
 
-    A pair of equal words counts as one and the same feature whatever the word.
+    A pair of equal words counts as one and the same feature whatever the word, and so do three and four.
     """
     found = []
     for part in chunks((text or "").encode("utf-8")):
@@ -53,6 +53,10 @@ def features(text: str | None) -> np.ndarray:
             words = (sums[end] - sums[begin]) * INVERSES[begin]
             pairs = np.where(words[1:] == words[:-1], np.uint64(0), words[1:] * STEP + words[:-1] * MIX)
             found += [bucket(words, 1), bucket(pairs, 2)]
+            same = words[1:] == words[:-1]
+            for n in (3, 4):  # of longer n-grams only those of one word: all are one feature
+                same = same[1:] & (words[n - 1 :] == words[: 1 - n])
+                found.append(bucket(np.zeros(min(1, same.sum()), dtype=np.uint64), n))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 
@@ -170,6 +174,8 @@ def fit(texts: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     model = Model(w, scale, bias, 1.0, 0.0)
     if (y[later] > 0).any() and (y[later] <= 0).any():
         model.slope, model.shift = platt(np.array([model.margin(r) for r in pick(later)]), y[later])
+        # the sample has other shares of the classes than the labels
+        model.shift += float(np.log(sizes[1] / sizes[0]) - np.log((y > 0).sum() / (y <= 0).sum()))
     return model
 
 
