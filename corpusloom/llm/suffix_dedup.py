@@ -14,6 +14,8 @@ from .tables import materialise
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are looked at together, and of segments that one transform holds.
 CHUNK, TRANSFORM = 1 << 22, 1 << 20
+#: Anchors that are handed on together.
+FRAME_ROWS = 50_000
 #: Distinct segments of one anchor beyond which their strings are counted by hash instead.
 MOST_SEGMENTS = 20_000
 STEP = np.uint64(0x100000001B3)
@@ -58,7 +60,7 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
         hi = np.append(lo[1:], len(at)) - 1
         parts.append((grams[at[lo]], hashes(sums, lo, hi + length), lo + offset, hi + offset))
     if not parts:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -153,14 +155,23 @@ SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    def frame(refs: list[bytes], parts: list[tuple]) -> pd.DataFrame:
+        key, segment, lo, hi = (np.concatenate(p) for p in zip(*parts, strict=True))
+        ref = np.repeat(np.array(refs, dtype=object), [len(p[0]) for p in parts])
+        return pd.DataFrame({"key": key.view(np.int64), "segment": segment.view(np.int64), "ref": ref, "lo": lo, "hi": hi})
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refs, parts, n = [], [], 0  # many texts a frame: a frame has a cost of its own
         for batch in batches:
             for ref, text in zip(batch["ref"], batch["text"], strict=True):
-                key, segment, lo, hi = anchors(text.encode("utf-8"), length, gram)
-                if len(key):
-                    yield pd.DataFrame(
-                        {"key": key.view(np.int64), "segment": segment.view(np.int64), "ref": [ref] * len(key), "lo": lo, "hi": hi}
-                    )
+                refs.append(ref)
+                parts.append(anchors(text.encode("utf-8"), length, gram))
+                n += len(parts[-1][0])
+                if n >= FRAME_ROWS:
+                    yield frame(refs, parts)
+                    refs, parts, n = [], [], 0
+        if n:
+            yield frame(refs, parts)
 
     long_enough = texts.where(F.octet_length("text") >= length).select("ref", "text")
     return long_enough.mapInPandas(rows, "key long, segment long, ref binary, lo long, hi long")
