@@ -41,7 +41,7 @@ def test_features_of_odd_texts():
     assert len(quality.features(None)) == len(quality.features("")) == 0
     assert len(quality.features("a")) == 1
     whole = "word " * 300000  # more than a chunk
-    assert set(quality.features("word word ")) == set(quality.features(whole))
+    assert set(quality.features("word word word word ")) == set(quality.features(whole))
     assert set(quality.bucket(np.array([0], dtype=np.uint64), 2)) <= set(quality.features("x x"))
 
 
