@@ -5,16 +5,23 @@ from pyspark.sql import functions as F
 
 from .tables import materialise
 
+#: Parts that the edges of one node are dealt into.
+SALTS = 8
+
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours to the least of them and the node itself.
 
     The large star moves neighbours above the node, the small star those below it. The least neighbour is a
-    pre-aggregated minimum and is joined back, so a hub's neighbours are never gathered in one place.
+    pre-aggregated minimum and is joined back by node and salt, so a hub's neighbours are never gathered in
+    one place.
     """
     both = edges if not large else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_least"))
-    joined = both.join(least, F.col("u") == F.col("_u")).withColumn("_least", F.least("u", "_least"))
+    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS))
+    joined = both.join(spread, (F.col("u") == F.col("_u")) & (salt == F.col("_salt")))
+    joined = joined.withColumn("_least", F.least("u", "_least"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("_least").alias("v"))
     else:

@@ -254,6 +254,7 @@ def candidates(sets: DataFrame, trees: int, block: int) -> DataFrame:
 
     members = sets.select("set_key", F.explode(paths("labels")).alias("path"))
     sizes = members.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    sizes = materialise(sizes, "buckets")  # so that both sides of the join are shuffled and a hot bucket can be split
     blocks = F.ceil(F.col("_size") / block).cast("int")
     shared = members.join(sizes, F.col("path") == F.col("_path")).select(
         "set_key", "path", F.pmod(F.xxhash64("set_key"), blocks).cast("int").alias("side"), blocks.alias("blocks")
@@ -280,17 +281,23 @@ def candidates(sets: DataFrame, trees: int, block: int) -> DataFrame:
 
 
 def load_shingles(compared: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """compared with each set's n-grams, made again from the text of a row that has the set."""
+    """compared with each set's n-grams, made again from the text of a row that has the set.
 
-    @F.pandas_udf("set_key binary, shingles binary")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, words).tobytes() for t in texts]
-        return pd.DataFrame({"set_key": [hashlib.blake2b(f, digest_size=16).digest() for f in found], "shingles": found})
+    The n-grams are made after the join: a UDF in its condition would be evaluated for every text.
+    """
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingles(t, words).tobytes() for t in batch["text"]]
+            keys = [hashlib.blake2b(f, digest_size=16).digest() for f in found]
+            same = [k == wanted for k, wanted in zip(keys, batch["_key"], strict=True)]
+            yield batch[["_key", "n_copies"]].assign(shingles=found)[same]
 
     needed = sets.join(compared.select("set_key").distinct(), "set_key", "left_semi")
-    texts = rows.join(needed.select("copy_of", "n_copies", F.col("set_key").alias("_key")), F.col("id") == F.col("copy_of"))
-    texts = texts.select("_key", "n_copies", made("text").alias("made")).where("made.set_key = _key")
-    return compared.join(texts.select("_key", "n_copies", "made.shingles"), F.col("set_key") == F.col("_key"))
+    needed = needed.select("copy_of", "n_copies", F.col("set_key").alias("_key"))
+    texts = rows.join(needed, F.col("id") == F.col("copy_of")).select("_key", "n_copies", "text")
+    texts = texts.mapInPandas(made, "_key binary, n_copies long, shingles binary")
+    return compared.join(texts, F.col("set_key") == F.col("_key"))
 
 
 def verified(loaded: DataFrame, forest: Forest, similarity: float) -> DataFrame:
@@ -323,4 +330,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """
     classes = ngram_join(docs, id_col, text_col, **options)
     drop = classes.groupBy(F.col(id_col).alias("_drop_id")).agg(F.every(F.col(id_col) != F.col("class_id")).alias("_drop"))
-    return docs.join(drop.where("_drop").drop("_drop"), docs[id_col] == F.col("_drop_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("_id"))  # names can't clash
+    return rows.join(drop.where("_drop"), F.col("_id") == F.col("_drop_id"), "left_anti").select("row.*")
