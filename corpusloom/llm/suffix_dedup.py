@@ -255,7 +255,8 @@ def remove_repeats(
     keys = rows.groupBy(F.col("key").alias("_key")).agg(
         F.count(F.lit(1)).alias("n"), F.min("segment").alias("s0"), F.max("segment").alias("s1")
     )
-    many = keys.where("n > 1").select("_key", (F.col("s0") != F.col("s1")).alias("mixed"))
+    # as a table of its own the counts are shuffled for the join, whose hot keys can then be split
+    many = materialise(keys.where("n > 1").select("_key", (F.col("s0") != F.col("s1")).alias("mixed")), "keys")
     met = materialise(
         rows.join(many, F.col("key") == F.col("_key")).select("key", "segment", "ref", "lo", "hi", "mixed"), "anchors"
     )
