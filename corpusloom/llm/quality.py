@@ -160,14 +160,14 @@ def fit(texts: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     lowest = lambda label: ordered.where(F.col("label") == label).orderBy("_order", "id").limit(fit_rows)
     chosen = F.broadcast(lowest(0).union(lowest(1)).select("id", "label"))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(features, na_action=None)
+        return texts.map(lambda t: features(t).tobytes(), na_action=None)
 
     rows = texts.join(chosen, F.col("doc") == F.col("id")).select("id", "label", found("text").alias("found")).toPandas()
     rows = rows.sort_values(["id", "label"], ignore_index=True)
     y = rows["label"].to_numpy() * 2 - 1
-    x = [np.asarray(r, dtype=np.int64) for r in rows["found"]]
+    x = [np.frombuffer(r, dtype=np.int32) for r in rows["found"]]
     later = np.arange(len(y)) % 4 == 0
     pick = lambda mask: [x[i] for i in np.flatnonzero(mask)]
     w, bias = dual_coordinate_descent(pick(~later), scale, y[~later])
