@@ -58,7 +58,8 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         spans += ((0, a, b) for a, b in email_spans(text))
     for m in ADDRESS.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]  # int() takes no more than 4300 digits
+        if all(len(p) < 4 and int(p) <= 255 for p in parts):
             spans.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -124,7 +125,7 @@ class Island:
         after = kinds[j] if j < len(kinds) else "$"
         beyond = kinds[j + 1] if j + 1 < len(kinds) else "$"
         parts = span.split(".")
-        address = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        address = len(parts) == 4 and all(len(p) <= 3 and p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
         letters = any(k == "a" for k in kinds[i:j])
         return [
             hashed(f"shape {''.join(kinds[i:j])}"),

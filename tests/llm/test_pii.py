@@ -60,6 +60,20 @@ def test_field_adds_spans_and_keeps_base(spark):
     assert clean[texts.index("call (386) 555-3733 now")] == "call <phone> now" and clean[len(CASES)] is None
 
 
+NUMBERS = {"see 1.2.3.4² below": [(1, 4, 11)], "at 10.0.0.1¹": [(1, 3, 11)], "1.2.3²": [], "to " + "0" * 5000 + "1.2.3.4": [(1, 3, 5010)], "0" * 5000 + "256.2.3.4": []}
+
+
+def test_numbers_that_int_rejects(spark):
+    assert {t: pii.base_spans(t) for t in NUMBERS} == NUMBERS
+    for t in NUMBERS:
+        for begin, end in pii.islands(t):
+            pii.Island(t[begin:end], begin)
+    docs = spark.createDataFrame(list(enumerate([*NUMBERS, *documents()])), "doc_id long, text string")
+    found = {r.text: [(pii.KINDS.index(s.kind), s.start, s.end) for s in r.pii.base] for r in pii.find_spans(docs).collect()}
+    assert {t: found[t] for t in NUMBERS} == NUMBERS
+    assert pii.redact(docs).where("text like '%<ip>%'").count() > 2
+
+
 def test_best_segmentation_is_exhaustive_best():
     import numpy as np
 
