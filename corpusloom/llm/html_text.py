@@ -12,8 +12,22 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 UNSEEN = {
     "area", "base", "datalist", "head", "iframe", "link", "meta", "noembed", "noframes", "param", "script", "source",
-    "style", "template", "title", "track", "audio", "video", "canvas", "object", "svg", "math", "select",
+    "style", "template", "title", "track", "audio", "video", "canvas", "object",
+    "svg title", "svg desc", "svg metadata", "svg defs", "svg symbol", "svg clippath", "svg mask", "svg marker",
+    "svg pattern", "svg style", "svg script", "math annotation", "math annotation-xml", "math mphantom",
 }
+#: Elements of SVG and MathML are named with their language and a space, which no tag holds.
+FOREIGN = {"svg", "math"}
+#: Foreign elements in which HTML begins again.
+HTML_WITHIN = {"svg foreignobject", "svg desc", "svg title", "math mi", "math mo", "math mn", "math ms", "math mtext"}
+#: HTML that ends a foreign element that was left open.
+BREAKS_OUT = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3",
+    "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s",
+    "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var",
+}
+#: SVG elements whose own characters are drawn, within a text.
+LETTERED = {"svg text", "svg tspan", "svg textpath", "svg a"}
 HEAD_ONLY = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 SPACED = {"blockquote", "dl", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "pre", "table", "ul"}
 BLOCK = SPACED | {
@@ -36,7 +50,7 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
-SCOPES = {"html", "table", "td", "th", "caption", "button", "object", "template"}
+SCOPES = {"html", "table", "td", "th", "caption", "button", "object", "template"} | HTML_WITHIN
 TABLE_PARTS = {"table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
 
 #: Markup at a "<". Nothing here is matched twice, so time is linear in the page.
@@ -63,10 +77,18 @@ class Node:
             self.tag in UNSEEN
             or "hidden" in a
             or bool(NOT_SHOWN.search(a.get("style", "")))
+            or " " in self.tag and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"))
             or self.tag == "input"
         )
 
 
+    def foreign(self) -> bool:
+        """Whether tags within it are those of SVG or MathML."""
+        if self.tag == "math annotation-xml":
+            return self.attributes.get("encoding", "").lower() not in ("text/html", "application/xhtml+xml")
+        return " " in self.tag and self.tag not in HTML_WITHIN
+
+
 class TreeBuilder:
     """Nodes of a page. Tags that authors leave out are implied; a stray end tag is ignored."""
 
@@ -93,7 +115,31 @@ class TreeBuilder:
             if tag in beyond:
                 return
 
-    def start(self, tag: str, attributes: dict[str, str]) -> None:
+    def start(self, tag: str, attributes: dict[str, str], closed: bool = False) -> bool:
+        """Open an element; whether it is one of HTML. One of SVG or MathML may be closed by its own tag."""
+        if self.open[-1].foreign() and (tag in BREAKS_OUT or tag == "font" and attributes.keys() & {"color", "face", "size"}):
+            while self.open[-1].foreign():
+                self.pop()
+        if tag in FOREIGN or self.open[-1].foreign():
+            if self.count.get("head"):
+                self.close({"head"}, set())
+            name = f"{tag if tag in FOREIGN else self.open[-1].tag.split(' ')[0]} {tag}"
+            self.add(Node(name, attributes), closed)
+            return False
+        self.start_html(tag, attributes)
+        return True
+
+    def add(self, node: Node, closed: bool) -> None:
+        self.open[-1].children.append(node)
+        if not closed:
+            self.open.append(node)
+            self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def start_html(self, tag: str, attributes: dict[str, str]) -> None:
+        if tag in ("select", "input", "textarea") and self.count.get("select"):
+            self.close({"select"}, SCOPES)
+            if tag == "select":
+                return
         if tag in ("html", "body") and (tag == "html" or self.count.get("body")):
             return
         if self.count.get("head") and tag not in HEAD_ONLY and tag != "head":
@@ -104,13 +150,23 @@ class TreeBuilder:
             self.close(*ENDS[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.start("tr", {})
-        node = Node(tag, attributes)
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-            self.count[tag] = self.count.get(tag, 0) + 1
+        self.add(Node(tag, attributes), tag in VOID)
 
     def end(self, tag: str) -> None:
+        if tag in ("p", "br"):
+            while self.open[-1].foreign():
+                self.pop()
+        if self.count.get(f"svg {tag}") or self.count.get(f"math {tag}"):
+            within = False  # HTML is open, which only the end of its foreign element or of the whole one ends
+            for i in range(len(self.open) - 1, 0, -1):
+                whole, (_, _, name) = self.open[i].tag, self.open[i].tag.partition(" ")
+                if whole == tag:
+                    break
+                within = within or not name
+                if name == tag and (not within or tag in FOREIGN or whole in HTML_WITHIN):
+                    while len(self.open) > i:
+                        self.pop()
+                    return
         if tag == "br":
             self.start("br", {})
         elif tag not in ("html", "body"):
@@ -122,6 +178,14 @@ class TreeBuilder:
         self.open[-1].children.append(data)
 
 
+def closes_itself(inside: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an attribute's value."""
+    if not inside.endswith("/"):
+        return False
+    last = max(map(inside.rfind, " \t\n\r\f\"'")) + 1
+    return "=" not in inside[last:] and not inside[:last].rstrip().endswith("=")
+
+
 def parse(html: str) -> Node:
     builder, at = TreeBuilder(), 0
     while at < len(html):
@@ -135,14 +199,16 @@ def parse(html: str) -> Node:
             break
         at = m.end()
         if not m[2]:
+            if " " in builder.open[-1].tag and m[0].startswith("<![CDATA["):
+                builder.text(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
             builder.end(tag)
             continue
         found = ATTRIBUTE.findall(m[3]) if m[3] else ()
-        builder.start(tag, {n.lower(): unescape(a or b or c) for n, a, b, c in reversed(found)})
-        if tag in RAW:
+        attributes = {n.lower(): unescape(a or b or c) for n, a, b, c in reversed(found)}
+        if builder.start(tag, attributes, closes_itself(m[3])) and tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             if close.start() > at:
                 builder.text(html[at : close.start()] if tag in ("script", "style") else unescape(html[at : close.start()]))
@@ -165,7 +231,8 @@ class Layout:
     def put(self, data: str, keep: bool = False) -> None:
         if keep:
             first, *rest = data.split("\n")
-            self.word(first)
+            self.word((" " if self.space and self.line else "") + first)
+            self.space = False
             for more in rest:
                 self.finish(force=True)
                 self.word(more)
@@ -215,11 +282,67 @@ def aligned(rows: list[list[str]]) -> list[str]:
     return lines
 
 
+def options(select: Node) -> list[str]:
+    """What a select shows: the last selected or else the first enabled option, or all options of a list box."""
+    found, picked, enabled = [], None, None
+    stack = [(c, False) for c in reversed(select.children)]
+    size = select.attributes.get("size", "").strip()
+    box = "multiple" in select.attributes or (re.fullmatch(r"0*[1-9][0-9]{0,8}", size) is not None and int(size) > 1)
+    while stack:
+        node, off = stack.pop()
+        if isinstance(node, str) or node.tag in UNSEEN or box and node.hidden():
+            continue
+        a = node.attributes
+        off = off or "disabled" in a
+        if node.tag == "option":
+            if "selected" in a:
+                picked = len(found)
+            if enabled is None and not off:
+                enabled = len(found)
+            found.append(a.get("label") or letters(node))
+        else:
+            if box and node.tag == "optgroup" and a.get("label"):
+                found.append(a["label"])
+            stack.extend((c, off) for c in reversed(node.children))
+    if box:
+        return found
+    shown = enabled if picked is None else picked
+    return [] if shown is None else [found[shown]]
+
+
+def letters(node: Node) -> str:
+    """The characters of a tree, apart from what is never shown."""
+    out, stack = [], [*reversed(node.children)]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag not in UNSEEN:
+            stack.extend(reversed(x.children))
+    return SPACES.sub(" ", "".join(out)).strip()
+
+
+def drawn(node: Node, lettering: bool) -> list:
+    """What an element of SVG or MathML shows of its children, with spaces between parts that are set apart."""
+    children = node.children
+    if node.tag == "svg switch":
+        inner = [c for c in children if isinstance(c, Node)]
+        children = ([c for c in inner if "systemlanguage" not in c.attributes] or inner)[:1]
+    if node.tag in HTML_WITHIN or node.tag in LETTERED and lettering:
+        return children
+    if node.tag.startswith("svg "):
+        return [c for c in children if isinstance(c, Node)]
+    children = [c for c in children if isinstance(c, Node) or not c.isspace()]
+    if node.tag in ("math mfrac", "math mtable", "math mtr", "math mlabeledtr"):
+        return [x for c in children for x in (" ", c)][1:]
+    return children
+
+
 def render(root: Node) -> str:
     """The visible text of a tree, without recursion: nodes are entered and left by a stack of their own."""
     layouts, tables, lists = [Layout()], [], []
     stack: list[tuple[object, str]] = [(root, "enter")]
-    keep = 0
+    keep = lettering = 0
     while stack:
         node, step = stack.pop()
         now = layouts[-1]
@@ -231,6 +354,17 @@ def render(root: Node) -> str:
         if step == "enter":
             if node.hidden():
                 continue
+            if tag == "select":
+                shown = options(node)
+                for text in shown:
+                    if len(shown) > 1:
+                        now.apart(False)
+                    now.space = True
+                    now.put(text)
+                    now.space = True
+                if len(shown) > 1:
+                    now.apart(False)
+                continue
             cell = tag in ("td", "th") and tables
             if tag == "br":
                 now.finish(force=True)
@@ -258,9 +392,22 @@ def render(root: Node) -> str:
                     now.indents.append("  ")
             keep += tag in ("pre", "textarea")
             stack.append((node, "leave"))
-            stack.extend((c, "enter") for c in reversed(node.children))
+            if " " in tag:
+                a = node.attributes
+                if tag == "math math" and a.get("display") == "block":
+                    now.apart(False)
+                lettering += tag == "svg text"
+                now.space = now.space or tag == "svg text" or tag == "svg tspan" and ("x" in a or "y" in a)
+                stack.extend((c, "enter") for c in reversed(drawn(node, lettering > 0)))
+            else:
+                stack.extend((c, "enter") for c in reversed(node.children))
         else:
             keep -= tag in ("pre", "textarea")
+            lettering -= tag == "svg text"
+            if tag == "svg text":
+                now.space = True
+            elif tag == "math math" and node.attributes.get("display") == "block":
+                now.apart(False)
             if tag == "table":
                 table = tables.pop()
                 now.finish()
@@ -303,8 +450,10 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with a struct column `page`: title and text.
 
     All visible text is kept, in order: nothing is judged to be boilerplate. What browsers do not show is
-    left out: scripts, styles, comments, the head, form choices, and elements hidden by attribute or style.
-    Blocks start on new lines, paragraphs, headings, lists and tables are set off by an empty line, list
+    left out: scripts, styles, comments, the head, options that are not chosen, and elements hidden by attribute
+    or style. A drop-down list shows its selected or first enabled option, a list box all of them. Formulas show
+    their symbols, drawings the characters of their text elements and HTML, without titles, descriptions and
+    definitions; text of definitions is left out also where a `use` element draws it. Blocks start on new lines, paragraphs, headings, lists and tables are set off by an empty line, list
     items carry a dash or number, table cells of a column are aligned, preformatted text keeps its spaces.
 
     Null and empty pages give an empty text and no title. Unclosed and stray tags never fail; nesting may be

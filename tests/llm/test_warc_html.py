@@ -88,6 +88,28 @@ def test_layout():
     assert html_text.page_text("<ul><li>" * 200 + "x")[1].endswith("- x")
 
 
+DRAWN = {
+    "see <svg><title>t</title><desc/><defs><text>no</text></defs>no<g><circle r='1'/><text>A<tspan>b</tspan></text><text>C</text></g></svg>end": "see Ab C end",
+    "<svg><style/><text><![CDATA[1 < 2]]></text><text display=none>no</text></svg>": "1 < 2",
+    "<svg><switch><foreignObject><p>x<p>y</foreignObject><text>old</text></switch></svg>z": "x\n\ny\n\nz",
+    "<p>a<svg><path d='M0'><p>b": "a\n\nb",
+    "if <math><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> then": "if x=1 2 then",
+    "<math><semantics><mrow><mi>y<mo>&lt;</mo></mi></mrow><annotation-xml encoding='text/html'><p>no</annotation-xml></semantics></math>z": "y<z",
+    "Size<select><option>S<option selected>M<option>L</select>now": "Size M now",
+    "<select><option disabled>pick</option><optgroup label=g><option>S<option>L</optgroup></select>": "S",
+    "<select><option hidden selected label='Choose'>c<option>d</select>": "Choose",
+    "<select multiple><option>S<option>L</select>x": "S\nL\nx",
+    "<select><option>S<textarea>t</textarea>u<select hidden><option>v</select>": "S tu",
+    "<svg>" + "<g>" * 20000 + "<text>deep": "deep",
+}
+
+
+def test_drawings_formulas_and_choices():
+    for page, text in DRAWN.items():
+        assert html_text.page_text(page)[1] == text, page[:200]
+    assert html_text.page_text("<svg><title>s</title></svg><p>x") == (None, "x")
+
+
 class Words(HTMLParser):
     """Words outside elements that are never shown, by another parser."""
 
