@@ -49,11 +49,16 @@ def filter_pairs(pairs: DataFrame, order: list[str], limits: Limits | None = Non
     present = pairs.where("user <> '' and asst <> ''")
     cleaned = present.withColumns({"user": strip_noise(F.col("user")), "asst": strip_noise(F.col("asst"))})
     judged = cleaned.withColumn("drop_reason", drop_reason(F.col("user"), F.col("asst"), limits))
-    # dropped pairs are spread by their place: they need no common group
-    spread = [F.when(F.col("drop_reason").isNotNull(), F.struct(*order))]
-    same = Window.partitionBy("user", "asst", *spread).orderBy(*order)
-    repeated = F.col("drop_reason").isNull() & (F.row_number().over(same) > 1)
-    return judged.withColumn("drop_reason", F.when(repeated, "dup").otherwise(F.col("drop_reason")))
+    kept = judged.where(F.col("drop_reason").isNull())
+    first = kept.groupBy("user", "asst").agg(F.min(F.struct(*order)).alias("_first"))
+    marks = {c: F.col(c) for c in ("user", "asst")} | {c: F.col(f"_first.{c}") for c in order}
+    first = first.select(*[v.alias(f"_first_{c}") for c, v in marks.items()], F.lit(True).alias("_is_first"))
+    marked = judged.join(first, [F.col(c).eqNullSafe(F.col(f"_first_{c}")) for c in marks], "left")
+    # copies are spread by their place; only those at one place are numbered together
+    placed = Window.partitionBy(*marks).orderBy(F.lit(0))
+    repeated = F.col("drop_reason").isNull() & (F.col("_is_first").isNull() | (F.row_number().over(placed) > 1))
+    reason = F.when(repeated, "dup").otherwise(F.col("drop_reason"))
+    return marked.withColumn("drop_reason", reason).select(*judged.columns)
 
 
 def drop_counts(judged: DataFrame) -> DataFrame:

@@ -91,6 +91,23 @@ def test_cascade_reasons(spark):
     assert [r.drop_reason for r in got.orderBy("ord").collect()] == [p[2] for p in pairs]
 
 
+def test_copies_of_a_pair_are_spread(spark):
+    rows = [(i // 2, i % 2, "天气怎样" if i % 3 else f"天气怎样{i}", "天气怎样很好呀好") for i in range(3000)]
+    rows += [(1, 0, "天气怎样", "天气怎样很好呀好"), (None, 0, "明天天气怎样", "天气很好呀好"), (None, 0, "明天天气怎样", "天气很好呀好")]
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "a int, b int, user string, asst string")
+        got = filters.filter_pairs(frame, ["a", "b"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    assert len(got) == len(rows)
+    hot = [r for r in got if r.user == "天气怎样"]
+    assert [(r.a, r.b) for r in hot if r.drop_reason is None] == [(0, 1)]
+    assert len({r.task for r in hot}) > 1
+    assert sorted(r.drop_reason or "" for r in got if r.a is None) == ["", "dup"]
+
+
 def test_split_counts_are_exact(spark):
     rows = spark.range(1007).withColumn("source", F.when(F.col("id") < 900, "big").otherwise("small"))
     parts = sampling.split(rows, ["source"], ["id"]).groupBy("source", "split").count().collect()
