@@ -4,6 +4,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -99,6 +100,10 @@ class Island:
         self.offset = offset
         kinds = [shape(text[a]) for a, _ in self.tokens]
         self.classes = np.array(["9a @".find(k) + 1 for k in kinds], dtype=np.int64)
+        digits = [b - a if "0" <= text[a] <= "9" else 0 for a, b in self.tokens]
+        self.digits = [0, *accumulate(digits)]  # in the tokens before each
+        self.dots = [0, *accumulate(text[a] == "." for a, _ in self.tokens)]
+        self.signs = [() if text[a].isalnum() else set(text[a:b]) for a, b in self.tokens]
         self.segments: list[tuple[int, int]] = []
         ids = []
         n = len(kinds)
@@ -118,23 +123,23 @@ class Island:
     def features(self, text: str, kinds: list[str], i: int, j: int) -> list[int]:
         """Hashed features of the whole span of tokens i..j: its shape, counts, checks and surroundings."""
         a, b = self.tokens[i][0], self.tokens[j - 1][1]
-        span = text[a:b] if b - a <= 200 else text[a : a + 200]
-        digits = "".join(c for c in span if "0" <= c <= "9")
-        dots, signs = span.count("."), "".join(sorted({c for c in span if not c.isalnum()}))[:8]
+        n_digits, dots, found = self.digits[j] - self.digits[i], self.dots[j] - self.dots[i], set().union(*self.signs[i:j])
+        signs, at = "".join(sorted(found))[:8], "@" in found
         before = kinds[i - 1] if i else "^"
         after = kinds[j] if j < len(kinds) else "$"
         beyond = kinds[j + 1] if j + 1 < len(kinds) else "$"
-        parts = span.split(".")
+        parts = text[a:b].split(".") if dots == 3 and b - a <= 15 else []
         address = len(parts) == 4 and all(len(p) <= 3 and p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
         letters = any(k == "a" for k in kinds[i:j])
+        card = 16 <= n_digits <= 19 and luhn("".join(text[x:y] for x, y in self.tokens[i:j] if "0" <= text[x] <= "9"))
         return [
             hashed(f"shape {''.join(kinds[i:j])}"),
-            hashed(f"digits {min(len(digits), 24)} {letters}"),
+            hashed(f"digits {min(n_digits, 24)} {letters}"),
             hashed(f"signs {signs} {letters}"),
-            hashed(f"dots {min(dots, 6)} {'@' in span} {address}"),
+            hashed(f"dots {min(dots, 6)} {at} {address}"),
             hashed(f"edges {before}{kinds[i]} {kinds[j - 1]}{after}"),
             hashed(f"after {kinds[j - 1]}{after}{beyond}"),
-            hashed(f"checks {16 <= len(digits) <= 19 and luhn(digits)} {address} {span[:1] == '+'} {letters}"),
+            hashed(f"checks {card} {address} {text[a] == '+'} {letters}"),
             hashed(f"tokens {j - i}"),
         ]
 

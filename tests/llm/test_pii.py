@@ -74,6 +74,12 @@ def test_numbers_that_int_rejects(spark):
     assert pii.redact(docs).where("text like '%<ip>%'").count() > 2
 
 
+def test_features_see_whole_segments():
+    for rest in ("@b.c1", "-4111111111111111", ".1.2.3", " +1 2"):
+        short, long = (pii.Island("a" * n + rest) for n in (3, 250))
+        assert short.segments == long.segments and (short.ids == long.ids).all(), rest
+
+
 def test_best_segmentation_is_exhaustive_best():
     import numpy as np
 
