@@ -1,20 +1,27 @@
 """Nearest neighbours by inner product: multi-index hashing of learned rotated binary codes, reranked on floats."""
 
+import functools
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import materialise
+
 #: Vectors that the codes are fitted on, and those of them that act as queries to set the radius.
 FIT_ROWS, FIT_QUERIES = 4096, 256
-#: Share of true neighbours in the sample that must lie within the Hamming radius.
-WITHIN = 0.98
-SUBSTRINGS, SUBSTRING_BITS = 4, 16
+#: Share of true neighbours in the sample that must lie within the first Hamming radius.
+WITHIN = 0.95
+#: Codes are long, so that few vectors that are no neighbours lie within the radius of their neighbours.
+SUBSTRINGS, SUBSTRING_BITS = 32, 16
 #: Vectors in one block of the index, and queries in one block of queries; a task holds one of each.
 INDEX_BLOCK, QUERY_BLOCK = 16384, 8192
+#: How much of the way to the longest distance the radius grows for queries that found fewer than k.
+GROWTH = 0.25
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -51,11 +58,13 @@ class Codes:
     def code(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         bits = (self.lifted(x, query) - self.mean) @ self.directions > 0
         packed = np.packbits(bits, axis=1, bitorder="little")
-        return np.ascontiguousarray(packed).view("<u8")[:, 0]
+        return np.ascontiguousarray(packed).view("<u2")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Differing bits of codes, which are rows of substrings."""
+    words = np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)
+    return np.bitwise_count(words).sum(-1, dtype=np.int64)
 
 
 def fit(sample: np.ndarray, largest: float, k: int, bits: int = SUBSTRINGS * SUBSTRING_BITS, rounds: int = 40) -> Codes:
@@ -84,20 +93,20 @@ def fit(sample: np.ndarray, largest: float, k: int, bits: int = SUBSTRINGS * SUB
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     near = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
     if near.size:
-        found = distance(codes.code(queries, True)[:, None], codes.code(sample)[near])
+        asked, known = codes.code(queries, True), codes.code(sample)
+        found = np.array([distance(known[some], one) for one, some in zip(asked, near, strict=True)])
         codes.radius = int(np.quantile(found, WITHIN, method="higher"))
     return codes
 
 
+@functools.cache
 def flips(radius: int) -> np.ndarray:
     """All substring values within a Hamming radius of 0."""
-    return np.array(
-        [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(SUBSTRING_BITS), r)], dtype=np.int64
-    )
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(SUBSTRING_BITS), r)], dtype=np.uint16)
 
 
 class MultiIndex:
-    """One bucket table for each substring of the codes.
+    """One directory of buckets for each substring of the codes.
 
     A code within radius r of a query agrees with it in some substring to within r // SUBSTRINGS bits, and
     to within one bit fewer in those after the first r % SUBSTRINGS + 1: probing these buckets finds all.
@@ -106,53 +115,57 @@ class MultiIndex:
     def __init__(self, codes: np.ndarray):
         self.codes, self.tables = codes, []
         for s in range(SUBSTRINGS):
-            part = self.substring(codes, s)
-            order = np.argsort(part, kind="stable")
-            self.tables.append((order, np.searchsorted(part[order], np.arange((1 << SUBSTRING_BITS) + 1))))
-
-    @staticmethod
-    def substring(codes: np.ndarray, s: int) -> np.ndarray:
-        return (codes >> np.uint64(s * SUBSTRING_BITS) & np.uint64((1 << SUBSTRING_BITS) - 1)).astype(np.int64)
-
-    def within(self, query: np.uint64, radius: int, probes: dict[int, np.ndarray]) -> np.ndarray:
+            values, number, sizes = np.unique(codes[:, s], return_inverse=True, return_counts=True)
+            self.tables.append((values, number, np.argsort(number, kind="stable"), np.concatenate([[0], sizes.cumsum()])))
+
+    def probe(self, s: int, part: np.uint16, reach: int) -> np.ndarray:
+        """Places of the codes in the buckets within reach of one substring of a query.
+
+        Bucket numbers near the query's are made where they are fewer than the buckets that hold anything;
+        else those are gone through.
+        """
+        values, number, order, bounds = self.tables[s]
+        if comb(SUBSTRING_BITS, reach) > len(values):
+            return np.flatnonzero((np.bitwise_count(values ^ part) <= reach)[number])
+        wanted = flips(reach) ^ part
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        return np.concatenate([order[:0], *(order[bounds[i] : bounds[i + 1]] for i in at[values[at] == wanted])])
+
+    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Places of all codes within the radius, each once."""
         each, more = divmod(radius, SUBSTRINGS)
         seen = np.zeros(len(self.codes), dtype=bool)
-        for s, (order, bounds) in enumerate(self.tables):
+        for s in range(SUBSTRINGS):
             reach = min(each - (s > more), SUBSTRING_BITS)
-            if reach < 0:
-                continue
-            buckets = probes[reach] ^ int(self.substring(np.array([query]), s)[0])
-            begin, size = bounds[buckets], bounds[buckets + 1] - bounds[buckets]
-            full = size > 0
-            begin, size = begin[full], size[full]
-            if len(size):
-                places = np.repeat(begin - np.concatenate([[0], size.cumsum()[:-1]]), size) + np.arange(size.sum())
-                seen[order[places]] = True
+            if reach >= 0:
+                seen[self.probe(s, query[s], reach)] = True
         found = np.flatnonzero(seen)
         return found[distance(self.codes[found], query) <= radius]
 
 
-def search(queries: pd.DataFrame, index: pd.DataFrame, codes: Codes, k: int) -> pd.DataFrame:
-    """Each query's k best rows of one index block: (query_id, id, score)."""
+def search(queries: pd.DataFrame, index: pd.DataFrame, codes: Codes, radius: int, k: int) -> tuple[pd.DataFrame, list[int]]:
+    """Each query's k best rows within the radius in one index block, (query_id, id, score), and how many rows lie within it."""
     x, ids = matrix(index["x"]), index["id"].to_numpy()
     table = MultiIndex(codes.code(x))
-    probes = {r: flips(r) for r in range(min(codes.radius // SUBSTRINGS, SUBSTRING_BITS) + 1)}
     q = matrix(queries["x"])
-    out = []
+    out, sizes = [], []
     for query_id, vector, code in zip(queries["id"].to_numpy(), q, codes.code(q, True), strict=True):
-        found = table.within(code, codes.radius, probes)
+        found = table.within(code, radius)
         found = found[ids[found] != query_id]
-        if len(found) < k:  # too few codes are so near: all rows of the block
-            found = np.flatnonzero(ids != query_id)
+        n = len(found)
+        sizes.append(n)
         scores = (x[found] * vector).sum(1)  # row by row, so equal vectors get equal scores
-        if len(found) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        if n > k:
+            least = np.partition(scores, n - k)[n - k]
             found, scores = found[scores >= least], scores[scores >= least]
         best = np.lexsort((ids[found], -scores))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "id": ids[found[best]], "score": scores[best]}))
-    columns = {"query_id": ids[:0], "id": ids[:0], "score": np.zeros(0)}
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns)
+        out.append((ids[found[best]], scores[best]))
+    rows = pd.DataFrame({
+        "query_id": np.repeat(queries["id"].to_numpy(), [len(i) for i, _ in out]),
+        "id": np.concatenate([ids[:0], *(i for i, _ in out)]),
+        "score": np.concatenate([np.zeros(0), *(v for _, v in out)]),
+    })
+    return rows, sizes
 
 
 def nearest(
@@ -168,29 +181,52 @@ def nearest(
 
     is_query is a condition on the id column. Queries and index are dealt into blocks by a hash of their ids;
     a task holds one block of each, indexes the codes, probes them and returns k rows a query, so neither
-    side is ever whole in one place and no pairs are emitted. The codes are fitted on the FIT_ROWS vectors
-    whose ids hash lowest; every row is indexed.
+    side is ever whole in one place and no pairs are emitted. The codes and the first radius are fitted on the
+    FIT_ROWS vectors whose ids hash lowest; every row is indexed. Queries that find fewer than k rows (or
+    than there are) within the radius search again with a larger one, until it spans the whole code.
 
     Vectors that are null, zero, or hold null or non-finite parts take no part, nor do rows without an id or
     of another dimension than most. A query's own id is never among its neighbours; rows that repeat an id
     are one row, the one of the lesser vector. Ties go to the smaller id. Too few candidates give all of
     them; an empty table or one without queries gives an empty result.
     """
+    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     usual = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(
         F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     ).alias("largest")).orderBy(F.desc("n"), "d").first()
     id_type = vectors.schema[id_col].dataType.simpleString()
     result = f"query_id {id_type}, id {id_type}, score double"
+    shown = ("query_id", "rank", F.col("id").alias(id_col), "score")
     if usual is None:
-        empty = vectors.sparkSession.createDataFrame([], result)
-        return empty.select("query_id", F.lit(1).alias("rank"), F.col("id").alias(id_col), "score")
+        return spark.createDataFrame([], result).withColumn("rank", F.lit(1)).select(*shown)
     rows = rows.where(F.size("x") == usual["d"]).groupBy("id").agg(F.min("x").alias("x"))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas().sort_values("id")
     order = np.random.default_rng(1).permutation(len(sample))
-    codes = vectors.sparkSession.sparkContext.broadcast(fit(matrix(sample["x"])[order], usual["largest"], k))
+    codes = spark.sparkContext.broadcast(fit(matrix(sample["x"])[order], usual["largest"], k))
     queries = rows.withColumn(id_col, F.col("id")).where(is_query).select("id", "x")
-    n_index, n_query = -(-usual["n"] // index_block), max(1, -(-queries.count() // query_block))
+    n_rows, left = rows.count(), queries.count()
+    enough = min(k, n_rows - 1)
+    bits, radius, done = SUBSTRINGS * SUBSTRING_BITS, codes.value.radius, []
+    while True:
+        found = materialise(best_in_blocks(queries, rows, codes, radius, k, n_rows, left, index_block, query_block, result), "nearest")
+        if radius >= bits or not left:
+            done.append(found)
+            break
+        sizes = found.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+        full = sizes.where(F.col("_n") >= enough)
+        done.append(found.join(full, F.col("query_id") == F.col("_q"), "left_semi"))
+        queries = materialise(queries.join(full, F.col("id") == F.col("_q"), "left_anti"), "queries")
+        left = queries.count()
+        if not left:
+            break
+        radius += max(1, int((bits - radius) * GROWTH))
+    return functools.reduce(DataFrame.union, done).select(*shown)
+
+
+def best_in_blocks(queries, rows, codes, radius, k, n_rows, n_queries, index_block, query_block, result) -> DataFrame:
+    """(query_id, id, score, rank) of the k best rows within the radius of each query, over all blocks."""
+    n_index, n_query = max(1, -(-n_rows // index_block)), max(1, -(-n_queries // query_block))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "x", block(n_query).alias("q"), across(n_index).alias("b")).groupBy("q", "b")
@@ -199,9 +235,8 @@ def nearest(
     def compare(some_queries: pd.DataFrame, some_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(some_queries) or not len(some_rows):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return search(some_queries, some_rows, codes.value, k)
+        return search(some_queries, some_rows, codes.value, radius, k)[0]
 
     partial = left.cogroup(right).applyInPandas(compare, result)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -1,11 +1,12 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann
 from corpusloom.llm.queries import queries
 from corpusloom.llm.tables import read_table
 
-FOLDER = "/root/testdata/sf0.01"
+ROOT = "/root/testdata/"
 
 
 def brute(rows, queries, k):
@@ -18,10 +19,11 @@ def brute(rows, queries, k):
     return out
 
 
-def test_recall_and_scores(spark):
-    rows = [(r.vec_id, list(r.embedding)) for r in read_table(spark, FOLDER, "embeddings").collect()]
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_and_scores(spark, folder):
+    rows = [(r.vec_id, list(r.embedding)) for r in read_table(spark, ROOT + folder, "embeddings").collect()]
     want = brute(rows, {i for i, _ in rows if i % 20 == 0}, 20)
-    got = queries()["op10_nearest"](spark, FOLDER).toPandas()
+    got = queries()["op10_nearest"](spark, ROOT + folder).toPandas()
     by_id = dict(rows)
     hits = 0
     for q, part in got.groupby("query_id"):
@@ -35,14 +37,45 @@ def test_recall_and_scores(spark):
     assert set(got["query_id"]) == set(want) and hits >= 0.9 * 20 * len(want)
 
 
+def test_few_rows_are_candidates(spark):
+    rows = read_table(spark, ROOT + "sf0.1", "embeddings").toPandas().rename(columns={"vec_id": "id", "embedding": "x"})
+    codes = ann.fit(ann.matrix(rows["x"]), 1.0, 20)
+    _, sizes = ann.search(rows[rows["id"] % 20 == 0], rows, codes, codes.radius, 20)
+    assert np.mean(sizes) <= 0.05 * len(rows)
+
+
 def test_index_finds_every_code_within_a_radius():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    codes = np.array([b ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 14), replace=False))) for b in base for _ in range(30)])
-    table, probes = ann.MultiIndex(codes), {r: ann.flips(r) for r in range(17)}
-    for radius in (0, 1, 3, 4, 7, 10, 13, 31):
-        for q in base[:10]:
-            assert table.within(q, radius, probes).tolist() == np.flatnonzero(ann.distance(codes, q) <= radius).tolist()
+    base = rng.integers(0, 1 << 16, (20, ann.SUBSTRINGS), dtype=np.uint16)
+    bits = ann.SUBSTRINGS * ann.SUBSTRING_BITS
+    codes = []
+    for b in base:
+        for _ in range(20):
+            c = np.unpackbits(b.view(np.uint8))
+            c[rng.choice(bits, rng.integers(0, 150), replace=False)] ^= 1
+            codes.append(np.packbits(c).view(np.uint16))
+    codes = np.array(codes)
+    table = ann.MultiIndex(codes)
+    for radius in (0, 1, 3, 31, 32, 40, 75, 100, 215, bits):
+        for q in base[:5]:
+            assert table.within(q, radius).tolist() == np.flatnonzero(ann.distance(codes, q) <= radius).tolist()
+
+
+def test_radius_grows_until_enough_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    rows += [(20 * i, (-5 * rng.random(8)).tolist()) for i in range(4, 6)]  # far from all others
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fitted = ann.fit
+
+    def narrow(*args):
+        codes = fitted(*args)
+        codes.radius = 3
+        return codes
+
+    monkeypatch.setattr(ann, "fit", narrow)
+    got = ann.nearest(frame, F.col("vec_id") % 20 == 0, k=5).toPandas()
+    assert got.groupby("query_id")["rank"].apply(list).tolist() == [[1, 2, 3, 4, 5]] * 5
 
 
 def test_odd_vectors(spark):
