@@ -61,6 +61,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(of_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(spans_text("pii.base"), 256).alias("base_sha256"),
         spans_text("pii.spans").alias("spans"),
+        F.size("pii.spans").cast("long").alias("n_spans"),
     )
 
 
