@@ -1,6 +1,7 @@
 """Removal of repeated byte strings: anchors bring equal strings together, a Burrows-Wheeler transform compares them."""
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,12 @@ from .tables import materialise
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are looked at together, and of segments that one transform holds.
 CHUNK, TRANSFORM = 1 << 22, 1 << 20
+#: Bytes of distinct segments beyond which the strings of one anchor are dealt out by more of what they share.
+CROWDED = 1 << 19
 #: Anchors that are handed on together.
 FRAME_ROWS = 50_000
-#: Distinct segments of one anchor beyond which their strings are counted by hash instead.
-MOST_SEGMENTS = 20_000
+#: A segment with more than one in so many of all anchors is hot; there are fewer than so many of them.
+HOT = 1000
 STEP = np.uint64(0x100000001B3)
 SIZE = CHUNK + 1024
 POWERS = np.concatenate([[np.uint64(1)], np.full(SIZE, STEP, dtype=np.uint64)]).cumprod(dtype=np.uint64)
@@ -70,20 +73,20 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     The segments' Burrows-Wheeler transform is searched breadth-first by backward extension: the intervals of
     all strings of l + 1 bytes that end where a common prefix of length l is first seen come from those of
     l bytes, so the lengths of common prefixes between neighbours in suffix order appear by increasing value.
-    The search stops at `length`; where no value has appeared by then the neighbours share that many bytes.
+    The strings that the suffixes were first sorted by are where it begins. It stops at `length`; where no
+    value has appeared by then the neighbours share that many bytes.
     """
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8)  # no UTF-8 text holds this byte
     n = len(text)
-    order = suffix_order(text, length)
+    order, sorted_by, known = suffix_order(text, length)
     before = text[order - 1]
     first = np.argsort(before, kind="stable")
     back = np.empty(n, dtype=np.int64)
     back[first] = np.arange(n)
     letter = before[first]
-    known = np.zeros(n + 1, dtype=bool)
-    known[[0, n]] = True
-    lb, rb = np.array([0]), np.array([n])
-    for _ in range(length):
+    edges = np.flatnonzero(known)
+    lb, rb = edges[:-1], edges[1:]
+    for _ in range(sorted_by, length):
         size = rb - lb
         owner = np.repeat(np.arange(len(lb)), size)
         image = back[np.arange(size.sum()) + np.repeat(lb - np.concatenate([[0], size.cumsum()[:-1]]), size)]
@@ -114,23 +117,36 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
-def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes by their first `length` bytes or more, equal ones by place, by doubling the length compared."""
-    n, done = len(text), 8
+def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Suffixes by their first `length` bytes or more, by tripling the length compared.
+
+    Also a length that they were sorted by on the way, no more than `length`, and where in the order the
+    strings of that length begin (and the order's end).
+    """
+    n, done, early = len(text), 8, None
     padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : n + k]
+    bits = int(n + 1).bit_length()
+    times = 3 if 3 * bits <= 64 else 2
     while True:
-        order = np.argsort(key, kind="stable")
-        if done >= length:
-            return order
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.concatenate([[0], (ordered[1:] != ordered[:-1]).cumsum()]).astype(np.uint64) + np.uint64(1)
-        key = rank << np.uint64(32)
-        key[: max(0, n - done)] |= rank[done:]
-        done *= 2
+        if done <= length:
+            early = done, rank
+        if done >= length:
+            break
+        key = rank
+        for k in range(1, times):
+            key = key << np.uint64(bits)
+            key[: max(0, n - k * done)] |= rank[k * done :]
+        done *= times
+    sorted_by, rank = early if early else (0, np.zeros(n, dtype=np.uint64))
+    along = rank[order]
+    return order, sorted_by, np.concatenate([[True], along[1:] != along[:-1], [True]])
 
 
 def runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -178,7 +194,11 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def compare_segments(segments: DataFrame, length: int) -> DataFrame:
-    """(ref, start, end): bytes covered by repeated strings, from (key, ref, lo, bytes) rows, all of a key together."""
+    """(key, name, start, end): bytes of segments covered by repeated strings, from (key, name, twin, bytes) rows.
+
+    Bytes that a key has in two rows, or in one of which a twin is known, are repeated whole; which strings of
+    different bytes are equal is found by the transform. All of a key are together, no more than CROWDED bytes.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -186,12 +206,20 @@ def compare_segments(segments: DataFrame, length: int) -> DataFrame:
         def done() -> pd.DataFrame:
             rows = pd.concat(held, ignore_index=True)
             held.clear()
-            out = [
-                (ref, lo + a, lo + b + length)
-                for ref, lo, starts in zip(rows["ref"], rows["lo"], repeated_starts(rows["bytes"].tolist(), length), strict=True)
-                for a, b in runs(starts)
-            ]
-            return pd.DataFrame(out, columns=["ref", "start", "end"])
+            places: dict[tuple[int, bytes], list[int]] = {}
+            for i, at in enumerate(zip(rows["key"].tolist(), rows["bytes"], strict=True)):
+                places.setdefault(at, []).append(i)
+            kinds = Counter(key for key, _ in places)
+            several = [at for at in places if kinds[at[0]] > 1]
+            starts = dict(zip(several, repeated_starts([b for _, b in several], length), strict=True)) if several else {}
+            out, names, twin = [], rows["name"].tolist(), rows["twin"].tolist()
+            for at, some in places.items():
+                if len(some) > 1 or twin[some[0]]:
+                    found = [(0, len(at[1]))]
+                else:
+                    found = [(a, b + length) for a, b in runs(starts[at])] if at in starts else []
+                out += [(at[0], name, a, b) for name in {names[i] for i in some} for a, b in found]
+            return pd.DataFrame(out, columns=["key", "name", "start", "end"])
 
         total = 0
         for frame, bounds in whole_groups(batches, ["key"]):
@@ -208,29 +236,83 @@ def compare_segments(segments: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    dealt = segments.select("key", "ref", "lo", "bytes").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(compare, "ref binary, start long, end long")
+    dealt = segments.select("key", "name", "twin", "bytes").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(compare, "key long, name long, start long, end long")
 
 
-def count_strings(segments: DataFrame, length: int) -> DataFrame:
-    """What compare_segments() gives, for anchors with very many segments: strings are counted by 128-bit hash.
+def anchor_of(raw: bytes, length: int, gram: int) -> int:
+    """Where the anchor of a segment lies: the least gram within the bytes that all of its strings have."""
+    sums = prefix_sums(np.frombuffer(raw, dtype=np.uint8))
+    places = np.arange(len(raw) - length, length - gram + 1)
+    return int(places[np.argmin(hashes(sums, places, places + gram) & ~np.uint64((1 << 24) - 1))])
 
-    Rows of one string are pre-aggregated, so an anchor that a third of all texts hold is no burden to a task.
-    """
 
-    @F.pandas_udf("array<struct<at: bigint, hash: binary>>")
-    def strings(column: pd.Series) -> pd.Series:
-        one = lambda s, a: {"at": a, "hash": hashlib.blake2b(s[a : a + length], digest_size=16).digest()}
-        return column.map(lambda s: [one(s, a) for a in range(len(s) - length + 1)])
+def split_segments(crowded: DataFrame, length: int, gram: int, level: int) -> DataFrame:
+    """(key, name, twin, at, bytes, of_key, of_name, offset): segments dealt out by how far left of the anchor strings begin.
 
-    each = segments.select("ref", "lo", F.explode(strings("bytes")).alias("s"))
-    each = each.select("ref", (F.col("lo") + F.col("s.at")).alias("start"), F.col("s.hash").alias("hash"))
-    many = each.groupBy(F.col("hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each.join(many, F.col("hash") == F.col("_hash")).select("ref", "start", (F.col("start") + length).alias("end"))
+    Equal strings begin equally far from their anchor. Distances are taken together in cells of 2**(8 - level)
+    or so; the strings of a cell share more bytes than the anchor, whose hash is their new key.
+    """
+    width = -(-(length - gram + 1) >> level) or 1
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, name, twin, at, raw in zip(*(batch[c] for c in ("key", "name", "twin", "at", "bytes")), strict=True):
+                anchor = anchor_of(raw, length, gram) if at < 0 else int(at)
+                least, most = anchor - (len(raw) - length), anchor
+                for cell in range(least // width, most // width + 1):
+                    low, high = max(least, cell * width), min(most, cell * width + width - 1)
+                    begin = anchor - high
+                    shared = raw[anchor - cell * width : anchor - cell * width - width + 1 + length]
+                    piece = raw[begin : anchor - low + length]
+                    digest = lambda of: int.from_bytes(hashlib.blake2b(of, digest_size=8).digest(), "little", signed=True)
+                    of = b"%d %d %d " % (key, level, cell)
+                    out.append((digest(of + shared), digest(b"piece " + piece), twin, high, piece, key, name, begin))
+            yield pd.DataFrame(out, columns=["key", "name", "twin", "at", "bytes", "of_key", "of_name", "offset"])
+
+    schema = "key long, name long, twin boolean, at long, bytes binary, of_key long, of_name long, offset long"
+    return crowded.select("key", "name", "twin", "at", "bytes").mapInPandas(split, schema)
+
+
+def repeated_parts(segments: DataFrame, length: int, gram: int, most: int, level: int = 0) -> DataFrame:
+    """compare_segments() of (key, name, twin, at, bytes, crowded) rows; those of crowded keys are split first.
+
+    At the last level a cell holds one distance, so the strings of a key are all equal and no key is crowded.
+    """
+    found = compare_segments(segments.where("not crowded"), length)
+    crowded = segments.where("crowded")
+    if crowded.isEmpty():
+        return found
+    parts = materialise(split_segments(crowded, length, gram, level + 1), "parts")
+    # equal parts are taken together; two of them are compared byte by byte
+    named = parts.groupBy("key", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("twin").alias("twin"), F.min("at").alias("at"),
+        F.min("bytes").alias("bytes"), F.max("bytes").alias("other"),
+    )
+    named = materialise(
+        named.select("key", "name", "n", "at", "bytes", (F.col("twin") | ((F.col("n") > 1) & (F.col("bytes") == F.col("other")))).alias("twin")),
+        "named",
+    )
+    sizes = named.groupBy(F.col("key").alias("_key")).agg(
+        F.sum("n").alias("_n"), F.bool_or("twin").alias("_twin"), F.sum(F.octet_length("bytes")).alias("_size"), F.count(F.lit(1)).alias("_kinds")
+    )
+    sizes = materialise(sizes.where("_n > 1 or _twin"), "sizes")
+    some = named.join(sizes, F.col("key") == F.col("_key")).select(
+        "key", "name", "twin", "at", "bytes", ((F.col("_size") > most) & (F.col("_kinds") > 1)).alias("crowded")
+    )
+    within = repeated_parts(materialise(some, "some"), length, gram, most, level + 1)
+    within = within.select(F.col("key").alias("_k"), F.col("name").alias("_m"), "start", "end")
+    owners = parts.select("key", "name", "of_key", "of_name", "offset")
+    back = owners.join(within, (F.col("key") == F.col("_k")) & (F.col("name") == F.col("_m"))).select(
+        F.col("of_key").alias("key"), F.col("of_name").alias("name"), (F.col("offset") + F.col("start")).alias("start"),
+        (F.col("offset") + F.col("end")).alias("end"),
+    )
+    return found.union(back)
 
 
 def remove_repeats(
-    docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS
+    docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED
 ) -> DataFrame:
     """docs with a struct column `repeats`: spans (byte ranges removed, maximal and in order) and kept (bytes).
 
@@ -240,8 +322,10 @@ def remove_repeats(
 
     1. Each text is cut into segments, the runs of strings that have the same anchor (about one in a hundred
        bytes starts one). Anchors are counted; one that is met once has no repeated string.
-    2. Where all segments of an anchor are equal, or a segment is met twice, all its strings are repeated.
-    3. Of the rest, one copy of each distinct segment goes to the transform together with those of its anchor.
+    2. Of each distinct segment of the others one copy is compared with those of the same anchor, and two if it
+       is met more often: their bytes must be equal for it to be repeated. Different segments are compared by
+       the transform. An anchor with very many is split by what more its strings share.
+    3. What is found of a segment holds for all places that have it; segments are named by two 64-bit hashes.
     4. Texts are joined to their spans once, by content hash: equal texts share their spans, so a text that a
        third of the table repeats has one set of spans.
 
@@ -252,45 +336,45 @@ def remove_repeats(
     whole_rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(text)).alias("ref"))  # names can't clash
     plain = docs.select(text.alias("text")).select(F.unhex(F.md5("text")).alias("ref"), "text")
     rows = anchor_rows(plain, length, gram)
-    keys = rows.groupBy(F.col("key").alias("_key")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("segment").alias("s0"), F.max("segment").alias("s1")
-    )
+    keys = rows.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
     # as a table of its own the counts are shuffled for the join, whose hot keys can then be split
-    many = materialise(keys.where("n > 1").select("_key", (F.col("s0") != F.col("s1")).alias("mixed")), "keys")
-    met = materialise(
-        rows.join(many, F.col("key") == F.col("_key")).select("key", "segment", "ref", "lo", "hi", "mixed"), "anchors"
-    )
-    mixed = met.where("mixed")
-    distinct = mixed.groupBy("key", "segment").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "lo", "hi")).alias("of")
-    )
+    many = materialise(keys.where("n > 1").select("_key"), "keys")
+    met = materialise(rows.join(many, F.col("key") == F.col("_key")).select("key", "segment", "ref", "lo", "hi"), "anchors")
+    place = F.struct("ref", "lo", "hi")
+    distinct = met.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("of"), F.max(place).alias("other"))
     distinct = materialise(distinct, "segments")
-    twice = distinct.where("n > 1").select(F.col("key").alias("_key"), F.col("segment").alias("_segment"))
-    whole = met.where("not mixed").select("ref", "lo", "hi").union(
-        mixed.join(twice, (F.col("key") == F.col("_key")) & (F.col("segment") == F.col("_segment"))).select("ref", "lo", "hi")
-    )
-    whole = whole.select("ref", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    crowded = distinct.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_segments)
-    wanted = distinct.join(crowded, F.col("key") == F.col("_key"), "left").select(
-        F.col("of.ref").alias("ref"), F.struct("key", "of.lo", "of.hi", F.col("_n").isNotNull().alias("crowded")).alias("s")
-    )
+    size = F.col("of.hi") - F.col("of.lo") + length
+    many = distinct.groupBy(F.col("key").alias("_key")).agg(F.sum(size).alias("_size")).where(F.col("_size") > crowded)
+    flagged = distinct.join(many, F.col("key") == F.col("_key"), "left").withColumn("crowded", F.col("_size").isNotNull())
+    same = F.col("of") == F.col("other")  # of equal texts
+    places = F.when((F.col("n") > 1) & ~same, F.array("of", "other")).otherwise(F.array("of"))
+    wanted = flagged.select(
+        "key", "segment", "crowded", ((F.col("n") > 1) & same).alias("twin"), F.explode(places).alias("p")
+    ).select(F.col("p.ref").alias("ref"), F.struct("key", "segment", "p.lo", "p.hi", "twin", "crowded").alias("s"))
     wanted = wanted.groupBy(F.col("ref").alias("_of")).agg(F.collect_list("s").alias("wanted"))
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for ref, value, some in zip(batch["ref"], batch["text"], batch["wanted"], strict=True):
+            for value, some in zip(batch["text"], batch["wanted"], strict=True):
                 raw = value.encode("utf-8")
-                out += [(s["key"], ref, s["lo"], raw[s["lo"] : s["hi"] + length], s["crowded"]) for s in some]
-            yield pd.DataFrame(out, columns=["key", "ref", "lo", "bytes", "crowded"])
-
-    held = plain.join(wanted.hint("shuffle_hash"), F.col("ref") == F.col("_of")).select("ref", "text", "wanted")
-    segments = held.mapInPandas(cut_out, "key long, ref binary, lo long, bytes binary, crowded boolean")
-    segments = materialise(segments, "cut").dropDuplicates(["key", "ref", "lo"])
-    compared = compare_segments(segments.where("not crowded"), length).union(count_strings(segments.where("crowded"), length))
-    spans = materialise(whole.union(compared).distinct().groupBy(F.col("ref").alias("_of")).agg(
-        F.collect_list(F.struct("start", "end")).alias("_spans")
-    ), "spans")
+                out += [(s["key"], s["segment"], s["twin"], -1, raw[s["lo"] : s["hi"] + length], s["crowded"]) for s in some]
+            yield pd.DataFrame(out, columns=["key", "name", "twin", "at", "bytes", "crowded"])
+
+    once = plain.groupBy("ref").agg(F.any_value("text").alias("text"))  # copies of a text go map-side
+    held = once.join(wanted.hint("shuffle_hash"), F.col("ref") == F.col("_of")).select("text", "wanted")
+    segments = held.mapInPandas(cut_out, "key long, name long, twin boolean, at long, bytes binary, crowded boolean")
+    parts = repeated_parts(materialise(segments, "cut"), length, gram, crowded)
+    parts = parts.groupBy(F.col("key").alias("_key"), F.col("name").alias("_name")).agg(F.collect_set(F.struct("start", "end")).alias("parts"))
+    hot = distinct.where(F.col("n") * HOT > met.count()).select(F.col("key").alias("_hot"), F.col("segment").alias("_hot_segment"))
+    parts, hot = materialise(parts, "repeated"), materialise(hot, "hot")
+    of_hot = (F.col("key") == F.col("_hot")) & (F.col("segment") == F.col("_hot_segment"))
+    on = (F.col("key") == F.col("_key")) & (F.col("segment") == F.col("_name"))
+    common = parts.join(F.broadcast(hot), (F.col("_key") == F.col("_hot")) & (F.col("_name") == F.col("_hot_segment"))).drop("_hot", "_hot_segment")
+    covered = met.join(F.broadcast(common), on).unionByName(met.join(F.broadcast(hot), of_hot, "left_anti").join(parts, on))
+    spans = covered.select("ref", "lo", F.explode("parts").alias("p"))
+    spans = spans.select("ref", (F.col("lo") + F.col("p.start")).alias("start"), (F.col("lo") + F.col("p.end")).alias("end"))
+    spans = materialise(spans.distinct().groupBy(F.col("ref").alias("_of")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
 
     @F.pandas_udf(f"spans {SPANS}, kept binary")
     def remove(values: pd.Series, found: pd.Series) -> pd.DataFrame:

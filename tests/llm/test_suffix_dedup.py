@@ -44,13 +44,24 @@ def removed(docs, length):
 def test_removal_is_brute_force(spark):
     docs = corpus()
     frame = spark.createDataFrame([(i % 100, t, n) for n, (i, t) in enumerate(enumerate(docs))], "_ref long, text string, row long")
-    for most in (20_000, 3):  # 3: crowded anchors are counted by hash
-        got = suffix_dedup.remove_repeats(frame, length=60, gram=12, most_segments=most)
+    for most in (1 << 19, 300, 1):  # from 300 anchors on are split, down to single strings where it is 1
+        got = suffix_dedup.remove_repeats(frame, length=60, gram=12, crowded=most)
         assert got.columns == ["_ref", "text", "row", "repeats"]
         found = {r.row: ([tuple(s) for s in r.repeats.spans], bytes(r.repeats.kept)) for r in got.collect()}
         assert found == dict(enumerate(removed(docs, 60)))
 
 
+def test_anchor_of_a_segment_is_found_again():
+    random.seed(15)
+    raw = "".join(random.choices("abcd", k=4000)).encode()
+    for key, _, lo, hi in zip(*(a.tolist() for a in suffix_dedup.anchors(raw, 60, 12)), strict=True):
+        segment = raw[lo : hi + 60]
+        at = suffix_dedup.anchor_of(segment, 60, 12)
+        sums = suffix_dedup.prefix_sums(suffix_dedup.np.frombuffer(segment, dtype="u1"))
+        here = suffix_dedup.np.array([at])
+        assert int(suffix_dedup.hashes(sums, here, here + 12)[0].view("i8")) == suffix_dedup.np.uint64(key).view("i8")
+
+
 def test_long_text_is_looked_at_in_chunks(monkeypatch):
     random.seed(14)
     raw = "".join(random.choices("abcd", k=3000)).encode()
