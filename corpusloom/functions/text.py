@@ -16,6 +16,15 @@ HAN_OR_PUNCTUATION = r"[\x{4e00}-\x{9fff}，。！？；：、'（）《》…
 ONLY_PUNCTUATION = r"""^[，。！？；：、,.!?;:…—\-'"()\[\]{}]*$"""
 TURN_MARKERS = ("\n用户：", "\n模型：", "\nUser:", "\nModel:")
 SENTENCE_ENDS = "。！？…!?~～"
+#: What strip_noise() takes out, in this order: fenced and inline code, links, home paths, control characters, white space.
+NOISE = (
+    r"(?s)```.*?```",
+    r"`[^`\n]{1,80}`",
+    rf"https?://(?:{NOT_SPACE})+",
+    r"(?U)[Cc]:\\\\[\w.\\]+|[\\/](?:home|Users|root|tmp)[\\/][\w./-]*",
+    r"[\x00-\x08\x0b\x0c\x0e-\x1f]",
+    f"{SPACE}+",
+)
 
 
 def strip(text: Column) -> Column:
@@ -29,14 +38,7 @@ def no_spaces(text: Column) -> Column:
 
 def strip_noise(text: Column) -> Column:
     """Without fenced and inline code, links, home paths and control characters; white space runs become one space."""
-    for pattern in (
-        r"(?s)```.*?```",
-        r"`[^`\n]{1,80}`",
-        rf"https?://(?:{NOT_SPACE})+",
-        r"(?U)[Cc]:\\\\[\w.\\]+|[\\/](?:home|Users|root|tmp)[\\/][\w./-]*",
-        r"[\x00-\x08\x0b\x0c\x0e-\x1f]",
-        f"{SPACE}+",
-    ):
+    for pattern in NOISE:
         text = F.regexp_replace(text, pattern, " ")
     return F.trim(text)
 
@@ -107,10 +109,11 @@ def without_prefix(text: Column, prefix: Column) -> Column:
 
 
 def human_size(n_bytes: Column) -> Column:
-    """1.5 KB and the like; GB is the largest unit."""
-    out = F.format_string("%.1f GB", n_bytes / 1024**3)
+    """1.5 KB and the like; GB is the largest unit. Halves go to the even digit: 1280 bytes are 1.2 KB."""
+    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n_bytes / 1024**power, 1))
+    out = shown(3, "GB")
     for power, unit in ((2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n_bytes < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n_bytes / 1024**power)).otherwise(out)
+        out = F.when(n_bytes < 1024 ** (power + 1), shown(power, unit)).otherwise(out)
     return out
 
 

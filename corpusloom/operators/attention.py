@@ -77,6 +77,31 @@ def keep_top(pairs: DataFrame, group: list[str], k: int, ties: bool) -> DataFram
     return pairs.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def block_pairs(rows: DataFrame, group: list[str], pos: str, vec: str, block: int) -> DataFrame:
+    """(group, q, k, score): dot products of each position with the means of the whole blocks before its own.
+
+    A sequence has one k for each `block` positions, so there are that many times fewer pairs than between positions.
+    """
+    pooled = block_mean_pool(rows, group, pos, vec, block)
+    pooled = pooled.groupBy(*group, F.col("block").alias("k")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("_y")
+    )
+    q = rows.select(*group, F.col(pos).alias("q"), F.col(vec).alias("_x"))
+    pairs = q.join(pooled, group).where(F.col("k") < F.floor(F.col("q") / block))
+    return pairs.select(*group, "q", "k", dot(F.col("_x"), F.col("_y")).alias("score"))
+
+
+def block_attention(rows: DataFrame, group: list[str], pos: str, vec: str, block: int, k: int, scale: float, digits: int | None = None) -> DataFrame:
+    """(group, q, k, score, weight) of the k best earlier blocks of each position, ties kept, with softmax weights.
+
+    Positions of the first block have no earlier one and no rows. digits rounds the scores before they are ranked.
+    """
+    pairs = block_pairs(rows, group, pos, vec, block)
+    if digits is not None:
+        pairs = pairs.withColumn("score", F.round("score", digits))
+    return attend(keep_top(pairs, group, k, ties=True), group, scale)
+
+
 def sample_tokens(logits: DataFrame, key: list[str], draw: Column, temperature: float, k: int) -> DataFrame:
     """(key, tok, prob): the token drawn from (key, tok, logit) rows by inverse distribution.
 

@@ -2,10 +2,13 @@
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CONTINUE, HAN_OR_PUNCTUATION, STOPWORDS, char_len, class_ratio, is_degenerate, strip_noise
+from .metrics import distinct_share
 
 
 @dataclass(frozen=True)
@@ -67,16 +70,18 @@ def drop_counts(judged: DataFrame) -> DataFrame:
 
 
 def first_of_equals(rows: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
-    """rows with one row of each key, the first in order, by one pre-aggregated minimum a key and a semi join.
+    """rows with one row of each key, the first in order, by one pre-aggregated minimum a key and a join.
 
-    No group is gathered or sorted, however many rows a key has.
+    Rows find their key's minimum by the digest of the key and by their place, so no group is gathered or
+    sorted, however many rows a key has. Null is a value of a key like any other. Of rows that share both key
+    and place any one stays. A column named `row` and others of any name pass through.
     """
-    first = rows.groupBy(F.xxhash64(*key).alias("_h"), F.sha2(F.concat_ws("\x1f", *key), 256).alias("_s")).agg(
-        F.min(F.struct(*order)).alias("_first")
-    )
-    mark = [F.col(f"_first.{c}").alias(f"_{c}") for c in order]
-    keep = first.select(*mark)
-    return rows.join(keep, [rows[c].eqNullSafe(keep[f"_{c}"]) for c in order], "left_semi")
+    named = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(key)))
+    digest = F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
+    marked = rows.select(F.struct("*").alias("row"), digest.alias("_key"), F.struct(*order).alias("_place"))
+    first = marked.groupBy(F.col("_key").alias("_of")).agg(F.min("_place").alias("_first"))
+    kept = marked.join(first, (F.col("_key") == F.col("_of")) & F.col("_place").eqNullSafe(F.col("_first")))
+    return kept.dropDuplicates(["_key"]).select("row.*")
 
 
 def filter_sample(ids: Column, text: Column, han: str = r"[\x{4e00}-\x{9fff}]") -> Column:
@@ -85,7 +90,19 @@ def filter_sample(ids: Column, text: Column, han: str = r"[\x{4e00}-\x{9fff}]")
     At least 40 ids, distinct 3-grams at least 0.35 of their number, a text of which 0.3 are Han characters.
     """
     n = F.size(ids)
-    grams = F.arrays_zip(F.slice(ids, F.lit(1), n - 2).alias("a"), F.slice(ids, F.lit(2), n - 2).alias("b"), F.slice(ids, F.lit(3), n - 2).alias("c"))
-    varied = F.size(F.array_distinct(grams)) >= 0.35 * (n - 2)
+
+    @F.pandas_udf("double")
+    def variety(values: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if v is None else distinct_share(np.asarray(v, dtype=np.int64) & 0xFFFFFFFF, 3) for v in values], dtype="float64")
+
+    varied = variety(ids) >= 0.35
     share = F.regexp_count(text, F.lit(han)) >= 0.3 * F.length(text)
     return F.when((n >= 40) & (text != ""), varied & share).otherwise(F.lit(False))
+
+
+def acceptance(judged: DataFrame, group: list[str], keep: str = "keep") -> DataFrame:
+    """Per group: samples, those kept, and the share of them; no samples in all give no row."""
+    kept = F.count_if(F.col(keep))
+    return judged.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), kept.alias("n_kept"), (kept / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("rate")
+    )

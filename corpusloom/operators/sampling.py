@@ -20,23 +20,23 @@ def order_key(seed, *parts: Column) -> Column:
 
 def ranked(rows: DataFrame, group: list[str], seed, id_cols: list[str], buckets: int = BUCKETS) -> DataFrame:
     """rows with rn, the place (from 1) in its group by order_key, and n, the group's size."""
-    keyed = rows.withColumn("_key", order_key(seed, *(F.col(c) for c in group + id_cols)))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / (2**32 // buckets), F.lit(2**40)).cast("int"))
-    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = rows.withColumn("__ranked_key", order_key(seed, *(F.col(c) for c in group + id_cols)))
+    keyed = keyed.withColumn("__ranked_bucket", F.pmod(F.conv(F.substring("__ranked_key", 1, 8), 16, 10).cast("long") / (2**32 // buckets), F.lit(2**40)).cast("int"))
+    counts = keyed.groupBy(*group, "__ranked_bucket").agg(F.count(F.lit(1)).alias("__ranked_count"))
+    upto = Window.partitionBy(*group).orderBy("__ranked_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     offsets = counts.select(
         *(F.col(c).alias(f"_{c}_of") for c in group),
-        F.col("_bucket").alias("_of_bucket"),
-        F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"),
-        F.sum("_c").over(whole).alias("n"),
+        F.col("__ranked_bucket").alias("__ranked_of_bucket"),
+        F.coalesce(F.sum("__ranked_count").over(upto), F.lit(0)).alias("__ranked_before"),
+        F.sum("__ranked_count").over(whole).alias("n"),
     )
-    on = F.col("_bucket") == F.col("_of_bucket")
+    on = F.col("__ranked_bucket") == F.col("__ranked_of_bucket")
     for c in group:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}_of"))
-    within = Window.partitionBy(*group, "_bucket").orderBy("_key", *id_cols)
-    out = keyed.withColumn("_row", F.row_number().over(within)).join(offsets, on)
-    out = out.withColumn("rn", F.col("_before") + F.col("_row"))
+    within = Window.partitionBy(*group, "__ranked_bucket").orderBy("__ranked_key", *id_cols)
+    out = keyed.withColumn("__ranked_row", F.row_number().over(within)).join(offsets, on)
+    out = out.withColumn("rn", F.col("__ranked_before") + F.col("__ranked_row"))
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), "rn", "n")
 
 

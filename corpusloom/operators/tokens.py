@@ -26,11 +26,15 @@ def char_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def char_encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the numbers of a text's characters; those outside the vocabulary are left out.
 
-    The vocabulary becomes one map that is joined to all rows; it is bounded by Unicode.
+    The vocabulary becomes one array by code point that is joined to all rows, so that a character is looked up
+    without a search; it is bounded by Unicode.
     """
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("_vocab"))
+    known = vocab.select(F.ascii("ch").cast("long").alias("_code"), "id")
+    every = docs.sparkSession.range(0x110000).join(F.broadcast(known.agg(F.max("_code").alias("_most"))), F.col("id") <= F.col("_most"))
+    slots = every.select(F.col("id").alias("_at")).join(known, F.col("_at") == F.col("_code"), "left")
+    table = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda s: s["id"]).alias("_vocab"))
     chars = F.filter(F.split(F.coalesce(text_col, F.lit("")), ""), lambda c: c != "")
-    ids = F.filter(F.transform(chars, lambda c: F.col("_vocab")[c]), lambda i: i.isNotNull())
+    ids = F.filter(F.transform(chars, lambda c: F.get("_vocab", F.ascii(c))), lambda i: i.isNotNull())
     return docs.crossJoin(F.broadcast(table)).select(id_col, ids.alias("ids"))
 
 

@@ -711,6 +711,54 @@ def sample_filter(spark, sf_dir):
     return docs.select("doc_id", filters.filter_sample(F.col("ids"), F.col("text"), "[a-z]").alias("keep"))
 
 
+@query(
+    f"""WITH {CHARS}, g AS (SELECT doc_id, pos, ord(c) AS a, lead(ord(c), 1) OVER w AS b, lead(ord(c), 2) OVER w AS d FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    k AS (SELECT doc_id, count(*) AS n, count(DISTINCT (a, b, d)) FILTER (d IS NOT NULL) AS kinds FROM g GROUP BY 1),
+    j AS (SELECT lang, coalesce(n >= 40 AND kinds >= 0.35 * (n - 2) AND length(regexp_replace(text, '[^a-z]', '', 'g')) >= 0.3 * length(text), false) AS keep FROM documents d LEFT JOIN k USING (doc_id))
+    SELECT lang, count(*) AS n, count(*) FILTER (keep) AS n_kept, round(count(*) FILTER (keep) / count(*)::double, 6) AS rate FROM j GROUP BY 1"""
+)
+def acceptance_rate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "text", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
+    judged = docs.select("lang", filters.filter_sample(F.col("ids"), F.col("text"), "[a-z]").alias("keep"))
+    return filters.acceptance(judged, ["lang"]).withColumn("rate", F.round("rate", 6))
+
+
+def record_sql() -> str:
+    gram = lambda n: " || ".join(["c"] + [f"lead(c, {k}) OVER w" for k in range(1, n)])
+    grams = ", ".join(
+        f"""g{n} AS (SELECT id, g, count(*) AS n FROM (SELECT id, {gram(n)} AS g FROM c WINDOW w AS (PARTITION BY id ORDER BY p)) WHERE g IS NOT NULL GROUP BY ALL),
+        s{n} AS (SELECT id, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n)::double AS r{n}, count(*) / sum(n)::double AS d{n} FROM g{n} GROUP BY 1)"""
+        for n in (1, 2, 3, 4)
+    )
+    rep = lambda n: f"round(avg(CASE WHEN length(t) < {2 * n} THEN 0 ELSE coalesce(r{n}, 0) END), 4) AS rep{n}"
+    return f"""WITH d AS (SELECT conv_id * 1000 + turn AS id, role, text, regexp_replace(text, '{WS}', '', 'g') AS t FROM conversations),
+    c AS (SELECT id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS p FROM d WHERE t <> ''), {grams}
+    SELECT role, round(avg(length(text)), 1) AS avg_len_tokens, {rep(2)}, {rep(3)}, {rep(4)},
+      round(avg((length(text) - length(t)) / greatest(length(text), 1)::double), 4) AS ws_ratio,
+      round(avg(coalesce(d1, 0)), 4) AS distinct1, round(avg(coalesce(d2, 0)), 4) AS distinct2,
+      round(avg(greatest(len(regexp_extract_all(text, 'the[:：]')), len(regexp_extract_all(text, 'and[:：]')))), 1) AS turn_structure
+    FROM d LEFT JOIN s1 USING (id) LEFT JOIN s2 USING (id) LEFT JOIN s3 USING (id) LEFT JOIN s4 USING (id) GROUP BY 1"""
+
+
+@query(record_sql())
+def evaluation_record(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations")
+    return metrics.evaluation_record(said, ["role"], F.length("text"), user="the", model="and")
+
+
+@query(
+    f"""WITH {SEQ}, l AS (SELECT seq, pos, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM s),
+    b AS (SELECT seq, pos // 4 AS k, i, avg(v) AS m FROM l GROUP BY ALL HAVING count(*) = 4),
+    p AS (SELECT l.seq, l.pos AS q, b.k, round(sum(l.v * b.m), 4) AS score FROM l JOIN b ON l.seq = b.seq AND l.i = b.i AND b.k < l.pos // 4 GROUP BY ALL),
+    t AS (SELECT *, rank() OVER (PARTITION BY seq, q ORDER BY score DESC) AS r FROM p),
+    e AS (SELECT *, exp(score * 0.125 - max(score * 0.125) OVER w) AS x FROM t WHERE r <= 3 WINDOW w AS (PARTITION BY seq, q))
+    SELECT seq, q, k, round(x / sum(x) OVER (PARTITION BY seq, q), 6) AS weight FROM e"""
+)
+def block_attention(spark, sf_dir):
+    found = attention.block_attention(sequences(spark, sf_dir), ["seq"], "pos", "x", block=4, k=3, scale=0.125, digits=4)
+    return found.select("seq", "q", "k", F.round("weight", 6).alias("weight"))
+
+
 @query("SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::double) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%.1f MB', n / 1048576.0::double) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
 def human_sizes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.human_size(F.octet_length("html")).alias("size"))

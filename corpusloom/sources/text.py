@@ -1,6 +1,7 @@
 """Reading and writing text corpora, logs, result files and token streams."""
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,10 +67,29 @@ def read_zstd_lines(spark: SparkSession, path: str, pattern: str = "*.zst") -> D
 
 def read_rows(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
     """JSON rows of a schema; rows that don't parse are left out. most caps the raw rows, not the good ones."""
-    raw = spark.read.text(path)
+    return good_rows(parsed_rows(spark, path, schema, most))
+
+
+def parsed_rows(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
+    """(row, bad) of JSON lines that are not empty: bad is the line where it is no JSON object of the schema, else null.
+
+    from_json gives a row of nulls for a bad line, so what it could not read is kept in a field of its own.
+    """
+    raw = spark.read.text(path).where(F.trim("value") != "")
     raw = raw.limit(most) if most else raw
-    parsed = raw.select(F.from_json("value", schema).alias("row")).where("row is not null")
-    return parsed.select("row.*")
+    row = F.from_json("value", f"{schema}, __bad STRING", {"columnNameOfCorruptRecord": "__bad"})
+    found = raw.select(row.alias("row"), "value")
+    bad = F.when(F.col("row").isNull(), F.col("value")).otherwise(F.col("row.__bad"))
+    return found.select(F.col("row").dropFields("__bad").alias("row"), bad.alias("bad"))
+
+
+def good_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.where("bad is null").select("row.*")
+
+
+def bad_count(parsed: DataFrame) -> DataFrame:
+    """One row: lines read, and how many of them did not parse."""
+    return parsed.agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_bad"))
 
 
 def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -102,7 +122,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def discover_runs(spark: SparkSession, path: str) -> DataFrame:
     """(run, has_model, has_results) of the folders right below path that hold best.pt or results.csv."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{best.pt,results.csv}").load(path).select("path")
-    inside = F.regexp_extract("path", rf"{path.rstrip('/')}/([^/]+)/([^/]+)$", 1)
+    inside = F.regexp_extract("path", rf"{re.escape(path.rstrip('/'))}/([^/]+)/([^/]+)$", 1)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     found = files.select(inside.alias("run"), name.alias("name")).where("run <> ''")
     return found.groupBy("run").agg(F.bool_or(F.col("name") == "best.pt").alias("has_model"), F.bool_or(F.col("name") == "results.csv").alias("has_results"))
