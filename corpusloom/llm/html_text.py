@@ -61,7 +61,12 @@ MARKUP = re.compile(
 )
 TAG_BEGINS = re.compile(r"</?[A-Za-z]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: Controls whose label stands apart from the text beside it.
+CONTROLS = {"button"}
+#: Widest cell line that other cells of its column are aligned to, and the most columns or rows that a cell spans.
+ALIGNED, MOST_COLUMNS, MOST_ROWS = 48, 1000, 65534
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -77,10 +82,16 @@ class Node:
             self.tag in UNSEEN
             or "hidden" in a
             or bool(NOT_SHOWN.search(a.get("style", "")))
-            or " " in self.tag and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"))
+            or " " in self.tag and a.get("display") == "none"
             or self.tag == "input"
         )
 
+    def visible(self, inherited: bool) -> bool:
+        """By its own style, the last one given, or else as the element around it."""
+        own = VISIBILITY.findall(self.attributes.get("style", ""))
+        if not own and " " in self.tag and "visibility" in self.attributes:
+            own = [self.attributes["visibility"]]
+        return own[-1].lower() == "visible" if own else inherited
 
     def foreign(self) -> bool:
         """Whether tags within it are those of SVG or MathML."""
@@ -269,17 +280,45 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of a table: cells of a column start at the same place, a cell's further lines lie below its first."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    columns = max((len(r) for r in cells), default=0)
-    width = [max((len(line) for r in cells if i < len(r) for line in r[i]), default=0) for i in range(columns)]
-    lines = []
-    for row in cells:
-        for k in range(max((len(c) for c in row), default=0)):
-            parts = [(c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)]
-            lines.append("  ".join(parts).rstrip())
-    return lines
+def span_of(value: str | None, most: int) -> int:
+    return min(max(int(value), 1), most) if value and re.fullmatch(r"[0-9]{1,9}", value.strip()) else 1
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table of (text, columns, rows) cells: cells of a column start at the same place, further lines lie below.
+
+    Lines longer than ALIGNED widen no column, so a page with one long cell is not padded to its length.
+    """
+    placed, below = [], {}  # below: columns that a cell of an earlier row fills, and for how many more rows
+    for row in rows:
+        line, at, filled = [], 0, {c: n - 1 for c, n in below.items() if n > 1}
+        for text, columns, down in row:
+            while at in below:
+                at += 1
+            line.append((at, columns, text.split("\n")))
+            if down > 1:
+                filled |= {c: down - 1 for c in range(at, at + columns)}
+            at += columns
+        placed.append(line)
+        below = filled
+    width: dict[int, int] = {}
+    for line in placed:
+        for at, columns, lines in line:
+            if columns == 1:
+                width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= ALIGNED)])
+    begin, total = {}, 0
+    for c in range(max((at + 1 for line in placed for at, _, _ in line), default=0)):
+        begin[c] = total
+        total += width[c] + 2 if width.get(c) else 0
+    out = []
+    for line in placed:
+        for k in range(max((len(lines) for _, _, lines in line), default=0)):
+            text = ""
+            for at, _, lines in line:
+                if k < len(lines) and lines[k]:
+                    text = (text.ljust(begin[at]) if len(text) + 2 <= begin[at] or not text else f"{text}  ") + lines[k]
+            out.append(text.rstrip())
+    return out
 
 
 def options(select: Node) -> list[str]:
@@ -343,19 +382,22 @@ def render(root: Node) -> str:
     layouts, tables, lists = [Layout()], [], []
     stack: list[tuple[object, str]] = [(root, "enter")]
     keep = lettering = 0
+    seen = [True]  # visibility of the elements that are open
     while stack:
         node, step = stack.pop()
         now = layouts[-1]
         if isinstance(node, str):
-            if not (tables and tables[-1]["open"] and tables[-1]["depth"] == len(layouts) and node.isspace()):
+            if seen[-1] and not (tables and tables[-1]["open"] and tables[-1]["depth"] == len(layouts) and node.isspace()):
                 now.put(node, keep > 0)
             continue
         tag = node.tag
         if step == "enter":
             if node.hidden():
                 continue
+            now.space = now.space or tag in CONTROLS
+            visible = node.visible(seen[-1])
             if tag == "select":
-                shown = options(node)
+                shown = options(node) if visible else []
                 for text in shown:
                     if len(shown) > 1:
                         now.apart(False)
@@ -391,6 +433,7 @@ def render(root: Node) -> str:
                 elif tag in ("blockquote", "dd"):
                     now.indents.append("  ")
             keep += tag in ("pre", "textarea")
+            seen.append(visible)
             stack.append((node, "leave"))
             if " " in tag:
                 a = node.attributes
@@ -402,6 +445,8 @@ def render(root: Node) -> str:
             else:
                 stack.extend((c, "enter") for c in reversed(node.children))
         else:
+            seen.pop()
+            now.space = now.space or tag in CONTROLS
             keep -= tag in ("pre", "textarea")
             lettering -= tag == "svg text"
             if tag == "svg text":
@@ -417,7 +462,8 @@ def render(root: Node) -> str:
                 now.apart(True)
             elif tag in ("td", "th") and tables and len(layouts) > 1:
                 layouts.pop()
-                tables[-1]["rows"][-1].append(now.text())
+                a = node.attributes
+                tables[-1]["rows"][-1].append((now.text(), span_of(a.get("colspan"), MOST_COLUMNS), span_of(a.get("rowspan"), MOST_ROWS)))
             elif tag in BLOCK:
                 now.apart(tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))
                 if tag in ("ul", "ol", "menu"):
@@ -454,7 +500,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     or style. A drop-down list shows its selected or first enabled option, a list box all of them. Formulas show
     their symbols, drawings the characters of their text elements and HTML, without titles, descriptions and
     definitions; text of definitions is left out also where a `use` element draws it. Blocks start on new lines, paragraphs, headings, lists and tables are set off by an empty line, list
-    items carry a dash or number, table cells of a column are aligned, preformatted text keeps its spaces.
+    items carry a dash or number, table cells of a column are aligned, also beside cells that span several columns
+    or rows, preformatted text keeps its spaces. A visible part of an invisible element is shown.
 
     Null and empty pages give an empty text and no title. Unclosed and stray tags never fail; nesting may be
     of any depth. Rows are independent; other columns pass through, one named `page` is replaced.

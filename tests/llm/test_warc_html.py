@@ -137,3 +137,59 @@ def test_all_words_of_pages_stay_in_order(spark):
         shown = [re.sub(r"^-$", "", w) for w in r.page.text.split()]
         assert "".join(w for w in shown if w) == "".join(w for w in words.words if w != "-")
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def plain_table(rows):
+    """Where each cell's text begins, by column, with every column as wide as its widest cell of one column."""
+    grid, taken = [], {}
+    for r, row in enumerate(rows):
+        at = 0
+        for text, columns, down in row:
+            while (r, at) in taken:
+                at += 1
+            grid.append((r, at, text))
+            for y in range(r, r + down):
+                for x in range(at, at + columns):
+                    taken[y, x] = text
+            at += columns
+    wide = {}
+    for r, row in enumerate(rows):
+        for text, columns, _ in row:
+            c = next(c for q, c, t in grid if q == r and t == text)
+            wide[c] = max(wide.get(c, 0), len(text) if columns == 1 else 0)
+    return {text: (r, sum(wide.get(x, 0) + 2 for x in range(c) if wide.get(x, 0))) for r, c, text in grid}
+
+
+def test_tables_are_laid_out_as_by_a_plain_renderer():
+    rows = [[("Wide head", 2, 1), ("c0", 1, 1)], [("a1", 1, 2), ("bee1", 1, 1), ("c1", 1, 1)], [("b2", 1, 1), ("c2", 1, 1)], [("a3", 1, 1), ("b3", 1, 1), ("c3", 1, 1)]]
+    cell = lambda c: f"<td colspan={c[1]} rowspan={c[2]}>{c[0]}</td>"
+    html = "<table>" + "".join(f"<tr>{''.join(map(cell, row))}</tr>" for row in rows) + "</table>"
+    lines = html_text.page_text(html)[1].split("\n")
+    for text, (r, column) in plain_table(rows).items():
+        if text == "c0":  # its column begins within the wide head's text, so it stands two spaces after it
+            assert lines[r] == "Wide head  c0"
+        else:
+            assert lines[r][column : column + len(text)] == text, (lines, text)
+
+
+def test_long_cells_are_not_padded_to():
+    html = "<table><tr><td>" + "x" * 20000 + "</td><td>" + "<br>".join(["short"] * 2000) + "</td></tr></table>"
+    assert len(html_text.page_text(html)[1]) < 4 * len(html)
+    wide = "<table>" + "<tr><td colspan=1000>a</td><td rowspan=99999999>b</td><td colspan=x>c</td></tr>" * 50 + "</table>"
+    assert len(html_text.page_text(wide)[1]) < 2 * len(wide)
+
+
+def test_visibility_is_inherited():
+    shown = lambda html: html_text.page_text(html)[1]
+    assert shown("a<div style='visibility:hidden'>b<span style='visibility:visible'>c</span>d</div>e") == "a\nc\ne"
+    assert shown("<p style='visibility:hidden'>b<b style='display:none'>x<i style='visibility:visible'>y</i></b></p>z") == "z"
+    assert shown("<p style='visibility:hidden;visibility:visible'>b</p>") == "b"
+    assert shown("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>") == "- b"
+    assert shown("a<button>got</button><textarea>it</textarea>") == "a got it"
+
+
+def test_clashing_page_column(spark):
+    frame = spark.createDataFrame([("<p>a", 1, "t"), (None, 2, "u"), ("<p>a", 1, "t")], "html string, page int, text string")
+    got = html_text.extract(frame)
+    assert got.columns == ["html", "page", "text"] and sorted(r.page.text for r in got.collect()) == ["", "a", "a"]
+    assert html_text.extract(frame.limit(0)).count() == 0
