@@ -23,16 +23,33 @@ def bucket(codes: np.ndarray, kind: int) -> np.ndarray:
     return ((codes * np.uint64(2) + np.uint64(2 * kind + 1)) * MIX >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int32)
 
 
-def chunks(raw: bytes) -> Iterator[bytes]:
-    """The text in runs of about CHUNK bytes that end at white space if there is any."""
-    begin = 0
-    while begin < len(raw):
-        end = min(begin + CHUNK, len(raw))
-        if end < len(raw):
-            space = max(raw.rfind(b" ", begin, end), raw.rfind(b"\n", begin, end))
-            end = space + 1 if space > begin else end
-        yield raw[begin:end]
-        begin = end
+@np.errstate(over="ignore")
+def word_codes(raw: bytes) -> np.ndarray:
+    """A number for each run of bytes above the space, from sums over CHUNK bytes at a time that are carried over."""
+    parts, held, scale = [], np.uint64(0), np.uint64(1)
+    open_word = False  # whether the last byte so far was part of a word
+    for begin in range(0, len(raw), CHUNK):
+        b = np.frombuffer(raw[begin : begin + CHUNK], dtype=np.uint8).astype(np.uint64)
+        inside = b > 32
+        starts = inside & ~np.concatenate([[open_word], inside[:-1]])
+        ends = ~inside & np.concatenate([[open_word], inside[:-1]])
+        first, last = np.flatnonzero(starts), np.flatnonzero(ends)
+        sums = np.concatenate([[np.uint64(0)], (b * POWERS[: len(b)]).cumsum(dtype=np.uint64)])
+        if open_word and len(last) and (not len(first) or last[0] < first[0]):
+            parts.append(np.array([held + sums[last[0]] * scale], dtype=np.uint64))
+            last = last[1:]
+            open_word = False
+        whole = first[: len(last)]
+        parts.append((sums[last] - sums[whole]) * INVERSES[whole])
+        if open_word:  # the word goes on through all of these bytes
+            held += sums[-1] * scale
+            scale *= POWERS[len(b)]
+        elif len(first) > len(last):
+            held = (sums[-1] - sums[first[-1]]) * INVERSES[first[-1]]
+            scale, open_word = POWERS[len(b) - first[-1]], True
+    if open_word:
+        parts.append(np.array([held], dtype=np.uint64))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -40,23 +57,18 @@ def features(text: str | None) -> np.ndarray:
 
     A pair of equal words counts as one and the same feature whatever the word, and so do three and four.
     """
-    found = []
-    for part in chunks((text or "").encode("utf-8")):
-        b = np.frombuffer(part, dtype=np.uint8).astype(np.uint64)
-        if len(b) > 2:
-            found.append(bucket(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:], 0))
-        inside = np.concatenate([[False], b > 32, [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        begin, end = edges[::2], edges[1::2]
-        if len(begin):
-            sums = np.concatenate([[np.uint64(0)], (b * POWERS[: len(b)]).cumsum(dtype=np.uint64)])
-            words = (sums[end] - sums[begin]) * INVERSES[begin]
-            pairs = np.where(words[1:] == words[:-1], np.uint64(0), words[1:] * STEP + words[:-1] * MIX)
-            found += [bucket(words, 1), bucket(pairs, 2)]
-            same = words[1:] == words[:-1]
-            for n in (3, 4):  # of longer n-grams only those of one word: all are one feature
-                same = same[1:] & (words[n - 1 :] == words[: 1 - n])
-                found.append(bucket(np.zeros(min(1, same.sum()), dtype=np.uint64), n))
+    raw, found = (text or "").encode("utf-8"), []
+    for begin in range(0, len(raw) - 2, CHUNK):
+        b = np.frombuffer(raw[begin : begin + CHUNK + 2], dtype=np.uint8).astype(np.uint64)
+        found.append(np.unique(bucket(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:], 0)))
+    words = word_codes(raw)
+    if len(words):
+        pairs = np.where(words[1:] == words[:-1], np.uint64(0), words[1:] * STEP + words[:-1] * MIX)
+        found += [bucket(words, 1), bucket(pairs, 2)]
+        same = words[1:] == words[:-1]
+        for n in (3, 4):  # of longer n-grams only those of one word: all are one feature
+            same = same[1:] & (words[n - 1 :] == words[: 1 - n])
+            found.append(bucket(np.zeros(min(1, same.sum()), dtype=np.uint64), n))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 

@@ -1,4 +1,7 @@
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -45,6 +48,55 @@ def test_features_of_odd_texts():
     assert set(quality.bucket(np.array([0], dtype=np.uint64), 2)) <= set(quality.features("x x"))
 
 
+def plain_features(text):
+    raw = (text or "").encode()
+    one = lambda code, kind: int(quality.bucket(np.array([code % 2**64], dtype=np.uint64), kind)[0])
+    out = {one(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2], 0) for i in range(len(raw) - 2)}
+    step, mix = int(quality.STEP), int(quality.MIX)
+    words = [sum(c * pow(step, i, 2**64) for i, c in enumerate(w)) % 2**64 for w in re.findall(rb"[!-\xff]+", raw)]
+    out |= {one(w, 1) for w in words}
+    out |= {one(0 if a == b else b * step + a * mix, 2) for a, b in zip(words, words[1:], strict=False)}
+    for n in (3, 4):
+        out |= {one(0, n) for i in range(len(words) - n + 1) if len(set(words[i : i + n])) == 1}
+    return sorted(out)
+
+
+def test_features_are_those_of_a_plain_version_at_every_chunk_size(monkeypatch):
+    rng = random.Random(7)
+    texts = ["", "a", "é é", " x ", "word", *("".join(rng.choices("ab é\n", k=rng.randint(0, 60))) for _ in range(60))]
+    for size in (1 << 20, 1, 2, 3, 7, 16):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        for t in texts:
+            assert quality.features(t).tolist() == plain_features(t), (size, t)
+
+
+def test_query_is_a_plain_version(spark):
+    rng = random.Random(8)
+    good, bad = "the cat sat on a mat".split(), "buy now cheap pills win".split()
+    docs = [(i, " ".join(rng.choices(good if i % 3 else bad, k=rng.randint(3, 12)))) for i in range(120)]
+    labels = [(i, int(i % 3 > 0)) for i in range(100)]
+    got = quality.classify(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    ).collect()
+    learn = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = dict(docs)
+    sizes = [sum(y == c for _, y in learn) for c in (0, 1)]
+    counts = [Counter(f for i, y in learn if y == c for f in plain_features(texts[i])) for c in (0, 1)]
+    scale = {f: np.log((counts[1][f] + 1) / (sizes[1] + 2)) - np.log((counts[0][f] + 1) / (sizes[0] + 2)) for f in counts[0] | counts[1]}
+    dense = np.zeros(quality.FEATURES)
+    dense[list(scale)] = list(scale.values())
+    rows = [(np.array(plain_features(texts[i])), 2 * y - 1) for i, y in sorted(learn)]
+    train, later = [r for n, r in enumerate(rows) if n % 4], rows[::4]
+    w, b = quality.dual_coordinate_descent([x for x, _ in train], dense, np.array([y for _, y in train]))
+    margin = lambda x: w[x] @ dense[x] / (np.sqrt((dense[x] ** 2).sum()) or 1) + b
+    y = np.array([v for _, v in later])
+    slope, shift = quality.platt(np.array([margin(x) for x, _ in later]), y)
+    shift += np.log(sizes[1] / sizes[0]) - np.log(sum(v > 0 for _, v in rows) / sum(v <= 0 for _, v in rows))
+    for r in got:
+        want = 1 / (1 + np.exp(-(slope * margin(np.array(plain_features(r.text), dtype=int)) + shift)))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "text", 5), (1, None, 5)], "doc_id long, text string, label int")
     for labels in ([], [(1, 1, 0)], [(1, 1, 0), (2, 0, 0), (1, 1, 0), (9, 1, 1), (None, 1, 1), (2, None, 1)]):
