@@ -14,8 +14,6 @@ from .tables import materialise
 
 #: Buckets per length within which rows are ranked; bounds the rows of one sort where a length is very common.
 SALTS = 1024
-#: The plan depends on the set of lengths, not on the number of documents; far above what any input gives.
-MOST_PLAN_ROWS = 4_000_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -87,8 +85,6 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
                 open_run(remaining - left * length, first + full, 1)
                 rank, left, full = rank + left, 0, full + 1
             open_run(remaining, first + full, bins - full)
-    if len(rows) > MOST_PLAN_ROWS:
-        raise ValueError(f"a plan of {len(rows)} rows is too large to broadcast")
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
@@ -140,12 +136,13 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", salts:
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(best_fit_plan(histogram, capacity))
+    rows = best_fit_plan(histogram, capacity)
+    keys = (capacity - rows[:, 0] << 44) + rows[:, 1]  # lengths fall and ranks rise along the plan
+    plan = spark.sparkContext.broadcast((rows, keys))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        rows = plan.value
-        keys = (capacity - rows[:, 0] << 44) + rows[:, 1]  # lengths fall and ranks rise along the plan
+        rows, keys = plan.value
         at = np.searchsorted(keys, (capacity - length.to_numpy() << 44) + rank.to_numpy(), side="right") - 1
         _, first_rank, _, each, first_bin, first_offset = rows[at].T
         nth, within = np.divmod(rank.to_numpy() - first_rank, each)
