@@ -17,7 +17,7 @@ TREES, DEPTH = 20, 8
 #: Share of the pairs at the similarity threshold that the forest must find.
 RECALL = 0.9999
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS_STEP = np.uint64(0x100000001B3)
 
