@@ -118,18 +118,19 @@ class MultiIndex:
             values, number, sizes = np.unique(codes[:, s], return_inverse=True, return_counts=True)
             self.tables.append((values, number, np.argsort(number, kind="stable"), np.concatenate([[0], sizes.cumsum()])))
 
-    def probe(self, s: int, part: np.uint16, reach: int) -> np.ndarray:
-        """Places of the codes in the buckets within reach of one substring of a query.
+    def probe(self, seen: np.ndarray, s: int, part: np.uint16, reach: int) -> None:
+        """Mark the codes in the buckets within reach of one substring of a query.
 
-        Bucket numbers near the query's are made where they are fewer than the buckets that hold anything;
-        else those are gone through.
+        Where few bucket numbers are so near they are looked up; else the buckets that hold anything are gone through.
         """
         values, number, order, bounds = self.tables[s]
-        if comb(SUBSTRING_BITS, reach) > len(values):
-            return np.flatnonzero((np.bitwise_count(values ^ part) <= reach)[number])
+        if comb(SUBSTRING_BITS, reach) * 16 > len(values):
+            seen |= (np.bitwise_count(values ^ part) <= reach)[number]
+            return
         wanted = flips(reach) ^ part
         at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-        return np.concatenate([order[:0], *(order[bounds[i] : bounds[i + 1]] for i in at[values[at] == wanted])])
+        for i in at[values[at] == wanted]:
+            seen[order[bounds[i] : bounds[i + 1]]] = True
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Places of all codes within the radius, each once."""
@@ -138,7 +139,7 @@ class MultiIndex:
         for s in range(SUBSTRINGS):
             reach = min(each - (s > more), SUBSTRING_BITS)
             if reach >= 0:
-                seen[self.probe(s, query[s], reach)] = True
+                self.probe(seen, s, query[s], reach)
         found = np.flatnonzero(seen)
         return found[distance(self.codes[found], query) <= radius]
 
