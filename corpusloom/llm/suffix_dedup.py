@@ -14,9 +14,9 @@ from .tables import materialise
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are looked at together, and of segments that one transform holds.
-CHUNK, TRANSFORM = 1 << 22, 1 << 20
+CHUNK, TRANSFORM = 1 << 22, 1 << 19
 #: Bytes of distinct segments beyond which the strings of one anchor are dealt out by more of what they share.
-CROWDED = 1 << 19
+CROWDED = 1 << 18
 #: Anchors that are handed on together.
 FRAME_ROWS = 50_000
 #: A segment with more than one in so many of all anchors is hot; there are fewer than so many of them.
@@ -361,7 +361,7 @@ def remove_repeats(
                 out += [(s["key"], s["segment"], s["twin"], -1, raw[s["lo"] : s["hi"] + length], s["crowded"]) for s in some]
             yield pd.DataFrame(out, columns=["key", "name", "twin", "at", "bytes", "crowded"])
 
-    once = plain.groupBy("ref").agg(F.any_value("text").alias("text"))  # copies of a text go map-side
+    once = plain.groupBy("ref", "text").agg(F.count(F.lit(1)).alias("n"))  # copies of a text go map-side
     held = once.join(wanted.hint("shuffle_hash"), F.col("ref") == F.col("_of")).select("text", "wanted")
     segments = held.mapInPandas(cut_out, "key long, name long, twin boolean, at long, bytes binary, crowded boolean")
     parts = repeated_parts(materialise(segments, "cut"), length, gram, crowded)
