@@ -1,5 +1,6 @@
 """Reading inputs and cutting lineage."""
 
+import functools
 import tempfile
 import uuid
 
@@ -10,13 +11,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the tables that this process has written.
+written: list[str] = []
+
+
+@functools.cache
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a fresh local one only where none is set (tests, local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return spark.conf.get("spark.checkpoint.dir", None) or own_dir()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables written so far. Results that read them can't be computed after that, so write those first."""
+    while written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -28,5 +41,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

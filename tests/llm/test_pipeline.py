@@ -36,3 +36,32 @@ def test_stages(spark):
     pieces = stages["packing"](spark, docs, FOLDER).toPandas()
     lengths = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in after.items()}
     assert pieces.groupby("doc_id")["length"].sum().to_dict() == lengths
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, and an empty table."""
+    good = read_table(spark, FOLDER, "documents").where("doc_id < 40").select("doc_id", "text", "lang", "source", "n_chars").collect()
+    rows = [(*r, 0.5, "x", "y") for r in good]
+    rows += [(1000, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (1001, "", "en", "s", 0, 0.1, "", "z")]
+    rows += [(None, good[0].text, "en", "s", 1, 0.2, "a", "b")] * 2 + [(1002, good[1].text, "en", "s", 1, 0.3, "a", "b")] * 2
+    rows += [(1003, "call 1.2.3.4 " + "the long word " * 60000, "en", "s", 1, 0.4, "a", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, _id string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), FOLDER)
+        assert empty.count() == 0
+        got = stage(spark, docs, FOLDER).collect()
+        if name == "packing":
+            assert sum(r.start == 0 for r in got) == len(rows)
+            continue
+        assert empty.columns == docs.columns
+        key = lambda r: (repr(r["doc_id"]), r["lang"], r["source"], r["score"], r["row"], r["_id"])
+        given = {key(r) for r in docs.collect()}
+        assert {key(r) for r in got} <= given
+        if name == "exact":
+            assert len(got) == len({r[1] or "" for r in rows})
+        elif name == "near":
+            assert sum(r.doc_id is None for r in got) == 3 and {1000, 1001} <= {r.doc_id for r in got}
+        elif name == "pii":
+            assert len(got) == len(rows) and sum(r.text is None and r.n_chars is None for r in got) == 2
+            assert all("1.2.3.4" not in r.text for r in got if r.doc_id == 1003)
