@@ -21,7 +21,7 @@ def exact_groups(
     the text's bytes whenever two keys hash alike, so two texts that collide stay apart. Copies collapse
     map-side, one row per distinct text and task is shuffled, so a group that holds a third of the table
     reaches the reducer as one row per task. Rows are then sent to their group by (hash, sha256), two
-    independent digests, without their text; that join may be split by AQE where one group is very large.
+    independent digests, without their text and without comparing bytes again; that join may be split by AQE where one group is very large.
 
     Null texts count as empty, null ids lose against any other id and keep_id is null only where all ids of
     the group are null. Of rows that repeat the same winning id each is marked kept: they are the same row.

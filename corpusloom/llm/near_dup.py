@@ -1,4 +1,4 @@
-"""Joins on the Jaccard similarity of word n-grams: a MinHash LSH forest, then exact verification."""
+"""Joins on the Jaccard similarity of word n-grams: banded MinHash (see README on the LSH forest), then exact verification."""
 
 import hashlib
 from collections.abc import Iterator
@@ -23,7 +23,7 @@ POWERS_STEP = np.uint64(0x100000001B3)
 
 
 def depth_for(similarity: float, recall: float, trees: int = TREES, longest: int = DEPTH) -> int:
-    """Prefixes start at full depth and are shortened until a pair at the threshold is found often enough.
+    """The longest prefix by which a pair at the threshold is found often enough, the same for all sets.
 
     Two signatures share a prefix of length k in one tree with probability similarity**k.
     """
