@@ -59,6 +59,11 @@ def lse_gate(x: Column, y: Column, alpha: float) -> Column:
     return F.zip_with(x, lse_merge(x, y), lambda a, m: alpha * a + (1 - alpha) * m)
 
 
+def added(shared: Column, routed: Column) -> Column:
+    """What an expert shared by all tokens gives, plus the weighted sum of those that a token was routed to."""
+    return F.zip_with(shared, routed, lambda a, b: a + b)
+
+
 def swiglu(gate: Column, up: Column, clamp: float | None = None) -> Column:
     """silu(gate) * up; with a clamp the gate is cut above it and up on both sides."""
     g = gate if clamp is None else F.transform(gate, lambda v: F.least(v, F.lit(clamp)))

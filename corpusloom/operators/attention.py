@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, softmax
+from ..functions.vectors import dot, repetition_penalty, softmax
 
 
 def expert_load(rows: DataFrame, logits: str, k: int) -> DataFrame:
@@ -125,7 +125,22 @@ def cross_entropy(rows: DataFrame, logp: Column, target: Column, ignored: int =
     return rows.agg(F.avg(F.when(target != ignored, -logp)).alias("loss"))
 
 
-def ahead_targets(tokens: DataFrame, key: list[str], steps: int) -> DataFrame:
-    """tokens (key, pos, tok) with ahead_1..ahead_steps, the tokens that follow, null past the end."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    return tokens.withColumns({f"ahead_{n}": F.lead("tok", n).over(w) for n in range(1, steps + 1)})
+def ahead_targets(rows: DataFrame, ids_col: str, steps: int) -> DataFrame:
+    """rows with ahead_1..ahead_steps: arrays of the tokens that follow each token of an array, null past the end."""
+    ahead = lambda n: F.transform(ids_col, lambda _, i: F.get(ids_col, i + n))
+    return rows.withColumns({f"ahead_{n}": ahead(n) for n in range(1, steps + 1)})
+
+
+def penalise(logits: DataFrame, history: DataFrame, key: list[str], penalty: float, once: bool = False, context: int | None = None) -> DataFrame:
+    """logits (key, tok, logit) with the logit penalised for each time that its token is in history (key, pos, tok).
+
+    Occurrences are counted over the whole history, over its last context places, or once a token. Only counts are
+    joined; tokens that never occurred keep their logit, and a null logit stays null.
+    """
+    seen = history
+    if context is not None:
+        ends = history.groupBy(*key).agg(F.max("pos").alias("__end"))
+        seen = history.join(ends, key).where(F.col("pos") > F.col("__end") - context)
+    counts = seen.groupBy(*key, "tok").agg(F.count(F.lit(1)).alias("__n"))
+    joined = logits.join(counts, [*key, "tok"], "left").withColumn("logit", repetition_penalty(F.col("logit"), F.coalesce("__n", F.lit(0)), penalty, once))
+    return joined.select(*(F.col(f"`{c}`") for c in logits.columns))

@@ -118,3 +118,9 @@ def compare_vectors(left: DataFrame, right: DataFrame, tolerance: float = 0.01,
     both = errors.crossJoin(best("a")).crossJoin(best("b"))  # one row each
     same = F.col("top_a") == F.col("top_b")
     return both.select("max_error", "mean_error", same.alias("same_top"), (same & (F.col("max_error") < tolerance)).alias("passed"))
+
+
+def estimate_loss(losses: DataFrame, split: str, batch: str, value: str, batches: int) -> DataFrame:
+    """(split, loss): the mean over its first batches of a split of each batch's mean; partial sums a batch are shuffled."""
+    means = losses.where(F.col(batch) < batches).groupBy(split, batch).agg(F.avg(value).alias("__mean"))
+    return means.groupBy(split).agg(F.avg("__mean").alias("loss"))

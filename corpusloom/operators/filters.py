@@ -1,5 +1,6 @@
 """The ordered filter cascade over dialogue pairs, with the reason each dropped pair goes."""
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,3 +107,23 @@ def acceptance(judged: DataFrame, group: list[str], keep: str = "keep") -> DataF
     return judged.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), kept.alias("n_kept"), (kept / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("rate")
     )
+
+
+def appended(roots: list[DataFrame], order: list[str], most: int) -> DataFrame:
+    """Rows of several roots one after the other, each in order until so many are there in all; 0 means all rows.
+
+    The limit is checked after a row was added, so every later root still adds its first row. A root's first rows
+    are found by a top-k of that size, and only those are counted.
+    """
+    tops = [r.orderBy(*order).limit(most) if most else r for r in roots]
+    numbered = [t.withColumn("__root", F.lit(i)) for i, t in enumerate(tops)]
+    rows = functools.reduce(DataFrame.unionByName, numbered)
+    if not most:
+        return rows.drop("__root")
+    counts = rows.groupBy("__root").agg(F.count(F.lit(1)).cast("int").alias("__n"))  # one row a root
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct("__root", "__n"))).alias("__counts"))
+    add = lambda total, c: total + F.least(c["__n"], F.greatest(most - total, F.lit(1)))
+    before = F.aggregate(F.filter("__counts", lambda c: c["__root"] < F.col("__root")), F.lit(0), add)
+    place = F.row_number().over(Window.partitionBy("__root").orderBy(*order))
+    kept = rows.withColumn("__place", place).crossJoin(F.broadcast(listed)).where(F.col("__place") <= F.greatest(most - before, F.lit(1)))
+    return kept.drop("__root", "__place", "__counts")

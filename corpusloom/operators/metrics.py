@@ -101,3 +101,8 @@ def corpus_totals(docs: DataFrame, group: list[str], n_tokens: str | None = None
     return docs.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_docs"), chars.alias("n_chars"), (chars / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean_chars"), *more
     )
+
+
+def sums_where(rows: DataFrame, value: str, predicates: dict[str, Column]) -> DataFrame:
+    """One row: the sum of a value over the rows of each predicate, 0 where there are none; for parameters by kind."""
+    return rows.agg(*(F.coalesce(F.sum(F.when(p, F.col(value))), F.lit(0)).alias(name) for name, p in predicates.items()))

@@ -3,11 +3,13 @@
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TURN_MARKERS
+from .sampling import order_key
 
 #: Characters that are encoded together; tokens never span the edge of a chunk.
 CHUNK = 1_000_000
@@ -116,35 +118,39 @@ def windows(streams: DataFrame, key: list[str], ids_col: str, length: int, strid
 def random_windows(streams: DataFrame, key: list[str], ids_col: str, length: int, n: int, seed: int = 1337) -> DataFrame:
     """n windows of each stream at starts drawn by hash below len - length; streams too short give none."""
     room = F.size(ids_col) - length
-    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), *key, k), room).cast("int")
+    hashed = lambda k: F.conv(F.substring(order_key(seed, *map(F.col, key), k), 1, 8), 16, 10).cast("long")
+    draw = lambda k: F.pmod(hashed(k), room).cast("int")
     starts = F.when(room > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw))
     each = streams.select(*key, F.col(ids_col).alias("_ids"), F.posexplode(starts).alias("window", "_start"))
     cut = lambda shift: F.slice("_ids", F.col("_start") + 1 + shift, F.lit(length))
     return each.select(*key, "window", cut(0).alias("x"), cut(1).alias("y"))
 
 
-def loss_mask(tokens: DataFrame, key: list[str], opens: tuple[int, int], closes: tuple[tuple[int, int], ...], blank: tuple[int, int]) -> DataFrame:
-    """tokens (key, pos, tok) with mask: whether a token lies in a reply.
+def loss_mask(ids: Column, opens: tuple[int, int], closes: tuple[tuple[int, int], ...], blank: tuple[int, int]) -> Column:
+    """array<boolean>: whether a token of an array lies in a reply; null for null.
 
     The pair that opens a reply is masked in, so are the pairs that close one by opening another turn; a
-    blank pair closes it and is masked out. Otherwise a token is as the last pair before it left it.
+    blank pair closes it and is masked out. Otherwise a token is as the last pair before it left it. Marks are
+    set within the row, so nothing is shuffled and rows may share an id.
     """
-    w = Window.partitionBy(*key).orderBy("pos")
-    nxt, prev = F.lead("tok").over(w), F.lag("tok").over(w)
-    is_pair = lambda first, second, p: (first == p[0]) & (second == p[1])
-    at = F.when(is_pair(F.col("tok"), nxt, opens), "open")
-    second = F.when(is_pair(prev, F.col("tok"), opens), True)
-    for p in closes:
-        at = at.when(is_pair(F.col("tok"), nxt, p), "turn")
-        second = second.when(is_pair(prev, F.col("tok"), p), True)
-    at = at.when(is_pair(F.col("tok"), nxt, blank), "blank")
-    second = second.when(is_pair(prev, F.col("tok"), blank), False)
-    marked = tokens.withColumns({"_at": at, "_second": second})
-    state = F.last(F.when(F.col("_at") == "open", True).when(F.col("_at").isNotNull(), False), ignorenulls=True)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    mask = F.when(F.col("_at").isin("open", "turn"), True).when(F.col("_at") == "blank", False)
-    mask = F.coalesce(mask, F.col("_second"), state.over(before), F.lit(False))
-    return marked.withColumn("mask", mask).drop("_at", "_second")
+
+    def mask(value: np.ndarray | None) -> np.ndarray | None:
+        if value is None:
+            return None
+        tok = np.asarray(value, dtype=np.float64)  # null tokens are nan and begin no pair
+        mark = np.zeros(len(tok), dtype=np.int8)  # 1: opens a reply, 2: opens another turn, 3: blank
+        for pair, sign in [(blank, 3), *((p, 2) for p in closes), (opens, 1)]:
+            mark[:-1][(tok[:-1] == pair[0]) & (tok[1:] == pair[1])] = sign
+        before = np.concatenate([[0], mark])[:-1]  # of the pair that a token ends
+        last = np.maximum.accumulate(np.where(before > 0, np.arange(len(tok)) - 1, -1))
+        inside = (last >= 0) & (mark[last] == 1) if len(tok) else mark > 0
+        return np.where(mark > 0, mark < 3, np.where(before > 0, before < 3, inside))
+
+    @F.pandas_udf("array<boolean>")
+    def udf(values: pd.Series) -> pd.Series:
+        return values.map(mask, na_action=None)
+
+    return udf(ids)
 
 
 def masked_targets(y: Column, mask: Column) -> Column:

@@ -285,6 +285,34 @@ def mix_schedule(spark, sf_dir):
     return sampling.mix_schedule(table(spark, sf_dir, "events").select("event_id"), "event_id", 0.3)
 
 
+@query(
+    """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+    SELECT conv_id, turn, md5('用户：' || t || chr(10) || '模型：') AS prompt, CASE WHEN turn % 2 = 0 THEN t ELSE ' ' || t END AS reply FROM t"""
+)
+def prompt_forms(spark, sf_dir):
+    """Prompts of texts whose spaces are ideographic, and replies with the prompt they begin with taken off."""
+    wide = F.translate(F.coalesce("text", F.lit("")), " ", "\u3000")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.unify_spaces(wide).alias("t"))
+    prompt = tx.prompt(F.col("t"))
+    reply = tx.without_prefix(F.concat(F.when(F.col("turn") % 2 == 0, prompt).otherwise(" "), "t"), prompt)
+    return said.select("conv_id", "turn", F.md5(prompt).alias("prompt"), reply.alias("reply"))
+
+
+PARTS = """d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE lang IN ('de', 'en', 'fr')),
+    n AS (SELECT count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr FROM d),
+    a AS (SELECT *, least(en, 500) AS t1 FROM n), b AS (SELECT *, t1 + least(de, greatest(500 - t1, 1)) AS t2 FROM a)"""
+
+
+@query(
+    f"""WITH {PARTS} SELECT doc_id, lang FROM d, b
+    WHERE rn <= CASE lang WHEN 'en' THEN 500 WHEN 'de' THEN greatest(500 - t1, 1) ELSE greatest(500 - t2, 1) END"""
+)
+def appended(spark, sf_dir):
+    """The first 500 rows of three sources in turn: the limit is the feature."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return filters.appended([docs.where(F.col("lang") == lang) for lang in ("en", "de", "fr")], ["doc_id"], 500)
+
+
 # --- tokens ---------------------------------------------------------------------------------------------------
 
 VOCAB = "vocab AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''))"
@@ -312,33 +340,60 @@ def char_encode_len(spark, sf_dir):
     SELECT doc_id, s // 64 AS "window", md5(array_to_string(ids[s + 1:s + 64], ' ')) AS x, md5(array_to_string(ids[s + 2:s + 65], ' ')) AS y FROM w"""
 )
 def token_windows(spark, sf_dir):
-    chars = F.transform(F.split("text", ""), lambda c: F.ascii(c))
-    streams = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", chars.alias("ids"))
-    found = tokens.windows(streams, ["doc_id"], "ids", 64, 64)
+    found = tokens.windows(char_ids(spark, sf_dir), ["doc_id"], "ids", 64, 64)
+    return found.select("doc_id", "window", F.md5(F.array_join("x", " ")).alias("x"), F.md5(F.array_join("y", " ")).alias("y"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: ord(c)) AS ids FROM documents WHERE text <> ''),
+    w AS (SELECT doc_id, ids, unnest(range(0, 4)) AS "window" FROM d WHERE len(ids) > 64),
+    s AS (SELECT *, ('0x' || left(md5('1337|' || doc_id || '|' || "window"), 8))::bigint % (len(ids) - 64) AS s FROM w)
+    SELECT doc_id, "window", md5(array_to_string(ids[s + 1:s + 64], ' ')) AS x, md5(array_to_string(ids[s + 2:s + 65], ' ')) AS y FROM s"""
+)
+def random_windows(spark, sf_dir):
+    found = tokens.random_windows(char_ids(spark, sf_dir), ["doc_id"], "ids", 64, 4)
     return found.select("doc_id", "window", F.md5(F.array_join("x", " ")).alias("x"), F.md5(F.array_join("y", " ")).alias("y"))
 
 
 CHARS = """t AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE text <> '')"""
 
 
-def char_tokens(spark, sf_dir):
-    stream = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "c")).where("c <> ''")
-    return stream.select("doc_id", F.col("pos").cast("long").alias("pos"), F.ascii("c").cast("long").alias("tok"))
+def char_ids(spark, sf_dir):
+    """(doc_id, ids): the code points of texts that are not empty."""
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", ids.alias("ids"))
 
 
-@query(
-    f"""WITH {CHARS},
-    e AS (SELECT doc_id, pos, ord(c) AS tok, lead(ord(c)) OVER w AS nx, lag(ord(c)) OVER w AS pv FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+MASKED = """e AS (SELECT doc_id, pos, ord(c) AS tok, lead(ord(c)) OVER w AS nx, lag(ord(c)) OVER w AS pv FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     m AS (SELECT *, CASE WHEN tok = 116 AND nx = 104 THEN 'open' WHEN tok = 97 AND nx = 110 THEN 'turn' WHEN tok = 46 AND nx = 32 THEN 'blank' END AS at_,
       CASE WHEN pv = 116 AND tok = 104 THEN true WHEN pv = 97 AND tok = 110 THEN true WHEN pv = 46 AND tok = 32 THEN false END AS second FROM e),
     s AS (SELECT *, max(CASE WHEN at_ IS NOT NULL THEN 2 * pos + (at_ = 'open')::int END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m),
-    k AS (SELECT doc_id, pos, coalesce(CASE WHEN at_ IN ('open', 'turn') THEN true WHEN at_ = 'blank' THEN false END, second, last % 2 = 1, false) AS mask FROM s)
+    k AS (SELECT doc_id, pos, coalesce(CASE WHEN at_ IN ('open', 'turn') THEN true WHEN at_ = 'blank' THEN false END, second, last % 2 = 1, false) AS mask FROM s)"""
+
+
+@query(
+    f"""WITH {CHARS}, {MASKED}
     SELECT doc_id, count(*) AS n, count(*) FILTER (mask) AS n_masked, (coalesce(sum(pos) FILTER (mask), 0))::bigint AS places FROM k GROUP BY 1"""
 )
 def loss_mask(spark, sf_dir):
-    found = tokens.loss_mask(char_tokens(spark, sf_dir), ["doc_id"], (116, 104), ((97, 110),), (46, 32))
-    places = F.coalesce(F.sum(F.when(F.col("mask"), F.col("pos"))), F.lit(0))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("mask").alias("n_masked"), places.alias("places"))
+    masked = masked_chars(spark, sf_dir)
+    places = F.aggregate(F.transform("mask", lambda m, i: F.when(m, i).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return masked.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("mask", lambda m: m)).alias("n_masked"), places.alias("places"))
+
+
+def masked_chars(spark, sf_dir):
+    mask = tokens.loss_mask(F.col("ids"), (116, 104), ((97, 110),), (46, 32))
+    return char_ids(spark, sf_dir).withColumn("mask", mask)
+
+
+@query(
+    f"""WITH {CHARS}, {MASKED}
+    SELECT doc_id, count(*) FILTER (NOT mask) AS n_ignored, (coalesce(sum(ord(c)) FILTER (mask), 0))::bigint AS kept FROM k JOIN t USING (doc_id, pos) GROUP BY 1"""
+)
+def masked_targets(spark, sf_dir):
+    y = masked_chars(spark, sf_dir).select("doc_id", tokens.masked_targets(F.col("ids"), F.col("mask")).alias("y"))
+    kept = F.aggregate("y", F.lit(0).cast("long"), lambda a, v: a + F.when(v != tokens.IGNORED, v).otherwise(0))
+    return y.select("doc_id", F.size(F.filter("y", lambda v: v == tokens.IGNORED)).alias("n_ignored"), kept.alias("kept"))
 
 
 @query("""SELECT source, lang, count(*) AS n_docs, sum(length(text))::bigint AS n_chars, round(sum(length(text)) / count(*)::double, 6) AS mean_chars FROM documents GROUP BY ALL""")
@@ -594,6 +649,22 @@ def lse_merge(spark, sf_dir):
     return long_form(halves(spark, sf_dir), vx.lse_merge(F.col("a"), F.col("b")))
 
 
+HALVES = """p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = a.i + 32)"""
+
+
+@query(
+    f"""WITH {LONG}, {HALVES}
+    SELECT vec_id, i, round(0.25 * x + 0.75 * (greatest(x, y) + ln(exp(x - greatest(x, y)) + exp(y - greatest(x, y)))), 6) + 0.0 AS y FROM p"""
+)
+def lse_gate(spark, sf_dir):
+    return long_form(halves(spark, sf_dir), vx.lse_gate(F.col("a"), F.col("b"), 0.25))
+
+
+@query(f"WITH {LONG}, {HALVES} SELECT vec_id, i, round(x + 0.3 * y, 6) + 0.0 AS y FROM p")
+def shared_expert_sum(spark, sf_dir):
+    return long_form(halves(spark, sf_dir), vx.added(F.col("a"), vx.scaled(F.col("b"), F.lit(0.3))))
+
+
 @query(
     f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = a.i + 32)
     SELECT vec_id, i, round(least(x, 0.1) / (1 + exp(-least(x, 0.1))) * greatest(least(y, 0.1), -0.1), 6) + 0.0 AS y FROM p"""
@@ -649,9 +720,12 @@ def cross_entropy(spark, sf_dir):
     SELECT doc_id, count(a1) AS n_1, count(a3) AS n_3, sum(pos * a1)::bigint AS sum_1, sum(pos * a2)::bigint AS sum_2, sum(pos * a3)::bigint AS sum_3 FROM a GROUP BY 1"""
 )
 def mtp_targets(spark, sf_dir):
-    found = attention.ahead_targets(char_tokens(spark, sf_dir), ["doc_id"], 3)
-    sums = (F.sum(F.col("pos") * F.col(f"ahead_{k}")).alias(f"sum_{k}") for k in (1, 2, 3))
-    return found.groupBy("doc_id").agg(F.count("ahead_1").alias("n_1"), F.count("ahead_3").alias("n_3"), *sums)
+    found = attention.ahead_targets(char_ids(spark, sf_dir), "ids", 3)
+    present = lambda k: F.size(F.filter(f"ahead_{k}", lambda v: v.isNotNull()))
+    placed = lambda k: F.filter(F.transform(f"ahead_{k}", lambda v, i: v.cast("long") * i), lambda v: v.isNotNull())
+    # a text too short to have such a token has no sum, as in SQL
+    total = lambda k: F.when(F.size(placed(k)) > 0, F.aggregate(placed(k), F.lit(0).cast("long"), lambda a, v: a + v))
+    return found.select("doc_id", present(1).alias("n_1"), present(3).alias("n_3"), *(total(k).alias(f"sum_{k}") for k in (1, 2, 3)))
 
 
 @query("""WITH v AS (SELECT vec_id, (vec_id % 50) * 8 + i AS v, vec_id % 50 AS t, i AS h FROM embeddings, range(0, 8) r(i)) SELECT vec_id, h, v // 50 AS from_h, v % 50 AS from_t FROM v""")
@@ -809,6 +883,50 @@ def sinkhorn(spark, sf_dir):
     return out.select("vec_id", "row", F.transform("y", lambda v: F.round(v, 6)).alias("y"))
 
 
+@query(
+    f"""WITH {LONG} SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS rank, i AS idx, round(v, 6) + 0.0 AS logit FROM e
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) <= 10"""
+)
+def top_logits(spark, sf_dir):
+    best = vectors(spark, sf_dir).select("vec_id", F.posexplode(vx.top_k(F.col("x"), 10)).alias("at", "best"))
+    return best.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("best.i").alias("idx"), (F.round("best.v", 6) + 0.0).alias("logit"))
+
+
+@query(
+    f"""WITH {LONG}, h AS (SELECT conv_id AS vec_id, turn AS pos, length(text) % 64 AS i FROM conversations),
+    z AS (SELECT vec_id, max(pos) AS z FROM h GROUP BY 1),
+    c AS (SELECT vec_id, i, count(*) AS n, count(*) FILTER (pos > z - 3) AS m FROM h JOIN z USING (vec_id) GROUP BY ALL),
+    j AS (SELECT vec_id, i, v, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM e LEFT JOIN c USING (vec_id, i)),
+    f AS (SELECT *, unnest(['whole', 'context', 'once']) AS history, unnest([n, m, least(n, 1)]) AS k FROM j)
+    SELECT history, vec_id AS key, i AS tok, round(CASE WHEN v >= 0 THEN v / pow(1.2, k) ELSE v * pow(1.2, k) END, 6) + 0.0 AS logit FROM f"""
+)
+def history_penalty(spark, sf_dir):
+    logits = vectors(spark, sf_dir).select(F.col("vec_id").alias("key"), F.posexplode("x").alias("tok", "logit"))
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), (F.length("text") % 64).alias("tok"))
+    kinds = {"whole": {}, "context": {"context": 3}, "once": {"once": True}}
+    found = [attention.penalise(logits, said, ["key"], 1.2, **how).withColumn("history", F.lit(name)) for name, how in kinds.items()]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.select("history", "key", "tok", (F.round("logit", 6) + 0.0).alias("logit"))
+
+
+@query(
+    """WITH b AS (SELECT CASE WHEN event_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, event_id % 200 AS batch, avg(value) AS loss FROM events GROUP BY ALL)
+    SELECT split, round(avg(loss), 6) AS loss FROM b WHERE batch < 100 GROUP BY 1"""
+)
+def split_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 9, "val").otherwise("train").alias("split"), (F.col("event_id") % 200).alias("batch"), "value")
+    return experiments.estimate_loss(rows, "split", "batch", "value", 100).withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    """SELECT sum(n_chars)::bigint AS every, (coalesce(sum(n_chars) FILTER (source <> 'src0'), 0))::bigint AS without_src0,
+      (coalesce(sum(n_chars) FILTER (lang = 'none'), 0))::bigint AS nothing FROM documents"""
+)
+def sums_by_kind(spark, sf_dir):
+    kinds = {"every": F.lit(True), "without_src0": F.col("source") != "src0", "nothing": F.col("lang") == "none"}
+    return metrics.sums_where(table(spark, sf_dir, "documents"), "n_chars", kinds)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

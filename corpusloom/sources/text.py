@@ -1,18 +1,37 @@
 """Reading and writing text corpora, logs, result files and token streams."""
 
+import hashlib
 import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
 RESULTS = "step INT, `train/loss` DOUBLE, `val/loss` DOUBLE, lr DOUBLE, mfu DOUBLE, time DOUBLE"
 READ_BYTES = 1 << 22
+ROW_BITS = (1 << 33) - 1  # of monotonically_increasing_id
+
+
+def locate(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path inside it of a path or address, for tasks that stream files too long for one row."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+
+
+def exists(path: str) -> bool:
+    store, inside = locate(path)
+    return store.get_file_info(inside).type == fs.FileType.File
+
+
+def list_files(spark: SparkSession, path: str, pattern: str, nested: bool = True) -> DataFrame:
+    """(path, length, modificationTime) of files; their contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(nested).lower()).option("pathGlobFilter", pattern)
+    return reader.load(path).select("path", "length", "modificationTime")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -30,39 +49,39 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def read_log_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, line_no, value): lines of JSON logs below a folder. line_no orders the lines of a file.
 
-    Files are read whole and cut into lines, since a line's number isn't known to a reader that splits files.
+    Files are split, so line_no is the line's number only where a task read the file alone and from its begin. A task reads
+    fewer lines than twice the bytes of a split, which keeps the numbers of a later split above those of an earlier.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    ).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return lines.where("value <> ''").withColumn("line_no", F.col("line_no").cast("long"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    number = 2 * F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(ROW_BITS)
+    lines = files.select(F.col("_metadata.file_path").alias("path"), number.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return lines.where("value <> ''")
 
 
 def read_zstd_lines(spark: SparkSession, path: str, pattern: str = "*.zst") -> DataFrame:
-    """(path, line_no, value): lines of zstd-compressed files, decompressed as a stream inside tasks."""
+    """(path, line_no, value): lines of zstd-compressed files, each streamed from its path by one task at a time."""
     import zstandard
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-                text = io.TextIOWrapper(reader, encoding="utf-8", errors="replace")
-                numbers, values, size = [], [], 0
-                for n, line in enumerate(text):
-                    if line.strip():
-                        numbers.append(n)
-                        values.append(line.rstrip("\r\n"))
-                        size += len(line)
-                    if size > READ_BYTES:
+            for name in batch["path"]:
+                store, inside = locate(name)
+                with store.open_input_stream(inside, compression=None) as raw:
+                    reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+                    text = io.TextIOWrapper(reader, encoding="utf-8", errors="replace")
+                    numbers, values, size = [], [], 0
+                    for n, line in enumerate(text):
+                        if line.strip():
+                            numbers.append(n)
+                            values.append(line.rstrip("\r\n"))
+                            size += len(line)
+                        if size > READ_BYTES:
+                            yield pd.DataFrame({"path": name, "line_no": numbers, "value": values})
+                            numbers, values, size = [], [], 0
+                    if values:
                         yield pd.DataFrame({"path": name, "line_no": numbers, "value": values})
-                        numbers, values, size = [], [], 0
-                if values:
-                    yield pd.DataFrame({"path": name, "line_no": numbers, "value": values})
 
-    return files.select("path", "content").mapInPandas(lines, "path string, line_no long, value string")
+    return list_files(spark, path, pattern).select("path").mapInPandas(lines, "path string, line_no long, value string")
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
@@ -106,36 +125,64 @@ def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(source, part, ids): token files of unsigned 16-bit numbers, in parts of bounded size, in order of part."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    """(source, part, ids): token files of unsigned 16-bit numbers, in parts of bounded size, in order of part.
+
+    Parts are dealt over tasks, and a task reads only its ranges of a file; an odd last byte is no token.
+    """
+    begins = F.when(F.col("length") > 1, F.sequence(F.lit(0).cast("long"), F.col("length") - 2, F.lit(READ_BYTES).cast("long")))
+    parts = list_files(spark, path, "*.bin", nested=False).select("path", "length", F.posexplode(begins).alias("part", "begin"))
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                for part, begin in enumerate(range(0, len(content) // 2 * 2, READ_BYTES)):
-                    ids = np.frombuffer(content[begin : begin + READ_BYTES][: (len(content) - begin) // 2 * 2], dtype="<u2")
-                    yield pd.DataFrame({"source": [name.rsplit("/", 1)[-1]], "part": [part], "ids": [ids.astype(np.int32)]})
+            for name, length, part, begin in batch.itertuples(index=False):
+                store, inside = locate(name)
+                with store.open_input_file(inside) as f:
+                    content = f.read_at(min(READ_BYTES, (length - begin) // 2 * 2), begin)
+                yield pd.DataFrame({"source": [name.rsplit("/", 1)[-1]], "part": [part], "ids": [np.frombuffer(content, dtype="<u2").astype(np.int32)]})
 
-    return files.select("path", "content").mapInPandas(parts, "source string, part int, ids array<int>")
+    return parts.repartition("path", "part").mapInPandas(ids, "source string, part int, ids array<int>")
 
 
 def discover_runs(spark: SparkSession, path: str) -> DataFrame:
     """(run, has_model, has_results) of the folders right below path that hold best.pt or results.csv."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{best.pt,results.csv}").load(path).select("path")
+    files = list_files(spark, path, "{best.pt,results.csv}")
     inside = F.regexp_extract("path", rf"{re.escape(path.rstrip('/'))}/([^/]+)/([^/]+)$", 1)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     found = files.select(inside.alias("run"), name.alias("name")).where("run <> ''")
     return found.groupBy("run").agg(F.bool_or(F.col("name") == "best.pt").alias("has_model"), F.bool_or(F.col("name") == "results.csv").alias("has_results"))
 
 
+def sha256_of(path: Column) -> Column:
+    """Digest of a file, read as a stream."""
+
+    @F.pandas_udf("string")
+    def udf(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> str:
+            store, inside = locate(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(inside, compression=None) as f:
+                while block := f.read(READ_BYTES):
+                    digest.update(block)
+            return digest.hexdigest()
+
+        return paths.map(one)
+
+    return udf(path)
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(file, size_bytes, sha256, mtime) of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    files = list_files(spark, path, pattern)
     return files.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime")
+        F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("size_bytes"), sha256_of(F.col("path")).alias("sha256"), F.col("modificationTime").alias("mtime")
     )
 
 
+def folder_size(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """One row: how many files there are below a folder, and their bytes."""
+    return list_files(spark, path, pattern).agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+
+
 def write_blocks(blocks: DataFrame, path: str, order: list[str], mode: str = "ignore") -> None:
     """Blocks as text files, set apart by empty lines, in order across the files; an existing corpus is left alone."""
     ordered = blocks.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -146,25 +193,24 @@ def write_tokens(rows: DataFrame, path: str, order: list[str], ids_col: str = "i
     """Token ids in order as files of unsigned 16-bit numbers, named by their place; returns how many ids.
 
     Each partition becomes one file, first under a temporary name, so that a task that is run again replaces
-    its own file. path must be a folder that all executors share.
+    its own file. path must be a folder or address that all executors share.
     """
-    import os
-
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        os.makedirs(path, exist_ok=True)
+        store, folder = locate(path)
+        store.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        name = f"{path}/part-{context.partitionId():06d}.bin"
+        name = f"{folder}/part-{context.partitionId():06d}.bin"
         temporary, n = f"{name}.{context.taskAttemptId()}.tmp", 0
-        with open(temporary, "wb") as f:
+        with store.open_output_stream(temporary) as f:
             for batch in batches:
                 for ids in batch[ids_col]:
                     f.write(np.asarray(ids, dtype="<u2").tobytes())
                     n += len(ids)
-        os.replace(temporary, name)
+        store.move(temporary, name)
         yield pd.DataFrame({"n": [n]})
 
     done = ordered.select(ids_col).mapInPandas(write, "n long")

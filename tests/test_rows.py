@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as vx
-from corpusloom.operators import filters, metrics, sampling, tokens
+from corpusloom.operators import attention, filters, metrics, sampling, tokens
 from corpusloom.sources import text as sources
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -119,3 +119,50 @@ def test_newton_schulz_is_nearly_orthogonal(spark):
     frame = spark.createDataFrame([(m.tolist(),)], "m array<array<double>>")
     y = np.array(frame.select(vx.newton_schulz(F.col("m"))).first()[0])
     assert np.all(np.abs(np.linalg.svd(y)[1] - 1) < 0.5)
+
+
+def test_limit_after_append(spark):
+    roots = [spark.createDataFrame([(g, i) for i in range(n)], "g string, i int") for g, n in (("a", 3), ("b", 9), ("c", 4), ("d", 0))]
+    taken = lambda most: sorted((r.g, r.i) for r in filters.appended(roots, ["i"], most).collect())
+    assert taken(5) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1), ("c", 0)]
+    assert taken(2) == [("a", 0), ("a", 1), ("b", 0), ("c", 0)]
+    assert len(taken(0)) == 16 and taken(100) == taken(0)
+
+
+def test_penalty_of_a_history(spark):
+    logits = spark.createDataFrame([(1, 5, 2.0), (1, 6, -1.0), (1, 7, None), (2, 5, 1.0), (None, 5, 1.0)], "k int, tok int, logit double")
+    history = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 2, 6), (1, 3, None), (3, 0, 5)], "k int, pos int, tok int")
+    got = lambda **how: sorted(attention.penalise(logits, history, ["k"], 2.0, **how).collect(), key=repr)
+    assert [(r.k, r.tok, r.logit) for r in got()] == [(1, 5, 0.5), (1, 6, -2.0), (1, 7, None), (2, 5, 1.0), (None, 5, 1.0)]
+    assert [r.logit for r in got(once=True)] == [1.0, -2.0, None, 1.0, 1.0]
+    assert [r.logit for r in got(context=3)] == [1.0, -2.0, None, 1.0, 1.0]
+    assert [r.logit for r in got(context=1)] == [2.0, -1.0, None, 1.0, 1.0]
+
+
+def test_token_counts_of_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    from corpusloom.queries import queries
+
+    folder = "/root/testdata/sf0.001"
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs)
+    assert sorted(tuple(r) for r in queries()["bpe_token_count"](spark, folder).collect()) == want
+
+
+def test_character_numbers_and_back(spark):
+    docs = spark.createDataFrame([(1, "abca"), (1, "你好"), (2, ""), (3, None)], "doc_id int, text string")
+    vocab = tokens.char_vocab(docs)
+    back = tokens.char_decode(tokens.char_encode(docs, vocab), vocab).collect()
+    assert sorted((r.doc_id, r.text) for r in back) == [(1, "abca"), (1, "你好"), (2, ""), (3, "")]
+
+
+def test_cut_at_a_turn(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    ids = tokenizer.encode("好 yes\n用户：more", add_special_tokens=False).ids
+    frame = spark.createDataFrame([(ids,), ([],)], "ids array<int>")
+    whole, none = (r[0] for r in frame.select(tokens.cut_at_turn(F.col("ids"), BYTE_BPE, ("\n用户：",))).collect())
+    assert tokenizer.decode(whole) == "好 yes" and none == []

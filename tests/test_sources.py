@@ -33,6 +33,46 @@ def test_tokens_round_trip(spark, tmp_path):
     assert [t for p in parts for t in p.ids] == [t for i in range(50) for t in (i, 65535, 7)]
 
 
+def test_lines_of_split_logs_stay_in_order(spark, tmp_path):
+    lines = [f"{i:05d}" + "x" * (i % 7) for i in range(3000)]
+    (tmp_path / "a b.jsonl").write_text("\r\n".join(lines), encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text("\n" * 500 + "last", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        frame = src.read_log_lines(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 20
+        got = sorted((r.path, r.line_no, r.value) for r in frame.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [v for _, _, v in got] == [*lines, "last"] and len({g[:2] for g in got}) == 3001
+
+
+def test_token_files_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "READ_BYTES", 64)
+    ids = np.arange(1000, dtype="<u2")
+    (tmp_path / "a b.bin").write_bytes(ids.tobytes() + b"x")  # an odd last byte
+    (tmp_path / "none.bin").write_bytes(b"")
+    (tmp_path / "one.bin").write_bytes(b"\x07")
+    parts = src.read_tokens(spark, str(tmp_path)).orderBy("source", "part").collect()
+    assert {r.source for r in parts} == {"a b.bin"} and [i for r in parts for i in r.ids] == list(range(1000))
+
+
+def test_folder_size_and_stamp(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "manifest.json").write_text("{}")
+    (tmp_path / "x").write_bytes(b"abc")
+    assert tuple(src.folder_size(spark, str(tmp_path)).first()) == (2, 5)
+    runs = spark.createDataFrame([("a",), (None,)], "run string")
+    stamp = {r.data_manifest_sha256 for r in manifest.stamp_data(runs, str(tmp_path / "d" / "manifest.json")).collect()}
+    assert stamp == {hashlib.sha256(b"{}").hexdigest()}
+    assert {r.data_manifest_sha256 for r in manifest.stamp_data(runs, str(tmp_path / "none.json")).collect()} == {None}
+
+
 def test_results_and_index(spark, tmp_path):
     for run, vals in (("a", "0,3,2.5,1,1,1\n1,2,2.0,1,1,2\n\n2,2,2.0,1,1,3\n"), ("b", "0,3,1.5,1,1,1\n1,2,oops,1,1,2\n")):
         (tmp_path / run).mkdir()
@@ -41,6 +81,7 @@ def test_results_and_index(spark, tmp_path):
     (tmp_path / "c" / "best.pt").write_bytes(b"x")
     got = manifest.experiment_index(spark, str(tmp_path)).collect()
     assert [(r.run, r.best_val, r.best_step, r.n_rows) for r in got] == [("b", 1.5, 0, 2), ("a", 2.0, 1, 3), ("c", None, None, None)]
+    assert [r.run for r in manifest.experiment_index(spark, str(tmp_path), only="./a").collect()] == ["a"]
     listed = manifest.release_manifest(spark, str(tmp_path / "c")).collect()
     assert listed[0].file == "best.pt" and listed[0].size == "1.0 B" and len(listed[0].sha256) == 64
 
