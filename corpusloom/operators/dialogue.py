@@ -118,29 +118,16 @@ def insert_eos(blocks: DataFrame, key: list[str], eos: str = "<eos>", user: str
     """blocks with eos lines after each model reply.
 
     A reply is open from its labelled line to the next turn line, blank line or the end. White space before a
-    label doesn't matter; empty lines go, lines of white space stay and close the reply too.
+    label doesn't matter; empty lines go, lines of white space stay and close the reply too. A block is cut
+    before the lines that close, within the row, so nothing is shuffled and rows may share a key; null stays null.
     """
-    lines = blocks.select(*key, F.posexplode(F.split("block", "\n")).alias("pos", "line"))
-    bare = strip(F.col("line"))
-    opens, turn = bare.startswith(model), bare.startswith(user) | bare.startswith(model)
-    event = F.when(opens, True).when(turn | (bare == ""), False)
-    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy(*key).orderBy(F.desc("pos"))
-    lines = lines.select(
-        "*",
-        event.alias("event"),
-        F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(False)).alias("open"),
-        (turn | (bare == "")).alias("stops"),
-        (F.row_number().over(last) == 1).alias("at_end"),
-    )
-    out = F.concat(
-        F.when(F.col("open") & F.col("stops"), F.array(F.lit(eos))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("line") != "", F.array("line")).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("at_end") & F.coalesce("event", "open"), F.array(F.lit(eos))).otherwise(F.array().cast("array<string>")),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", out.alias("lines"))))
-    joined_lines = F.array_join(F.flatten(F.transform(ordered, lambda x: x["lines"])), "\n")
-    return lines.groupBy(*key).agg(joined_lines.alias("block"))
+    quoted = lambda label: rf"\Q{label}\E"
+    inline = r"[\s\x1c-\x1f&&[^\n]]*"
+    parts = F.split("block", rf"(?U)\n(?={inline}(?:{quoted(user)}|{quoted(model)}|\n|\z))")
+    reply = lambda part: F.regexp_like(part, F.lit(rf"(?U)^{inline}{quoted(model)}"))
+    closed = F.transform(parts, lambda part: F.when(reply(part), F.concat(part, F.lit("\n" + eos))).otherwise(part))
+    block = F.regexp_replace(F.array_join(closed, "\n"), r"\n\n+", "\n")
+    return blocks.select(*key, F.regexp_replace(block, r"\A\n|\n\z", "").alias("block"))
 
 
 def first_replies(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import TURN_MARKERS
 from .sampling import order_key
 
-#: Characters that are encoded together; tokens never span the edge of a chunk.
-CHUNK = 1_000_000
 IGNORED = -100
 
 
@@ -54,8 +52,11 @@ def load_tokenizer(spec: str):
     return Tokenizer.from_str(spec) if spec.lstrip().startswith("{") else Tokenizer.from_file(spec)
 
 
-def bpe_encode(text: Column, spec: str, append: int | None = None) -> Column:
-    """array<int> of token ids, nothing special added but an end id if given; texts are encoded in chunks."""
+def bpe_encode(text: Column, spec: str, append: int | None = None, chunk: int | None = None) -> Column:
+    """array<int> of token ids, nothing special added but an end id if given.
+
+    Texts are encoded whole, or if asked for in chunks of so many characters, whose edges no token spans.
+    """
     more = [] if append is None else [append]
 
     @F.pandas_udf("array<int>")
@@ -64,7 +65,8 @@ def bpe_encode(text: Column, spec: str, append: int | None = None) -> Column:
         for texts in batches:
             out = []
             for t in texts:
-                parts = [t[i : i + CHUNK] for i in range(0, len(t or ""), CHUNK)]
+                step = chunk or max(len(t or ""), 1)
+                parts = [t[i : i + step] for i in range(0, len(t or ""), step)]
                 coded = tokenizer.encode_batch(parts, add_special_tokens=False)
                 out.append([i for c in coded for i in c.ids] + more)
             yield pd.Series(out, dtype=object)

@@ -45,9 +45,9 @@ def test_insert_eos_is_the_line_machine(spark):
     random.seed(1)
     lines = ["用户：a", "模型：b", "  模型：c", "more", "", "  ", "用户：d"]
     blocks = ["\n".join(random.choices(lines, k=random.randint(1, 8))) for _ in range(200)]
-    frame = spark.createDataFrame(list(enumerate(blocks)), "id int, block string")
-    got = {r.id: r.block for r in dialogue.insert_eos(frame, ["id"]).collect()}
-    assert got == {i: marked(b) for i, b in enumerate(blocks)}
+    keyed = [(i // 3, b) for i, b in enumerate([*blocks, ""])]  # keys repeat
+    got = dialogue.insert_eos(spark.createDataFrame([*keyed, (None, None)], "id int, block string"), ["id"]).collect()
+    assert [(r.id, r.block) for r in got] == [(i, marked(b)) for i, b in keyed] + [(None, None)]
 
 
 def test_log_pairs(spark):

@@ -107,6 +107,12 @@ def test_texts_to_token_file_and_back(spark, tmp_path):
     assert read.select(tokens.bpe_decode(F.col("ids"), BYTE_BPE)).first()[0].split("<|endoftext|>")[:3] == texts
 
 
+def test_chunks_are_asked_for(spark):
+    docs = spark.createDataFrame([("hello world",), ("",)], "text string")
+    sizes = lambda **how: [len(r[0]) for r in docs.select(tokens.bpe_encode(F.col("text"), BYTE_BPE, **how)).collect()]
+    assert (sizes(), sizes(chunk=1), sizes(chunk=6, append=0)) == ([2, 0], [11, 0], [4, 1])
+
+
 def test_cut_at_turn(spark):
     docs = spark.createDataFrame([("you said\nUser: hello",), ("no marker",)], "text string")
     coded = docs.select("text", tokens.bpe_encode(F.col("text"), BYTE_BPE).alias("ids"))
