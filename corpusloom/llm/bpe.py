@@ -119,11 +119,15 @@ class WordBpe:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        flags = ("single_word", "lstrip", "rstrip", "normalized")
+        if spec.get("decoder") or any(t.get(f) for t in spec["added_tokens"] for f in flags):
+            raise ValueError(f"{path}: decoders and added tokens with any of {', '.join(flags)} are not supported")
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         self.merges = Merges([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in model["merges"]])
         inner, last = ([self.ids[s + end] for s in byte_symbols()] for end in ("", self.suffix))
         self.inner, self.last = np.array(inner, dtype=np.int64), np.array(last, dtype=np.int64)
-        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.split_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.library = Tokenizer.from_file(path)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p)
         self.library_words = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
@@ -162,7 +166,7 @@ class WordBpe:
         """The text cut at the vocabulary's special tokens: (is special, part)."""
         if not text:
             return []
-        if not self.split_special or "<|" not in text:
+        if not any(token in text for token in self.special):
             return [(False, text)]
         return [(p in self.special, p) for p in self.split_special.split(text) if p]
 

@@ -134,7 +134,7 @@ checked AS (
         WHEN true THEN 'resolved' WHEN false THEN 'mismatch' ELSE 'unchecked' END END AS status
   FROM asof_ WHERE kind = 'revisit'),
 merged AS (
-  SELECT *, status IN ('resolved', 'unchecked') AS m FROM checked)
+  SELECT *, status = 'resolved' AS m FROM checked)
 SELECT record_id, canon AS url, r.id AS refers_to, status,
   concat_ws(chr(10), 'cache-control: ' || cache_control,
     'content-length: ' || CASE WHEN m THEN r.cl ELSE content_length END,

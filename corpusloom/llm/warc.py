@@ -47,7 +47,7 @@ def weak_tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^[Ww]/", "")
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def resolve_revisits(records: DataFrame, merge_unchecked: bool = False) -> DataFrame:
     """One row per revisit: record_id, url (canonical), refers_to, status, headers.
 
     records has record_id, url, ts (any ordered type), kind ("response" or "revisit"), http_status (int) and
@@ -60,13 +60,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     - mismatch: a shared validator differs; refers_to names the response, headers stay the revisit's;
     - orphan: there is no such response; refers_to is null and headers stay the revisit's.
 
-    For resolved and unchecked, headers are the response's, updated by the revisit's except NOT_MERGED.
+    For resolved, and for unchecked if merge_unchecked is set, headers are the response's, updated by the
+    revisit's except NOT_MERGED; otherwise no validator agreed and headers stay the revisit's.
     Revisits without URL or time are orphans; repeated revisits each give a row; of repeated responses the
     largest record_id of the latest time counts. An empty table gives an empty result.
 
     Records are range-partitioned by (URL, time), so one URL that holds a third of them spans many
     partitions. Each partition finds responses of its own; the latest response before a partition comes from
-    one row per URL and partition. Bodies are never read.
+    one row per URL and partition, a table that grows with the input and so is never broadcast. Bodies are
+    never read.
     """
     rows = records.select(
         "record_id",
@@ -89,7 +91,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = ends.select(
         F.col("url").alias("_url"), F.col("part").alias("_part"), F.last("end", ignorenulls=True).over(earlier).alias("carry")
     ).where("carry is not null")
-    found = within.join(carried, (F.col("url") == F.col("_url")) & (F.col("part") == F.col("_part")), "left")
+    found = within.join(carried.hint("merge"), (F.col("url") == F.col("_url")) & (F.col("part") == F.col("_part")), "left")
     found = found.select("record_id", "url", "headers", F.coalesce("own", "carry").alias("of"))
     lost = rows.where(~can_order).where("revisit").select("record_id", "url", "headers", F.lit(None).alias("of"))
     found = found.unionByName(lost)
@@ -105,10 +107,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     permitted = F.map_filter("headers", lambda name, _: ~name.isin(*NOT_MERGED))
     merged = F.map_zip_with(F.col("of.headers"), permitted, lambda _, old, new: F.coalesce(new, old))
     found = found.withColumn("status", status)
+    agreed = ["resolved", "unchecked"] if merge_unchecked else ["resolved"]
     return found.select(
         "record_id",
         "url",
         F.col("of.id").alias("refers_to"),
         "status",
-        F.when(F.col("status").isin("resolved", "unchecked"), merged).otherwise(F.col("headers")).alias("headers"),
+        F.when(F.col("status").isin(agreed), merged).otherwise(F.col("headers")).alias("headers"),
     )

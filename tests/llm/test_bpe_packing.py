@@ -1,9 +1,11 @@
+import json
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -27,9 +29,23 @@ def test_encoding_is_the_librarys():
         assert ours.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_other_special_tokens(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["added_tokens"] += [spec["added_tokens"][0] | {"id": 49408 + i, "content": c} for i, c in enumerate(("[end]", "[end]s"))]
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    library, ours = Tokenizer.from_file(str(path)), bpe.WordBpe(str(path))
+    texts = ["a[end]b", "a[end]sb [end", "[end][end]s<|endoftext|>", "none"]
+    assert [np.frombuffer(p, "<u4").tolist() for p in ours.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    spec["added_tokens"][0]["lstrip"] = True
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.WordBpe(str(path))
+
+
 def test_encode_decode_rows(spark):
     library = Tokenizer.from_file(PATH)
-    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD + ["Hello"] * 2)], "doc_id int, text string, ids int")
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD + ["Hello"] * 2)], "doc_id int, text string, ids int").withColumn("bpe", F.lit(1))
     got = bpe.encode_decode(rows, PATH).select("text", "bpe.n_tokens", "bpe.decoded", bpe.ids_array(F.col("bpe.ids")).alias("ids")).collect()
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids

@@ -21,7 +21,7 @@ def test_same_as_sql(spark):
 RECORD = "record_id long, url string, ts long, kind string, http_status int, headers map<string,string>, body string, part string"
 
 
-def resolve(records):
+def resolve(records, merge_unchecked):
     """A plain scan for each revisit."""
     out = {}
     for rid, url, ts, kind, status, headers in records:
@@ -42,7 +42,7 @@ def resolve(records):
         elif "last-modified" in own and "last-modified" in old:
             same = own["last-modified"] == old["last-modified"]
         merged = old | {k: v for k, v in own.items() if k not in warc.NOT_MERGED}
-        out[rid] = (found[0], {True: "resolved", None: "unchecked", False: "mismatch"}[same], own if same is False else merged)
+        out[rid] = (found[0], {True: "resolved", None: "unchecked", False: "mismatch"}[same], merged if same or same is None and merge_unchecked else own)
     return out
 
 
@@ -56,8 +56,9 @@ def test_revisits_are_a_plain_scan(spark):
         url = random.choice(["hot.org/x"] * 4 + ["a.org/x", "b.org/y", None])
         records.append((rid, url, random.choice([*range(40), None]), kind, status, random.choice([headers, headers, None])))
     spelled = [(i, u and random.choice(["http://", "https://WWW."]) + u + random.choice(["", "/", "#f", "?utm_source=z"]), *r, "body", "p") for i, u, *r in records]
-    got = warc.resolve_revisits(spark.createDataFrame(spelled, RECORD)).collect()
-    assert {r.record_id: (r.refers_to, r.status, r.headers) for r in got} == resolve(records)
+    for merge in (False, True):
+        got = warc.resolve_revisits(spark.createDataFrame(spelled, RECORD), merge_unchecked=merge).collect()
+        assert {r.record_id: (r.refers_to, r.status, r.headers) for r in got} == resolve(records, merge)
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
 
