@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
+from . import ann, bpe, exact_dedup, fill_middle, filter_audit, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
 from .tables import read_table
 
 
@@ -150,6 +150,85 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "page.title", "page.text", F.length("page.text").alias("n_chars"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units
+  FROM documents),
+numbers AS (
+  SELECT *, len(units) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+    CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM drawn),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(list_slice(units, 1, a), '') AS prefix,
+    array_to_string(list_slice(units, a + 1, b), '') AS middle, array_to_string(list_slice(units, b + 1, n), '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM words LEFT JOIN marks USING (doc_id)),
+alike AS (SELECT part, good, toxic, f, count(*) AS n FROM failed GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE NOT contains(o, x)),
+steps AS (SELECT o, step, o[step] AS letter, ascii(o[step]) - 64 AS i FROM orders, range(1, 6) AS r(step) WHERE length(o) = 5),
+fates AS (
+  SELECT part, o AS filter_order, step, letter, n, good, toxic, f[i] AS fails,
+    len(list_filter(f, lambda x: x)) = 1 AND f[i] AS only_,
+    max(f[i]::INT) OVER (PARTITION BY part, good, toxic, f, o ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 AS gone
+  FROM alike, steps),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT fails AND NOT coalesce(gone, false)), 0) AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false)), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (only_), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false) AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false) AND toxic), 0) AS toxic_lost
+  FROM fates GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counted
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
@@ -162,6 +241,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": op7_suffix_dedup,
         "op6_revisits": op6_revisits,
         "op9_html": op9_html,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -170,4 +251,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
         "op6_revisits": OP6_SQL,
+        "op12_fill_middle": OP12_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
