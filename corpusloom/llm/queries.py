@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, fill_middle, filter_audit, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
+from . import ann, bpe, exact_dedup, fill_middle, filter_audit, html_text, near_dup, packing, pii, quality, substring_dedup, suffix_dedup, warc
 from .tables import read_table
 
 
@@ -150,6 +150,17 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "page.title", "page.text", F.length("page.text").alias("n_chars"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("repeats.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id",
+        "repeats.n_words",
+        removed.alias("n_removed"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_middle.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -241,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": op7_suffix_dedup,
         "op6_revisits": op6_revisits,
         "op9_html": op9_html,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_fill_middle": op12_fill_middle,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
