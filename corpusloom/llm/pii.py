@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lowest
+
 #: Kinds that base patterns find, and those of the field, which also finds keys and tokens of services.
 KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = (*KINDS, "secret")
@@ -16,8 +18,9 @@ FIELD_KINDS = (*KINDS, "secret")
 FIT_DOCS, FIT_ISLANDS, FIT_CHARS = 400, 4, 500
 #: Longest entity, in tokens, that the dynamic programme considers.
 LONGEST = 16
-#: Characters around digits and at signs that belong to an island.
-MARGIN = 40
+#: Blanks that an island reaches across on either side of a digit or at sign: a segment of LONGEST tokens has no more
+#: than half as many, and the tokens beside it, which its features see, add two.
+REACH = LONGEST // 2 + 2
 #: Shortest run of letters and digits together that is one token, not one for each change between them.
 MIXED_RUN = 16
 #: Tokens whose segments are scored together, and characters of islands that are decoded together.
@@ -30,6 +33,7 @@ ADDRESS = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ANCHOR = re.compile(r"[0-9@]")
+ASIDE = re.compile(rf"(?:\S*+[^\S\n]++){{0,{REACH}}}+\S*+")
 #: Where the value of a key, token or password is plainly named; the field learns from these what such values look like.
 NAMED_SECRET = re.compile(
     r"(?i)\b(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key)s?[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9]{16,200})(?![A-Za-z0-9])"
@@ -79,16 +83,33 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches of a text that hold a digit or an at sign, with a margin; entities lie within them."""
-    begin = end = -1
+    """The stretches of a text in which every segment that may be an entity lies whole, with the tokens beside it.
+
+    Such a segment holds a digit or an at sign, has no more than LONGEST tokens and stays within a line. A stretch goes
+    on for REACH blanks, however long the words are, and so never ends within a word. Each part of the text is looked
+    at a bounded number of times.
+    """
+    begin, end, last = 0, -1, -1  # last: the last digit or at sign so far; end: how far the stretch is known to go
     for m in ANCHOR.finditer(text):
-        if begin < 0 or m.start() - MARGIN > end:
-            if begin >= 0:
+        p = m.start()
+        if p >= end >= 0:
+            end = ASIDE.match(text, last).end()
+            if p >= end:
                 yield begin, end
-            begin = max(m.start() - MARGIN, end, 0)
-        end = min(m.end() + MARGIN, len(text))
-    if begin >= 0:
-        yield begin, end
+        if p >= end:
+            low = text.rfind("\n", max(end, 0), p) + 1 or max(end, 0)
+            begin = p
+            for _ in range(REACH + 1):
+                begin = text.rfind(" ", low, begin)
+                if begin < 0:
+                    begin = low
+                    break
+                while begin > low and text[begin - 1].isspace():
+                    begin -= 1
+            end = ASIDE.match(text, p).end()
+        last = p
+    if end >= 0:
+        yield begin, ASIDE.match(text, last).end()
 
 
 # Kinds of tokens. Other characters are tokens of their own, their kind is SIGN plus the code point.
@@ -417,22 +438,22 @@ def variants(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
 def fit(docs: DataFrame) -> SemiCrf:
     """A field fitted to (id, text) rows: base matches and named secrets are the labels, all else is outside.
 
-    At most FIT_DOCS documents that hold a digit or an at sign are used, those whose ids hash lowest, and of
-    each the first FIT_CHARS characters of FIT_ISLANDS islands; entities are also shown in spellings that the
-    base patterns miss. Without such documents the field adds nothing.
+    At most FIT_DOCS different rows that hold a digit or an at sign are used, those whose hashes are lowest, and of
+    each the first FIT_CHARS characters of FIT_ISLANDS islands, so what the driver gets is bounded however often ids or
+    rows repeat; entities are also shown in spellings that the base patterns miss. Without such rows the field adds nothing.
     """
-    with_anchor = docs.where(F.col("text").rlike("[0-9@]"))
-    few = with_anchor.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_DOCS)
-    few = F.broadcast(few.select(F.col("id").alias("_id")))
+    keyed = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("id", "text").alias("hash"), "text")
+    few = F.broadcast(lowest(keyed, "hash", FIT_DOCS))
 
     @F.pandas_udf("array<string>")
     def stretches(texts: pd.Series) -> pd.Series:
         take = lambda t: [t[a : min(b, a + FIT_CHARS)] for (a, b), _ in zip(islands(t), range(FIT_ISLANDS), strict=False)]
         return texts.map(take)
 
-    rows = with_anchor.join(few, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    found = rows.select("id", F.posexplode(stretches("text")).alias("n", "text")).toPandas()
-    return fit_examples(found.sort_values(["id", "n", "text"])["text"].drop_duplicates().tolist())
+    rows = keyed.join(few, "hash").select("hash", stretches("text").alias("stretches"))
+    found = rows.groupBy("hash").agg(F.min("stretches").alias("stretches")).toPandas()  # a repeated row counts once
+    texts = [t for some in found.sort_values("hash")["stretches"] for t in some]
+    return fit_examples(list(dict.fromkeys(texts)))
 
 
 def fit_examples(stretches: list[str], epochs: int = 10, batch: int = 32, rate: float = 0.3) -> SemiCrf:

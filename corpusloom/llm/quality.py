@@ -8,10 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lowest, materialise
+
 #: Hashed n-gram features.
 FEATURES = 1 << 17
 #: Labelled rows of each class that the linear model is fitted on; the log-count ratios cover all of them.
 FIT_ROWS = 2000
+#: Bytes of features (4 each) of a class that the driver gets of them; rows beyond that are not fitted on.
+FIT_BYTES = 1 << 27
 CHUNK = 1 << 20
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 INVERSE_STEP = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -156,9 +160,10 @@ def fit(texts: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     Labels grow with the documents, so they are joined by a shuffle at every size, and once only.
 
-    The class log-count ratios are counted over all rows. The hinge-loss model is fitted on at most
-    fit_rows rows of each class, those whose ids hash lowest; a quarter of them sets the sigmoid.
-    Where a class has no rows the score is constant, the smoothed share of label 1.
+    The class log-count ratios are counted over all rows. The hinge-loss model is fitted on at most fit_rows rows of
+    each class, those whose ids hash lowest, and of these on as many as have FIT_BYTES of features; an id counts once,
+    with the text that hashes lowest, so what the driver gets is bounded however often ids repeat. A quarter of the
+    rows sets the sigmoid. Where a class has no rows the score is constant, the smoothed share of label 1.
     """
     counts = class_counts(texts.join(known.hint("shuffle_hash"), F.col("doc") == F.col("id")).select("text", "label"))
     sizes = counts[:, FEATURES]
@@ -168,16 +173,7 @@ def fit(texts: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not sizes.all():
         share = (sizes[1] + 1) / (sizes.sum() + 2)
         return Model(np.zeros(FEATURES), scale, 0.0, 0.0, float(np.log(share / (1 - share))))
-    ordered = known.withColumn("_order", F.xxhash64("id"))
-    lowest = lambda label: ordered.where(F.col("label") == label).orderBy("_order", "id").limit(fit_rows)
-    chosen = F.broadcast(lowest(0).union(lowest(1)).select("id", "label"))
-
-    @F.pandas_udf("binary")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t).tobytes(), na_action=None)
-
-    rows = texts.join(chosen, F.col("doc") == F.col("id")).select("id", "label", found("text").alias("found")).toPandas()
-    rows = rows.sort_values(["id", "label"], ignore_index=True)
+    rows = fit_sample(texts, known, fit_rows)
     y = rows["label"].to_numpy() * 2 - 1
     x = [np.frombuffer(r, dtype=np.int32) for r in rows["found"]]
     later = np.arange(len(y)) % 4 == 0
@@ -191,6 +187,29 @@ def fit(texts: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
+def fit_sample(texts: DataFrame, known: DataFrame, fit_rows: int) -> pd.DataFrame:
+    """(id, label, found) of the rows to fit on, in order of ids."""
+    hashed = known.select("id", "label", F.xxhash64("id").alias("hash"))
+    of_class = lambda k: hashed.where(F.col("label") == k)
+    few = [of_class(k).join(F.broadcast(lowest(of_class(k), "hash", fit_rows)), "hash") for k in (0, 1)]
+    chosen = F.broadcast(few[0].union(few[1]).select("hash", "id", "label"))
+
+    @F.pandas_udf("binary")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: features(t).tobytes(), na_action=None)
+
+    rows = texts.join(chosen, F.col("doc") == F.col("id")).select("hash", "id", "label", found("text").alias("found"))
+    rows = rows.groupBy("hash", "id", "label").agg(F.min_by("found", F.xxhash64("found")).alias("found"))
+    rows = materialise(rows, "sample")
+    by_size = rows.select("hash", "label", F.octet_length("found").alias("size")).toPandas().sort_values("hash")
+    by_size["upto"] = by_size.groupby("label")["size"].cumsum()
+    last = by_size[by_size["upto"] <= FIT_BYTES].groupby("label")["hash"].max()
+    within = F.lit(False)
+    for label, hash_ in last.items():
+        within |= (F.col("label") == int(label)) & (F.col("hash") <= int(hash_))
+    return rows.where(within).select("id", "label", "found").toPandas().sort_values(["id", "label"], ignore_index=True)
+
+
 def score(text: Column, model_of) -> Column:
     """Score of each whole text under a broadcast Model; null counts as empty."""
 

@@ -158,6 +158,52 @@ def test_blocks_of_tokens_and_texts_change_nothing(monkeypatch):
         assert pii.find_all(texts, model) == want
 
 
+def test_islands_change_nothing():
+    """Decoding the stretches around digits and at signs gives what decoding the whole text does."""
+    model = random_model()
+    model.outside -= 0.5
+    random.seed(14)
+    some = ["ab", " ", "  ", "1", "@", "+", "a", "\n", "\t", ".", "x y z w v u ", "\xa0", "lorem ipsum dolor sit amet consectetur ", "b" * 60]
+    for _ in range(400):
+        text = "".join(random.choices(some, k=random.randint(0, 120)))
+        t = pii.Tokens(f"{text}\n")
+        whole = [(k, int(t.start[i]), int(t.end[j - 1])) for k, i, j in model.decode(t)]
+        base = pii.base_spans(text)
+        assert pii.find(text, model)[1] == sorted(base + pii.clear_of(whole, [(a, b) for _, a, b in base])), text
+
+
+def test_long_runs_are_found_and_masked_whole(spark):
+    """A secret is one token however long, and none of it is left in the text."""
+    runs = ["x" * 60 + "1" + "y" * 20, "ab" * 500 + "7" + "cd" * 500]
+    texts = [f"token: {r}" for r in runs] + [f"token: {r} end" for r in runs] + ["plain"]
+    learn = [f"the key {k} is old, token: {''.join(random.Random(k).choices('abcdef0123456789', k=20 + k % 30))} so" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts + learn)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii.spans] for r in pii.find_spans(docs.where("doc_id < 1000")).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts[:4]):
+        run = runs[i % 2]
+        assert found[i] == [("secret", 7, 7 + len(run))], (i, found[i])
+        assert clean[i] == text.replace(run, "<secret>")
+
+
+def test_fit_is_bounded_where_ids_and_rows_repeat(spark, monkeypatch):
+    """What the driver gets is bounded by rows and characters, also with one id for all rows, equal rows, or no ids."""
+    held = []
+    monkeypatch.setattr(pii, "fit_examples", lambda texts: held.append(texts) or pii.SemiCrf.zeros())
+    monkeypatch.setattr(pii, "FIT_DOCS", 50)
+    for rows in ([(7, f"call {i} now") for i in range(10_000)], [(7, "call 1 now")] * 10_000, [(None, f"call {i} now") for i in range(10_000)]):
+        pii.fit(spark.createDataFrame(rows, "id long, text string"))
+        assert 0 < len(held[-1]) <= 50
+    assert len(held[0]) == len(held[2]) == 50 and len(held[1]) == 1
+
+
+def test_column_named_pii_is_replaced_and_ids_may_repeat(spark):
+    docs = spark.createDataFrame([(1, "a@b.c", "x", 1), (1, "a@b.c", "y", 2), (None, "a@b.c", "z", 3)], "doc_id long, text string, pii string, hash int")
+    got = pii.find_spans(docs)
+    assert got.columns == ["doc_id", "text", "pii", "hash"] and [len(r.pii.base) for r in got.collect()] == [1, 1, 1]
+    assert pii.redact(docs).columns == docs.columns
+
+
 def test_gradient_is_that_of_the_likelihood():
     """A step raises the log-likelihood as much as the sum over all labellings says."""
     golds = {"a 1.2 b": [(1, 2, 5)], "1@b c": [(0, 0, 3)], "c": [], "9": []}

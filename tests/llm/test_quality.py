@@ -97,6 +97,18 @@ def test_query_is_a_plain_version(spark):
         assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.7)
 
 
+def test_fit_is_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"word{i % 500} and word{i % 7}") for i in range(9_000)], "doc long, text string")
+    known = spark.createDataFrame([(0, 0), (1, 1)], "id long, label int")
+    assert len(quality.fit_sample(docs, known, 10)) == 2
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(400)], "doc long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(400)], "id long, label int")
+    assert quality.fit_sample(docs, known, 60)["label"].value_counts().to_dict() == {0: 60, 1: 60}
+    monkeypatch.setattr(quality, "FIT_BYTES", 20_000)
+    rows = quality.fit_sample(docs, known, 60)
+    assert rows.groupby("label")["found"].apply(lambda x: x.map(len).sum()).between(15_000, 20_000).all()
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "text", 5), (1, None, 5)], "doc_id long, text string, label int")
     for labels in ([], [(1, 1, 0)], [(1, 1, 0), (2, 0, 0), (1, 1, 0), (9, 1, 1), (None, 1, 1), (2, None, 1)]):
