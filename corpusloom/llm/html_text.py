@@ -1,8 +1,11 @@
 """Visible text of web pages, laid out: blocks, lists and aligned table cells."""
 
 import re
+from bisect import bisect_left
 from html import unescape
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +70,10 @@ VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b
 CONTROLS = {"button"}
 #: Widest cell line that other cells of its column are aligned to, and the most columns or rows that a cell spans.
 ALIGNED, MOST_COLUMNS, MOST_ROWS = 48, 1000, 65534
+#: Levels of indents that are shown, and of tables within tables whose cells are aligned.
+DEEPEST, NESTED = 12, 8
+#: Spaces that may align a table, for each character and each cell of it: the text stays within a multiple of the page.
+PADDING = 2, 24
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -106,25 +113,27 @@ class TreeBuilder:
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
-        self.count: dict[str, int] = {"html": 1}
+        #: Where in `open` the elements of each tag are, and those of HTML, so that no end tag looks through all of them.
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.at_html = [0]
 
-    def pop(self) -> str:
+    def pop(self) -> None:
         tag = self.open.pop().tag
-        self.count[tag] -= 1
-        return tag
+        self.at[tag].pop()
+        if " " not in tag:
+            self.at_html.pop()
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of a tag is; -1 if there is none."""
+        found = self.at.get(tag)
+        return found[-1] if found else -1
 
     def close(self, tags: set[str], beyond: set[str]) -> None:
         """End the innermost open element of these tags, unless it lies beyond one of the others."""
-        if not any(self.count.get(t) for t in tags):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                while len(self.open) > i:
-                    self.pop()
-                return
-            if tag in beyond:
-                return
+        inner = max(map(self.last, tags))
+        if inner > 0 and inner >= max(map(self.last, beyond), default=0):
+            while len(self.open) > inner:
+                self.pop()
 
     def start(self, tag: str, attributes: dict[str, str], closed: bool = False) -> bool:
         """Open an element; whether it is one of HTML. One of SVG or MathML may be closed by its own tag."""
@@ -132,7 +141,7 @@ class TreeBuilder:
             while self.open[-1].foreign():
                 self.pop()
         if tag in FOREIGN or self.open[-1].foreign():
-            if self.count.get("head"):
+            if self.at.get("head"):
                 self.close({"head"}, set())
             name = f"{tag if tag in FOREIGN else self.open[-1].tag.split(' ')[0]} {tag}"
             self.add(Node(name, attributes), closed)
@@ -143,17 +152,19 @@ class TreeBuilder:
     def add(self, node: Node, closed: bool) -> None:
         self.open[-1].children.append(node)
         if not closed:
+            self.at.setdefault(node.tag, []).append(len(self.open))
+            if " " not in node.tag:
+                self.at_html.append(len(self.open))
             self.open.append(node)
-            self.count[node.tag] = self.count.get(node.tag, 0) + 1
 
     def start_html(self, tag: str, attributes: dict[str, str]) -> None:
-        if tag in ("select", "input", "textarea") and self.count.get("select"):
+        if tag in ("select", "input", "textarea") and self.at.get("select"):
             self.close({"select"}, SCOPES)
             if tag == "select":
                 return
-        if tag in ("html", "body") and (tag == "html" or self.count.get("body")):
+        if tag in ("html", "body") and (tag == "html" or self.at.get("body")):
             return
-        if self.count.get("head") and tag not in HEAD_ONLY and tag != "head":
+        if self.at.get("head") and tag not in HEAD_ONLY and tag != "head":
             self.close({"head"}, set())
         if tag in CLOSES_P:
             self.close({"p"}, SCOPES)
@@ -167,24 +178,20 @@ class TreeBuilder:
         if tag in ("p", "br"):
             while self.open[-1].foreign():
                 self.pop()
-        if self.count.get(f"svg {tag}") or self.count.get(f"math {tag}"):
-            within = False  # HTML is open, which only the end of its foreign element or of the whole one ends
-            for i in range(len(self.open) - 1, 0, -1):
-                whole, (_, _, name) = self.open[i].tag, self.open[i].tag.partition(" ")
-                if whole == tag:
-                    break
-                within = within or not name
-                if name == tag and (not within or tag in FOREIGN or whole in HTML_WITHIN):
-                    while len(self.open) > i:
-                        self.pop()
-                    return
+        found = max((self.last(f"{language} {tag}"), f"{language} {tag}") for language in FOREIGN)
+        if found[0] > self.last(tag):
+            # where HTML is open within, only the end of its foreign element or of the whole one ends it
+            if found[0] > self.at_html[-1] or tag in FOREIGN or found[1] in HTML_WITHIN:
+                while len(self.open) > found[0]:
+                    self.pop()
+                return
         if tag == "br":
             self.start("br", {})
         elif tag not in ("html", "body"):
             self.close({tag}, {"table"} if tag in TABLE_PARTS - {"table"} else set() if tag == "table" else SCOPES - {tag})
 
     def text(self, data: str) -> None:
-        if not data.isspace() and self.count.get("head") and self.open[-1].tag == "head":
+        if not data.isspace() and self.at.get("head") and self.open[-1].tag == "head":
             self.close({"head"}, set())
         self.open[-1].children.append(data)
 
@@ -236,11 +243,14 @@ class Layout:
         self.line: list[str] = []
         self.space = False
         self.blank = False
-        self.indents: list[str] = []
+        self.indents: list[int] = []
+        self.indent = 0
         self.marker = ""
+        self.weight = 0  # characters shown, without white space
 
     def put(self, data: str, keep: bool = False) -> None:
         if keep:
+            self.weight += len(data) - data.count(" ")
             first, *rest = data.split("\n")
             self.word((" " if self.space and self.line else "") + first)
             self.space = False
@@ -252,6 +262,7 @@ class Layout:
         for i, part in enumerate(parts):
             self.space = self.space or i > 0
             if part:
+                self.weight += len(part)
                 self.word((" " if self.space and self.line else "") + part)
                 self.space = False
 
@@ -262,62 +273,110 @@ class Layout:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            data = "".join(self.indents) + self.marker + data
+            data = "  " * min(self.indent, DEEPEST) + self.marker + data
             self.marker = ""
         self.line.append(data)
 
+    def deeper(self, levels: int) -> None:
+        self.indents.append(levels)
+        self.indent += levels
+
+    def back(self) -> None:
+        self.indent -= self.indents.pop()
+
     def finish(self, force: bool = False) -> None:
         if self.line or force:
             self.lines.append("".join(self.line).rstrip())
         self.line, self.space = [], False
 
+    def part(self) -> None:
+        """Begin a cell of a table that is not aligned."""
+        self.space = True
+
     def apart(self, spaced: bool) -> None:
         self.finish()
         self.blank = self.blank or spaced
 
-    def text(self) -> str:
+    def shown(self) -> list[str]:
+        """The lines, without empty ones before and after them."""
         self.finish()
-        return "\n".join(self.lines).strip("\n")
+        first, last = 0, len(self.lines)
+        while last and not self.lines[last - 1]:
+            last -= 1
+        while first < last and not self.lines[first]:
+            first += 1
+        return self.lines[first:last]
 
 
 def span_of(value: str | None, most: int) -> int:
     return min(max(int(value), 1), most) if value and re.fullmatch(r"[0-9]{1,9}", value.strip()) else 1
 
 
-def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table of (text, columns, rows) cells: cells of a column start at the same place, further lines lie below.
+class Cell(NamedTuple):
+    lines: list[str]
+    weight: int
+    columns: int
+    rows: int
+
+
+def places(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """Each cell with its column, the first that no cell of an earlier row fills; MOST_COLUMNS is that of all further ones."""
+    until = np.zeros(MOST_COLUMNS, dtype=np.int64)  # the row up to which a cell that began above fills a column
+    spanning, placed = False, []
+    for r, row in enumerate(rows):
+        line, at = [], 0
+        for cell in row:
+            if spanning and at < MOST_COLUMNS and until[at] > r:
+                free = until[at:] <= r
+                at = at + int(free.argmax()) if free.any() else MOST_COLUMNS
+            line.append((at, cell))
+            if cell.rows > 1:
+                until[at : at + cell.columns] = r + cell.rows
+                spanning = True
+            at = min(at + cell.columns, MOST_COLUMNS)
+        placed.append(line)
+    return placed
+
 
-    Lines longer than ALIGNED widen no column, so a page with one long cell is not padded to its length.
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table: cells of a column start at the same place, further lines of a cell lie below.
+
+    Lines longer than ALIGNED widen no column, so a page with one long cell is not padded to its length. A table that
+    would be padded by more than PADDING for its characters and cells is not aligned: two spaces part its cells.
     """
-    placed, below = [], {}  # below: columns that a cell of an earlier row fills, and for how many more rows
-    for row in rows:
-        line, at, filled = [], 0, {c: n - 1 for c, n in below.items() if n > 1}
-        for text, columns, down in row:
-            while at in below:
-                at += 1
-            line.append((at, columns, text.split("\n")))
-            if down > 1:
-                filled |= {c: down - 1 for c in range(at, at + columns)}
-            at += columns
-        placed.append(line)
-        below = filled
+    placed = places(rows)
     width: dict[int, int] = {}
     for line in placed:
-        for at, columns, lines in line:
-            if columns == 1:
-                width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= ALIGNED)])
-    begin, total = {}, 0
-    for c in range(max((at + 1 for line in placed for at, _, _ in line), default=0)):
-        begin[c] = total
-        total += width[c] + 2 if width.get(c) else 0
-    out = []
-    for line in placed:
-        for k in range(max((len(lines) for _, _, lines in line), default=0)):
-            text = ""
-            for at, _, lines in line:
-                if k < len(lines) and lines[k]:
-                    text = (text.ljust(begin[at]) if len(text) + 2 <= begin[at] or not text else f"{text}  ") + lines[k]
-            out.append(text.rstrip())
+        for at, cell in line:
+            if cell.columns == 1 and at < MOST_COLUMNS:
+                width[at] = max([width.get(at, 0), *(len(x) for x in cell.lines if len(x) <= ALIGNED)])
+    columns = sorted(c for c in width if width[c])
+    starts = np.concatenate([[0], np.cumsum([width[c] + 2 for c in columns], dtype=np.int64)])
+    begin = lambda at: int(starts[bisect_left(columns, at)])
+    for padded in (True, False):
+        out, spent = [], 0
+        allowed = sum(PADDING[0] * cell.weight + PADDING[1] for line in placed for _, cell in line)
+        for line in placed:
+            below: list[list[tuple[int, str]]] = []  # what the cells show in their first line, the next, and so on
+            for at, cell in line:
+                below.extend([] for _ in range(len(cell.lines) - len(below)))
+                for k, text in enumerate(cell.lines):
+                    if text:
+                        below[k].append((begin(at) if padded else 0, text))
+            for some in below:
+                parts, size = [], 0
+                for at, text in some:
+                    gap = max(at - size, 2 if parts else 0)
+                    spent += gap
+                    parts += [" " * gap, text]
+                    size += gap + len(text)
+                if spent > allowed and padded:
+                    break
+                out.append("".join(parts).rstrip())
+            if spent > allowed and padded:
+                break
+        else:
+            break
     return out
 
 
@@ -407,12 +466,16 @@ def render(root: Node) -> str:
                 if len(shown) > 1:
                     now.apart(False)
                 continue
+            flat = bool(tables) and tables[-1]["flat"]
             cell = tag in ("td", "th") and tables
             if tag == "br":
                 now.finish(force=True)
             elif tag == "table":
                 now.apart(True)
-                tables.append({"rows": [], "open": True, "depth": len(layouts)})
+                flat = len(tables) >= NESTED
+                tables.append({"rows": [], "open": not flat, "depth": len(layouts), "flat": flat})
+            elif flat and (cell or tag == "tr"):
+                now.apart(False) if tag == "tr" else now.part()
             elif tag == "tr" and tables and tables[-1]["depth"] == len(layouts):
                 tables[-1]["rows"].append([])
             elif cell:
@@ -429,9 +492,9 @@ def render(root: Node) -> str:
                     now.marker = f"{number}. " if number is not None else "- "
                     if number is not None:
                         lists[-1] = number + 1
-                    now.indents.append("  " * (len(lists) > 1))
+                    now.deeper(int(len(lists) > 1))
                 elif tag in ("blockquote", "dd"):
-                    now.indents.append("  ")
+                    now.deeper(1)
             keep += tag in ("pre", "textarea")
             seen.append(visible)
             stack.append((node, "leave"))
@@ -456,22 +519,27 @@ def render(root: Node) -> str:
             if tag == "table":
                 table = tables.pop()
                 now.finish()
+                now.weight += sum(cell.weight for row in table["rows"] for cell in row)
                 for line in aligned(table["rows"]):
                     now.word(line)
                     now.finish(force=True)
                 now.apart(True)
+            elif tag in ("td", "th") and tables and tables[-1]["flat"]:
+                now.part()
             elif tag in ("td", "th") and tables and len(layouts) > 1:
                 layouts.pop()
                 a = node.attributes
-                tables[-1]["rows"][-1].append((now.text(), span_of(a.get("colspan"), MOST_COLUMNS), span_of(a.get("rowspan"), MOST_ROWS)))
+                cell = Cell(now.shown(), now.weight, span_of(a.get("colspan"), MOST_COLUMNS), span_of(a.get("rowspan"), MOST_ROWS))
+                tables[-1]["rows"][-1].append(cell)
             elif tag in BLOCK:
                 now.apart(tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))
                 if tag in ("ul", "ol", "menu"):
                     lists.pop()
                 elif tag in ("li", "blockquote", "dd"):
-                    now.indents.pop()
-                    now.marker = ""
-    return layouts[0].text()
+                    now.back()
+                    if tag == "li":
+                        now.marker = ""
+    return "\n".join(layouts[0].shown())
 
 
 def title_of(root: Node) -> str | None:
@@ -503,6 +571,11 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     items carry a dash or number, table cells of a column are aligned, also beside cells that span several columns
     or rows, preformatted text keeps its spaces. A visible part of an invisible element is shown.
 
+    Time and text stay within a multiple of the page: no more than DEEPEST indents are shown, tables within NESTED
+    others have their cells one after another, cells beyond column MOST_COLUMNS are not aligned, and neither are
+    tables that would be mostly padding (PADDING). Misnested formatting elements are not opened again: they
+    change no text, unless a style hides them.
+
     Null and empty pages give an empty text and no title. Unclosed and stray tags never fail; nesting may be
     of any depth. Rows are independent; other columns pass through, one named `page` is replaced.
     """

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 from compare import rows, tables
@@ -194,3 +195,142 @@ def test_clashing_page_column(spark):
     got = html_text.extract(frame)
     assert got.columns == ["html", "page", "text"] and sorted(r.page.text for r in got.collect()) == ["", "a", "a"]
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+SPACED, INLINE = {"p", "ul", "ol", "blockquote", "h2"}, {"b", "i", "span", "a"}
+
+
+def random_tree(rng, depth=0, within=None):
+    """(tag, children) of a well-formed page without tables; a string is text."""
+    children = []
+    for _ in range(rng.randint(0, 5)):
+        kind = rng.random()
+        if within in ("ul", "ol"):
+            children.append(("li", random_tree(rng, depth + 1, "li")))
+        elif kind < 0.45 or depth > 5:
+            children.append(rng.choice(["one", " two ", "three\n\tfour", " ", "&amp;", "é "]))
+        elif kind < 0.55:
+            children.append(("br", []))
+        elif kind < 0.75 or within in INLINE | {"p", "h2"}:
+            tag = rng.choice(sorted(INLINE))
+            children.append((tag, random_tree(rng, depth + 1, tag)))
+        else:
+            tag = rng.choice(["div", "p", "ul", "ol", "blockquote", "h2", "section"])
+            children.append((tag, random_tree(rng, depth + 1, tag)))
+    return children
+
+
+def as_html(children):
+    return "".join(c if isinstance(c, str) else f"<{c[0]}>" if c[0] == "br" else f"<{c[0]}>{as_html(c[1])}</{c[0]}>" for c in children)
+
+
+def plain_text(children):
+    """The page as events (text, line break, block edge), then as lines: nothing of a layout is held but the line."""
+    events = []
+
+    def walk(children, lists, indent):
+        for c in children:
+            if isinstance(c, str):
+                events.append(("text", c.replace("&amp;", "&"), indent))
+                continue
+            tag, inner = c
+            if tag == "br":
+                events.append(("break", "", indent))
+            elif tag in INLINE:
+                walk(inner, lists, indent)
+            elif tag in ("ul", "ol"):
+                events.append(("edge", "" if lists else "gap", indent))
+                for n, (_, item) in enumerate(inner, 1):
+                    deeper = indent + (len(lists) > 0)
+                    events.append(("edge", "", indent))
+                    events.append(("item", f"{n}. " if tag == "ol" else "- ", deeper))
+                    walk(item, [*lists, tag], deeper)
+                    events.append(("edge", "", indent))
+                    events.append(("item", "", indent))
+                events.append(("edge", "" if lists else "gap", indent))
+            else:
+                events.append(("edge", "gap" if tag in SPACED else "", indent))
+                walk(inner, lists, indent + (tag == "blockquote"))
+                events.append(("edge", "gap" if tag in SPACED else "", indent))
+
+    walk(children, [], 0)
+    lines, line, space, gap, mark = [], "", False, False, ""
+    for kind, value, indent in [*events, ("edge", "", 0)]:
+        if kind == "text":
+            for i, word in enumerate(re.split(r"[ \t\n]+", value)):
+                space = space or i > 0
+                if word:
+                    if not line:
+                        lines += [""] if gap and lines else []
+                        line, gap, mark = "  " * indent + mark, False, ""
+                    elif space:
+                        line += " "
+                    line, space = line + word, False
+        elif kind == "item":
+            mark = value
+        else:
+            if line or kind == "break":
+                lines.append(line)
+            gap = gap or value == "gap"
+            line, space = "", False
+    return "\n".join(lines).strip("\n")
+
+
+def test_pages_without_tables_are_those_of_a_plain_renderer():
+    rng = random.Random(41)
+    shown = 0
+    for _ in range(1500):
+        tree = random_tree(rng)
+        assert html_text.page_text(as_html(tree))[1] == plain_text(tree), as_html(tree)
+        shown += "<ol>" in as_html(tree) and "<blockquote>" in as_html(tree)
+    assert shown > 50
+
+
+CROWDED = {
+    "lists": "<ul><li>x" * 3000,
+    "tables": "<table><tr><td>x" * 4000,
+    "spans": "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 150,
+    "many spans": "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 900,
+    "wide row": "<table><tr>" + "".join(f"<td>{'w' * 8000}{i}" for i in range(100)) + "".join("<tr><td colspan=99><td>x" for _ in range(300)),
+    "columns": "<table><tr>" + "".join(f"<td>{'w' * 40}{i}" for i in range(300)) + "".join("<tr><td colspan=299><td>x" for _ in range(300)),
+    "lines": "<table><tr><td>" + "w" * 48 + "<td>" + "x<br>" * 5000 + "<td>y" * 2000,
+    "end tags": "<i><table><td>" + "<div>" * 10000 + "</i>" * 10000,
+    "foreign end tags": "<svg><g><foreignobject>" + "<div>" * 10000 + "</g>" * 10000,
+    "quotes": "<blockquote>x" * 5000,
+}
+
+
+def test_time_and_text_stay_within_a_multiple_of_the_page():
+    for name, page in CROWDED.items():
+        began = time.process_time()
+        text = html_text.page_text(page)[1]
+        assert time.process_time() - began < 2 and len(text) < 4 * len(page), name
+        assert sorted(re.findall('[xy]', text)) == sorted(re.findall('[xy]', re.sub('<[^>]*>', '', page))), name
+
+
+def test_columns_that_earlier_rows_fill_are_passed_over():
+    rng = random.Random(42)
+    for _ in range(200):
+        rows = [[(f"r{r}c{c}", rng.randint(1, 3), rng.randint(1, 3)) for c in range(rng.randint(0, 4))] for r in range(rng.randint(1, 6))]
+        taken, want = set(), []
+        for r, row in enumerate(rows):
+            at = 0
+            for text, columns, down in row:
+                while (r, at) in taken:
+                    at += 1
+                want.append((r, at, text))
+                taken |= {(y, x) for y in range(r + 1, r + down) for x in range(at, at + columns)}
+                at += columns
+        cells = [[html_text.Cell([t], len(t), c, d) for t, c, d in row] for row in rows]
+        got = [(r, at, cell.lines[0]) for r, line in enumerate(html_text.places(cells)) for at, cell in line]
+        assert got == want
+
+
+def test_end_tags_end_the_innermost_element_in_reach():
+    shown = lambda html: html_text.page_text(html)[1]
+    assert shown("<p>a<b>b</p>c") == "ab\n\nc"
+    assert shown("<table><tr><td><p>a</table></p>b") == "a\n\nb"
+    assert shown("<i>a<table><tr><td>b</i>c</table>d") == "a\n\nbc\n\nd"
+    assert shown("<svg><g><text>a</g><text>b</svg>c") == "a b c"
+    assert shown("<svg><g><foreignobject><div>a</g>b</div></foreignobject></g></svg>") == "ab"
+    assert shown("<li>a<div><li>b") == "- a\n- b"
