@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import attention, dialogue, experiments, filters, metrics, sampling, tokens
+from .operators import attended, attention, dialogue, experiments, filters, metrics, sampling, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -833,6 +833,88 @@ def block_attention(spark, sf_dir):
     return found.select("seq", "q", "k", F.round("weight", 6).alias("weight"))
 
 
+# Sequences with four heads of 16 numbers, whose keys are their vectors in reverse.
+HEADS = f"""{SEQ}, h AS (SELECT seq, pos, h, x[16 * h + 1 : 16 * h + 16] AS q, list_reverse(x)[16 * h + 1 : 16 * h + 16] AS k,
+      x[16 * h + 1 : 16 * h + 16] AS v, x[h + 1] AS i FROM s, range(4) AS r(h))"""
+BLOCKS = """, g AS (SELECT seq, h, pos // 4 AS b, d, avg(k[d]) AS k, avg(v[d]) AS v FROM h, range(1, 17) AS r(d) GROUP BY ALL HAVING count(*) = 4),
+    b AS (SELECT seq, h, b, list(k ORDER BY d) AS k, list(v ORDER BY d) AS v, 0.1 + sum(k * (d - 8) / 16.0::double) AS i FROM g GROUP BY ALL),
+    m AS (SELECT h.seq, h.pos, h.h, b.b, round(list_dot_product(h.q, b.k) * 0.25, 4) AS s, round(sum(h.i * b.i) OVER (PARTITION BY h.seq, h.pos, b.b), 4) AS t, b.v
+      FROM h JOIN b ON h.seq = b.seq AND h.h = b.h AND b.b < h.pos // 4),
+    c AS (SELECT *, rank() OVER (PARTITION BY seq, pos, h ORDER BY {by} DESC) AS r FROM m QUALIFY r <= 3)"""
+BAND = """p AS (SELECT q.seq, q.pos, q.h, exp(list_dot_product(q.q, k.k) * 0.25) AS w, k.v FROM h q JOIN h k ON q.seq = k.seq AND q.h = k.h AND {seen})"""
+SUMMED = """(SELECT seq, pos, 16 * h + d - 1 AS dim, sum(w * v[d]) / (sum(w){sink}) AS y FROM {pairs}, range(1, 17) AS r(d) GROUP BY ALL)"""
+CAUSAL, AHEAD = "k.pos <= q.pos", "k.pos BETWEEN q.pos AND q.pos + 5"
+
+
+def headed(spark, sf_dir):
+    x = F.col("x")
+    return sequences(spark, sf_dir).withColumns({"k": F.reverse(x), "i": F.slice(x, 1, 4)})
+
+
+def by_dim(found: DataFrame) -> DataFrame:
+    each = found.select("seq", "pos", F.posexplode("y").alias("dim", "y"))
+    return each.select("seq", "pos", F.col("dim").cast("long").alias("dim"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+def outputs_sql(seen: str, sink: str = "") -> str:
+    return f"WITH {HEADS}, {BAND.format(seen=seen)} SELECT seq, pos, dim, round(y, 6) + 0.0 AS y FROM {SUMMED.format(sink=sink, pairs='p')}"
+
+
+def sparse_sql(by: str) -> str:
+    far = "f AS (SELECT seq, pos, h, exp(s) AS w, v FROM c)"
+    return f"""WITH {HEADS}{BLOCKS.format(by=by)}, {BAND.format(seen=AHEAD)}, {far},
+    o AS (SELECT * FROM {SUMMED.format(sink=" + exp(0.5)", pairs="p")} UNION ALL SELECT * FROM {SUMMED.format(sink=" + exp(0.5)", pairs="f")})
+    SELECT seq, pos, dim, round(sum(y), 6) + 0.0 AS y FROM o GROUP BY ALL"""
+
+
+INDEX = attended.Index("i", tuple((d - 8) / 16 for d in range(1, 17)), 0.1)
+
+
+@query(outputs_sql(CAUSAL))
+def attention_causal(spark, sf_dir):
+    return by_dim(attended.attention(headed(spark, sf_dir), ["seq"], "pos", "x", "k", "x", heads=4, scale=0.25, size=16))
+
+
+@query(outputs_sql(CAUSAL, " + exp(0.5)"))
+def attention_sink(spark, sf_dir):
+    return by_dim(attended.attention(headed(spark, sf_dir), ["seq"], "pos", "x", "k", "x", heads=4, scale=0.25, sink=0.5, size=16))
+
+
+@query(outputs_sql(AHEAD))
+def attention_window(spark, sf_dir):
+    found = attended.attention(headed(spark, sf_dir), ["seq"], "pos", "x", "k", "x", heads=4, behind=0, ahead=5, scale=0.25, size=16)
+    return by_dim(found)
+
+
+@query(f"WITH {HEADS}{BLOCKS.format(by='t')} SELECT seq, pos AS q, h AS head, b AS k, round(exp(s) / sum(exp(s)) OVER (PARTITION BY seq, pos, h), 6) AS weight FROM c")
+def indexed_blocks(spark, sf_dir):
+    found = attended.chosen_blocks(headed(spark, sf_dir), ["seq"], "pos", "x", "k", top=3, block=4, heads=4, scale=0.25, digits=4, index=INDEX, size=8)
+    return found.select("seq", "q", "head", "k", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    f"""WITH {HEADS}{BLOCKS.replace("round(", "(").replace(", 4) AS", ") AS").format(by="t")},
+    u AS (SELECT seq, pos, b, any_value(t) AS t, avg(s) AS s FROM m GROUP BY ALL),
+    w AS (SELECT seq, pos, t - ln(sum(exp(t)) OVER w) AS p, s - ln(sum(exp(s)) OVER w) AS r FROM u WINDOW w AS (PARTITION BY seq, pos)),
+    d AS (SELECT seq, pos, sum(exp(p) * (p - r)) AS d FROM w GROUP BY ALL)
+    SELECT s.seq, count(d) AS n, round(coalesce(avg(d), 0), 6) + 0.0 AS divergence FROM (SELECT DISTINCT seq FROM b) s LEFT JOIN d USING (seq) GROUP BY 1"""
+)
+def index_divergence(spark, sf_dir):
+    found = attended.index_divergence(headed(spark, sf_dir), ["seq"], "pos", "x", "k", INDEX, block=4, heads=4, scale=0.25, size=8)
+    return found.select("seq", "n", (F.round("divergence", 6) + 0.0).alias("divergence"))
+
+
+@query(sparse_sql("s"))
+def sparse_attention(spark, sf_dir):
+    return by_dim(attended.sparse_attention(headed(spark, sf_dir), ["seq"], "pos", "x", "k", "x", top=3, block=4, window=5, heads=4, scale=0.25, sink=0.5, digits=4, size=8))
+
+
+@query(sparse_sql("t"))
+def indexed_sparse_attention(spark, sf_dir):
+    found = attended.sparse_attention(headed(spark, sf_dir), ["seq"], "pos", "x", "k", "x", top=3, block=4, window=5, heads=4, scale=0.25, sink=0.5, digits=4, index=INDEX, size=8)
+    return by_dim(found)
+
+
 @query("SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::double) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%.1f MB', n / 1048576.0::double) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
 def human_sizes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.human_size(F.octet_length("html")).alias("size"))
