@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, repetition_penalty, softmax
+from . import arrays
 
 
 def expert_load(rows: DataFrame, logits: str, k: int) -> DataFrame:
@@ -127,8 +128,7 @@ def cross_entropy(rows: DataFrame, logp: Column, target: Column, ignored: int =
 
 def ahead_targets(rows: DataFrame, ids_col: str, steps: int) -> DataFrame:
     """rows with ahead_1..ahead_steps: arrays of the tokens that follow each token of an array, null past the end."""
-    ahead = lambda n: F.transform(ids_col, lambda _, i: F.get(ids_col, i + n))
-    return rows.withColumns({f"ahead_{n}": ahead(n) for n in range(1, steps + 1)})
+    return rows.withColumns({f"ahead_{n}": arrays.ahead(F.col(ids_col), n) for n in range(1, steps + 1)})
 
 
 def penalise(logits: DataFrame, history: DataFrame, key: list[str], penalty: float, once: bool = False, context: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CONTINUE, HAN_OR_PUNCTUATION, STOPWORDS, char_len, class_ratio, is_degenerate, strip_noise
+from ..sources.staging import staged
 from .metrics import distinct_share
 
 
@@ -46,23 +47,24 @@ def drop_reason(user: Column, asst: Column, limits: Limits) -> Column:
 def filter_pairs(pairs: DataFrame, order: list[str], limits: Limits | None = None) -> DataFrame:
     """Cleaned pairs with the reason they are dropped for; null means kept.
 
-    Pairs with an empty side are left out uncounted. Of pairs that pass all tests and are equal after
-    cleaning, the first in order is kept and the others are dropped as dup.
+    Pairs with an empty side are left out uncounted. Of pairs that pass all tests and are equal after cleaning, the
+    first in order is kept and the others are dropped as dup; of those that share that place any one is kept.
+
+    Pairs are cleaned and judged once, into a table that also numbers them. Only digests and places of those that pass
+    are aggregated, and the numbers of the first ones come back, so copies of a pair are never gathered.
     """
     limits = limits or Limits()
     present = pairs.where("user <> '' and asst <> ''")
     cleaned = present.withColumns({"user": strip_noise(F.col("user")), "asst": strip_noise(F.col("asst"))})
     judged = cleaned.withColumn("drop_reason", drop_reason(F.col("user"), F.col("asst"), limits))
-    kept = judged.where(F.col("drop_reason").isNull())
-    first = kept.groupBy("user", "asst").agg(F.min(F.struct(*order)).alias("_first"))
-    marks = {c: F.col(c) for c in ("user", "asst")} | {c: F.col(f"_first.{c}") for c in order}
-    first = first.select(*[v.alias(f"_first_{c}") for c, v in marks.items()], F.lit(True).alias("_is_first"))
-    marked = judged.join(first, [F.col(c).eqNullSafe(F.col(f"_first_{c}")) for c in marks], "left")
-    # copies are spread by their place; only those at one place are numbered together
-    placed = Window.partitionBy(*marks).orderBy(F.lit(0))
-    repeated = F.col("drop_reason").isNull() & (F.col("_is_first").isNull() | (F.row_number().over(placed) > 1))
-    reason = F.when(repeated, "dup").otherwise(F.col("drop_reason"))
-    return marked.withColumn("drop_reason", reason).select(*judged.columns)
+    columns = judged.columns
+    numbered = judged.withColumns({"_row": F.monotonically_increasing_id(), "_pair": F.sha2(F.concat_ws("\0", F.length("user"), "user", "asst"), 256)})
+    numbered = staged(numbered, "judged")
+    passed = numbered.where(F.col("drop_reason").isNull())
+    first = passed.groupBy("_pair").agg(F.min(F.struct(*order, "_row")).alias("_first")).select(F.col("_first._row").alias("_kept"))
+    marked = passed.select("_row", *columns).join(first, F.col("_row") == F.col("_kept"), "left")
+    marked = marked.withColumn("drop_reason", F.when(F.col("_kept").isNull(), "dup"))
+    return numbered.where(F.col("drop_reason").isNotNull()).select(*columns).unionByName(marked.select(*columns))
 
 
 def drop_counts(judged: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TURN_MARKERS
+from . import arrays
 from .sampling import order_key
 
 IGNORED = -100
@@ -24,18 +25,25 @@ def char_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def char_encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the numbers of a text's characters; those outside the vocabulary are left out.
+    """(id, ids): the numbers of a text's characters; those outside the vocabulary are left out, a null text has none.
 
-    The vocabulary becomes one array by code point that is joined to all rows, so that a character is looked up
-    without a search; it is bounded by Unicode.
+    The vocabulary, which Unicode bounds, is sent to tasks as two sorted arrays of its own size.
     """
-    known = vocab.select(F.ascii("ch").cast("long").alias("_code"), "id")
-    every = docs.sparkSession.range(0x110000).join(F.broadcast(known.agg(F.max("_code").alias("_most"))), F.col("id") <= F.col("_most"))
-    slots = every.select(F.col("id").alias("_at")).join(known, F.col("_at") == F.col("_code"), "left")
-    table = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda s: s["id"]).alias("_vocab"))
-    chars = F.filter(F.split(F.coalesce(text_col, F.lit("")), ""), lambda c: c != "")
-    ids = F.filter(F.transform(chars, lambda c: F.get("_vocab", F.ascii(c))), lambda i: i.isNotNull())
-    return docs.crossJoin(F.broadcast(table)).select(id_col, ids.alias("ids"))
+    known = vocab.select(F.ascii("ch").cast("int").alias("code"), "id").where("code is not null and id is not null").toPandas().sort_values("code")
+    shared = docs.sparkSession.sparkContext.broadcast((known["code"].to_numpy(dtype=np.int32), known["id"].to_numpy(dtype=np.int64)))
+
+    @F.pandas_udf("array<bigint>")
+    def encode(texts: pd.Series) -> pd.Series:
+        codes, ids = shared.value
+
+        def one(text: str | None) -> np.ndarray:
+            wanted = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<i4")
+            at = np.minimum(np.searchsorted(codes, wanted), max(len(codes) - 1, 0))
+            return ids[at[codes[at] == wanted]] if len(codes) else ids
+
+        return texts.map(one)
+
+    return docs.select(id_col, encode(F.col(text_col)).alias("ids"))
 
 
 def char_decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -157,7 +165,7 @@ def loss_mask(ids: Column, opens: tuple[int, int], closes: tuple[tuple[int, int]
 
 def masked_targets(y: Column, mask: Column) -> Column:
     """Targets with IGNORED where the mask is false."""
-    return F.zip_with(y, mask, lambda t, m: F.when(m, t).otherwise(IGNORED))
+    return arrays.where_true(y, mask, IGNORED)
 
 
 def cut_at_turn(ids: Column, spec: str, markers: tuple[str, ...] = TURN_MARKERS) -> Column:

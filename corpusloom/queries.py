@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import attended, attention, dialogue, experiments, filters, metrics, sampling, tokens
+from .operators import arrays, attended, attention, dialogue, experiments, filters, metrics, sampling, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -360,8 +360,7 @@ CHARS = """t AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_su
 
 def char_ids(spark, sf_dir):
     """(doc_id, ids): the code points of texts that are not empty."""
-    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", ids.alias("ids"))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", arrays.code_points(F.col("text")).alias("ids"))
 
 
 MASKED = """e AS (SELECT doc_id, pos, ord(c) AS tok, lead(ord(c)) OVER w AS nx, lag(ord(c)) OVER w AS pv FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -392,8 +391,8 @@ def masked_chars(spark, sf_dir):
 )
 def masked_targets(spark, sf_dir):
     y = masked_chars(spark, sf_dir).select("doc_id", tokens.masked_targets(F.col("ids"), F.col("mask")).alias("y"))
-    kept = F.aggregate("y", F.lit(0).cast("long"), lambda a, v: a + F.when(v != tokens.IGNORED, v).otherwise(0))
-    return y.select("doc_id", F.size(F.filter("y", lambda v: v == tokens.IGNORED)).alias("n_ignored"), kept.alias("kept"))
+    sums = y.select("doc_id", F.size("y").alias("n"), arrays.totals(F.col("y"), tokens.IGNORED).alias("t"))
+    return sums.select("doc_id", (F.col("n") - F.col("t.n")).alias("n_ignored"), F.coalesce("t.total", F.lit(0)).alias("kept"))
 
 
 @query("""SELECT source, lang, count(*) AS n_docs, sum(length(text))::bigint AS n_chars, round(sum(length(text)) / count(*)::double, 6) AS mean_chars FROM documents GROUP BY ALL""")
@@ -721,11 +720,9 @@ def cross_entropy(spark, sf_dir):
 )
 def mtp_targets(spark, sf_dir):
     found = attention.ahead_targets(char_ids(spark, sf_dir), "ids", 3)
-    present = lambda k: F.size(F.filter(f"ahead_{k}", lambda v: v.isNotNull()))
-    placed = lambda k: F.filter(F.transform(f"ahead_{k}", lambda v, i: v.cast("long") * i), lambda v: v.isNotNull())
+    sums = found.select("doc_id", *(arrays.totals(F.col(f"ahead_{k}")).alias(f"t{k}") for k in (1, 2, 3)))
     # a text too short to have such a token has no sum, as in SQL
-    total = lambda k: F.when(F.size(placed(k)) > 0, F.aggregate(placed(k), F.lit(0).cast("long"), lambda a, v: a + v))
-    return found.select("doc_id", present(1).alias("n_1"), present(3).alias("n_3"), *(total(k).alias(f"sum_{k}") for k in (1, 2, 3)))
+    return sums.select("doc_id", F.col("t1.n").alias("n_1"), F.col("t3.n").alias("n_3"), *(F.col(f"t{k}.places").alias(f"sum_{k}") for k in (1, 2, 3)))
 
 
 @query("""WITH v AS (SELECT vec_id, (vec_id % 50) * 8 + i AS v, vec_id % 50 AS t, i AS h FROM embeddings, range(0, 8) r(i)) SELECT vec_id, h, v // 50 AS from_h, v % 50 AS from_t FROM v""")

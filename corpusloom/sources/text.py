@@ -1,37 +1,26 @@
 """Reading and writing text corpora, logs, result files and token streams."""
 
 import hashlib
-import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .files import list_files, locate
+from .token_sink import TokenSink, register, shards
 
 RESULTS = "step INT, `train/loss` DOUBLE, `val/loss` DOUBLE, lr DOUBLE, mfu DOUBLE, time DOUBLE"
 READ_BYTES = 1 << 22
 ROW_BITS = (1 << 33) - 1  # of monotonically_increasing_id
 
 
-def locate(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path inside it of a path or address, for tasks that stream files too long for one row."""
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
-
-
 def exists(path: str) -> bool:
     store, inside = locate(path)
-    return store.get_file_info(inside).type == fs.FileType.File
-
-
-def list_files(spark: SparkSession, path: str, pattern: str, nested: bool = True) -> DataFrame:
-    """(path, length, modificationTime) of files; their contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(nested).lower()).option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "length", "modificationTime")
+    return store.get_file_info(inside).is_file
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -58,32 +47,6 @@ def read_log_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") ->
     return lines.where("value <> ''")
 
 
-def read_zstd_lines(spark: SparkSession, path: str, pattern: str = "*.zst") -> DataFrame:
-    """(path, line_no, value): lines of zstd-compressed files, each streamed from its path by one task at a time."""
-    import zstandard
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name in batch["path"]:
-                store, inside = locate(name)
-                with store.open_input_stream(inside, compression=None) as raw:
-                    reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-                    text = io.TextIOWrapper(reader, encoding="utf-8", errors="replace")
-                    numbers, values, size = [], [], 0
-                    for n, line in enumerate(text):
-                        if line.strip():
-                            numbers.append(n)
-                            values.append(line.rstrip("\r\n"))
-                            size += len(line)
-                        if size > READ_BYTES:
-                            yield pd.DataFrame({"path": name, "line_no": numbers, "value": values})
-                            numbers, values, size = [], [], 0
-                    if values:
-                        yield pd.DataFrame({"path": name, "line_no": numbers, "value": values})
-
-    return list_files(spark, path, pattern).select("path").mapInPandas(lines, "path string, line_no long, value string")
-
-
 def read_rows(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
     """JSON rows of a schema; rows that don't parse are left out. most caps the raw rows, not the good ones."""
     return good_rows(parsed_rows(spark, path, schema, most))
@@ -106,6 +69,16 @@ def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("bad is null").select("row.*")
 
 
+def observed_rows(parsed: DataFrame, name: str = "read") -> tuple[DataFrame, Observation]:
+    """The good rows of parsed_rows(), and what the same pass over them counts: n lines read and n_bad that did not parse.
+
+    The counts are there (Observation.get) once an action has read the rows; nothing is read for them alone.
+    """
+    seen = Observation(name)
+    counted = parsed.observe(seen, F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_bad"))
+    return good_rows(counted), seen
+
+
 def bad_count(parsed: DataFrame) -> DataFrame:
     """One row: lines read, and how many of them did not parse."""
     return parsed.agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_bad"))
@@ -127,10 +100,16 @@ def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(source, part, ids): token files of unsigned 16-bit numbers, in parts of bounded size, in order of part.
 
-    Parts are dealt over tasks, and a task reads only its ranges of a file; an odd last byte is no token.
+    Where a list of shards says which files are those of the last write, only they are read. Parts are dealt over tasks,
+    and a task reads only its ranges of a file; an odd last byte is no token.
     """
     begins = F.when(F.col("length") > 1, F.sequence(F.lit(0).cast("long"), F.col("length") - 2, F.lit(READ_BYTES).cast("long")))
-    parts = list_files(spark, path, "*.bin", nested=False).select("path", "length", F.posexplode(begins).alias("part", "begin"))
+    files = list_files(spark, path, "*.bin", nested=False)
+    listed = shards(path)
+    if listed is not None:
+        names = spark.createDataFrame([(name,) for name, _ in listed], "shard string")
+        files = files.join(F.broadcast(names), F.regexp_extract("path", "([^/]+)$", 1) == F.col("shard"), "left_semi")
+    parts = files.select("path", "length", F.posexplode(begins).alias("part", "begin"))
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,29 +171,12 @@ def write_blocks(blocks: DataFrame, path: str, order: list[str], mode: str = "ig
 def write_tokens(rows: DataFrame, path: str, order: list[str], ids_col: str = "ids") -> int:
     """Token ids in order as files of unsigned 16-bit numbers, named by their place; returns how many ids.
 
-    Each partition becomes one file, first under a temporary name, so that a task that is run again replaces
-    its own file. path must be a folder or address that all executors share.
+    See token_sink: the files of a write that succeeds replace all earlier ones, those of one that fails are removed.
     """
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        store, folder = locate(path)
-        store.create_dir(folder, recursive=True)
-        context = TaskContext.get()
-        name = f"{folder}/part-{context.partitionId():06d}.bin"
-        temporary, n = f"{name}.{context.taskAttemptId()}.tmp", 0
-        with store.open_output_stream(temporary) as f:
-            for batch in batches:
-                for ids in batch[ids_col]:
-                    f.write(np.asarray(ids, dtype="<u2").tobytes())
-                    n += len(ids)
-        store.move(temporary, name)
-        yield pd.DataFrame({"n": [n]})
-
-    done = ordered.select(ids_col).mapInPandas(write, "n long")
-    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(ids_col).cast("array<int>").alias("ids"))
+    register(rows.sparkSession)
+    ordered.write.format(TokenSink.name()).mode("overwrite").save(path)
+    return sum(n for _, n in shards(path))
 
 
 def write_report(rows: DataFrame, path: str, title: str, columns: list[str], order: list[str]) -> None:
@@ -231,6 +193,25 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.select(*(F.col(c).alias(names.get(c, c)) for c in rows.columns)).write.mode("append").option("header", "true").csv(path)
 
 
+def metric_sink(path: str, key: tuple[str, ...] = ("arm", "step")) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the rows of a batch as a folder of its own, one of each key.
+
+    A batch that is run again, after a failure or restart, replaces its own folder, so it adds nothing.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.dropDuplicates(list(key)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    return write
+
+
+def read_metrics(spark: SparkSession, path: str, key: tuple[str, ...] = ("arm", "step")) -> DataFrame:
+    """The series that metric_sink() wrote: of rows with the same key, those of the latest batch."""
+    rows = spark.read.parquet(path)
+    best = rows.groupBy(*key).agg(F.max_by(F.struct("*"), "batch").alias("row"))
+    return best.select(*(F.col(f"row.{c}") for c in rows.columns if c != "batch"))
+
+
 def read_prompt(spark: SparkSession, given: str) -> DataFrame:
     """One row of text: the words given, or what a file holds if they begin with FILE:."""
     if given.startswith("FILE:"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import tokens
 from corpusloom.plans import build, config, manifest
 from corpusloom.sources import text as src
+from corpusloom.sources import zstd_lines
 
 
 def test_blocks_and_logs(spark, tmp_path):
@@ -23,7 +24,7 @@ def test_zstd(spark, tmp_path):
     import zstandard
 
     (tmp_path / "x.zst").write_bytes(zstandard.compress("{}\n\nä\n".encode()))
-    assert [(r.line_no, r.value) for r in src.read_zstd_lines(spark, str(tmp_path)).collect()] == [(0, "{}"), (2, "ä")]
+    assert [(r.line_no, r.value) for r in zstd_lines.read_zstd_lines(spark, str(tmp_path)).collect()] == [(0, "{}"), (2, "ä")]
 
 
 def test_tokens_round_trip(spark, tmp_path):
