@@ -82,7 +82,7 @@ def from_answers(rows: DataFrame) -> Column:
     return F.when(fits, single_turn(asked, answer))
 
 
-#: Row shapes by name; users add their own function of a DataFrame giving a Column.
+#: Row shapes by name; register_shape() adds to them.
 SHAPES: dict[str, Callable[[DataFrame], Column]] = {
     "question": from_question,
     "conversations": from_conversations,
@@ -93,9 +93,20 @@ SHAPES: dict[str, Callable[[DataFrame], Column]] = {
 }
 
 
-def to_blocks(rows: DataFrame, shape: str) -> DataFrame:
-    """rows with a column block, without those that give none. An unknown shape raises KeyError."""
-    return rows.withColumn("block", SHAPES[shape](rows)).where("block is not null")
+def register_shape(name: str, shape: Callable[[DataFrame], Column], replace: bool = False) -> None:
+    """Add a shape of one's own: a function of the rows that gives the column of their blocks, null where there is none.
+
+    A name that is there already is an error unless it is to be replaced.
+    """
+    if name in SHAPES and not replace:
+        raise ValueError(f"there is a shape {name} already")
+    SHAPES[name] = shape
+
+
+def to_blocks(rows: DataFrame, shape: str | Callable[[DataFrame], Column]) -> DataFrame:
+    """rows with a column block, without those that give none; the shape is a name or a function. An unknown name raises KeyError."""
+    made = SHAPES[shape] if isinstance(shape, str) else shape
+    return rows.withColumn("block", made(rows)).where("block is not null")
 
 
 def render(conversations: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:

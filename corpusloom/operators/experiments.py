@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +51,50 @@ def early_stop(series: DataFrame, arm: str = "arm", min_steps: int = 0, least_ga
     return run.groupBy(arm).agg(F.min(F.when(F.col("_run") >= patience, F.col("step"))).alias("stop_step"))
 
 
-def ema(series: DataFrame, value: str, arm: str = "arm", keep: float = 0.9) -> DataFrame:
-    """Per arm, the exponential mean after its last step: keep * mean + (1 - keep) * value, begun by the first value.
+def ema_series(series: DataFrame, value: str, arm: str = "arm", keep: float = 0.9, size: int = 4096) -> DataFrame:
+    """(arm, step, ema): the exponential mean after each step: keep * mean + (1 - keep) * value, begun by the first value.
 
-    A fold over the arm's ordered values; an arm is one training run.
+    A run of n steps takes a mean m to keep**n * m + its own part, an affine map, and two such maps compose to one. So
+    each block of `size` step numbers is folded by itself; the blocks' maps, one row for each, are composed in order to
+    what every block begins with; and that is added to the block's own part. A task holds one block of an arm, or the
+    maps of one arm. Nulls are no steps; of a step that is there more than once all values count, in order of size.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("step", F.col(value).alias("v"))))
-    fold = F.aggregate(
-        F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))),
-        F.element_at("_s", 1)["v"],
-        lambda mean, x: mean * keep + x["v"] * (1 - keep),
-    )
-    return series.where(F.col(value).isNotNull()).groupBy(arm).agg(ordered.alias("_s")).select(arm, fold.alias("ema"))
+    known = series.where(F.col(value).isNotNull() & F.col("step").isNotNull())
+    steps = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), F.col(value).cast("double").alias("v"))))
+    blocks = known.groupBy(arm, F.floor(F.col("step") / size).alias("block")).agg(steps.alias("steps"))
+
+    @F.pandas_udf("array<double>")
+    def folded(values: pd.Series) -> pd.Series:
+        def one(v: np.ndarray) -> np.ndarray:
+            out, mean = np.empty(len(v)), 0.0
+            for i, x in enumerate(v.tolist()):
+                out[i] = mean = mean * keep + x * (1 - keep)
+            return out
+
+        return values.map(one)
+
+    blocks = blocks.select(arm, "block", "steps", folded("steps.v").alias("own"))
+    maps = blocks.select(arm, "block", F.get("steps.v", F.lit(0)).alias("first"), F.size("own").alias("n"), F.element_at("own", -1).alias("part"))
+
+    def begun(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        mean, out = float(frame["first"].iloc[0]), []
+        for n, part in zip(frame["n"], frame["part"], strict=True):
+            out.append(mean)
+            mean = mean * keep ** int(n) + part
+        return pd.DataFrame({"arm": frame["arm"], "block": frame["block"], "mean": out})
+
+    kind = series.schema[arm].dataType.simpleString()
+    carried = maps.withColumnRenamed(arm, "arm").groupBy("arm").applyInPandas(begun, f"arm {kind}, block long, mean double")
+    carried = carried.select(F.col("arm").alias("_arm"), F.col("block").alias("_block"), "mean")
+    joined = blocks.join(carried, F.col(arm).eqNullSafe(F.col("_arm")) & (F.col("block") == F.col("_block")))
+    each = joined.select(arm, "mean", F.posexplode(F.arrays_zip("steps.step", "own")).alias("i", "s"))
+    return each.select(arm, F.col("s.step").alias("step"), (F.col("mean") * F.pow(F.lit(keep), F.col("i") + 1) + F.col("s.own")).alias("ema"))
+
+
+def ema(series: DataFrame, value: str, arm: str = "arm", keep: float = 0.9) -> DataFrame:
+    """Per arm, the exponential mean after its last step; see ema_series()."""
+    return ema_series(series, value, arm, keep).groupBy(arm).agg(F.max_by("ema", "step").alias("ema"))
 
 
 def learning_rate(step: Column, peak: float, floor: float, warmup: int, decay: int) -> Column:

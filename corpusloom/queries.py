@@ -6,12 +6,13 @@ Floating point results are rounded to six digits, since engines add in different
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import arrays, attended, attention, dialogue, experiments, filters, metrics, sampling, tokens
+from .operators import arrays, attended, attention, dialogue, experiments, filters, metrics, sampling, streams, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -463,6 +464,14 @@ def ema_fold(spark, sf_dir):
     return experiments.ema(series(spark, sf_dir), "val_loss").withColumn("ema", F.round("ema", 6))
 
 
+@query(
+    f"""WITH {SERIES} SELECT a.arm, a.step, round(sum(b.val_loss * CASE WHEN b.step = 0 THEN pow(0.9, a.step) ELSE 0.1 * pow(0.9, a.step - b.step) END), 6) AS ema
+    FROM series a JOIN series b ON a.arm = b.arm AND b.step <= a.step GROUP BY ALL"""
+)
+def ema_steps(spark, sf_dir):
+    return experiments.ema_series(series(spark, sf_dir), "val_loss", size=3).withColumn("ema", F.round("ema", 6))
+
+
 @query(
     """SELECT i AS step, round(CASE WHEN i < 100 THEN 6e-4 * (i + 1) / 101 WHEN i > 2000 THEN 6e-5
       ELSE 6e-5 + 0.5 * (1 + cos(pi() * (i - 100) / 1900)) * (6e-4 - 6e-5) END, 12) AS lr FROM range(0, 2500) t(i)"""
@@ -912,6 +921,25 @@ def indexed_sparse_attention(spark, sf_dir):
     return by_dim(found)
 
 
+# Layers over 8 streams of 8 numbers whose mixing weights are equal, so that B is 1/8 throughout.
+COMPRESS, EXPAND = [h / 4 - 1 for h in range(8)], [1 - c / 4 for c in range(8)]
+
+
+@query(
+    f"""WITH {LONG}, m AS (SELECT vec_id, i // 8 AS h, i % 8 AS d, v FROM e),
+    a AS (SELECT vec_id, d, sum(v / (1 + exp(-(h / 4.0::double - 1)))) AS z, sum(v) / 8 AS mean FROM m GROUP BY ALL),
+    l AS (SELECT x.vec_id, x.d, x.mean, sum(y.z * (((y.d * 3 + x.d * 5) % 7) - 3)) AS f FROM a x JOIN a y ON x.vec_id = y.vec_id GROUP BY ALL)
+    SELECT vec_id, c AS stream, d AS dim, round(mean + f / (1 + exp(-(1 - c / 4.0::double))), 6) + 0.0 AS y FROM l, range(8) AS r(c)"""
+)
+def stream_layer(spark, sf_dir):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("x", r * 8 + 1, F.lit(8)))
+    weights = np.array([[(y * 3 + x * 5) % 7 - 3 for x in range(8)] for y in range(8)], dtype=float)
+    held = vectors(spark, sf_dir).select("vec_id", rows.alias("m"))
+    done = streams.stream_layer(held, "m", COMPRESS, EXPAND, [[1.0] * 8] * 8, lambda z: z @ weights)
+    each = done.select("vec_id", F.posexplode("streams").alias("stream", "y")).select("vec_id", "stream", F.posexplode("y").alias("dim", "y"))
+    return each.select("vec_id", "stream", "dim", (F.round("y", 6) + 0.0).alias("y"))
+
+
 @query("SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::double) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%.1f MB', n / 1048576.0::double) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
 def human_sizes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.human_size(F.octet_length("html")).alias("size"))
