@@ -61,6 +61,55 @@ def test_index_finds_every_code_within_a_radius():
             assert table.within(q, radius).tolist() == np.flatnonzero(ann.distance(codes, q) <= radius).tolist()
 
 
+def clustered(n=12_000, clusters=600, dim=32):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((clusters, dim))
+    x = centres[np.arange(n) % clusters] + 0.04 * rng.standard_normal((n, dim))
+    x[5:40] = x[4]  # equal vectors, more than k
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def test_buckets_are_looked_up_where_vectors_are_clustered(spark, monkeypatch):
+    """Few codes are visited, no block meets another, and the neighbours are found."""
+    x = clustered()
+    codes = ann.fit(x[:4096], 1.0, 4)
+    m = ann.lookups(codes, len(x))
+    assert m is not None
+    table = ann.MultiIndex(codes.code(x)[:, :m])
+    radius, buckets, _ = codes.shorter[m]
+    visited = [sum(table.held(c, s, r) for s, r in enumerate(ann.reaches_of(radius, m))) for c in codes.code(x[::400], True)[:, :m]]
+    assert np.mean(visited) + buckets <= 0.1 * len(x)
+    monkeypatch.setattr(ann, "best_in_blocks", None)  # would fail
+    frame = spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, part string")
+    got = ann.nearest(frame, F.col("vec_id") % 400 == 0, k=10).toPandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        scores = (x * x[q]).sum(1)
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -scores))[:10]
+        part = part.sort_values("rank")
+        assert np.allclose(part["score"], scores[part["vec_id"]]) and (np.diff(part["score"]) <= 0).all()
+        hits += len(set(part["vec_id"]) & set(want.tolist()))
+    assert len(got) == 300 and hits >= 0.9 * 300
+
+
+def test_equal_vectors_stand_for_each_other(spark):
+    x = clustered()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, F.col("vec_id").isin(7, 39), k=12).toPandas().sort_values(["query_id", "rank"])
+    assert got["vec_id"].tolist() == [4, 5, 6, *range(8, 17), *range(4, 16)]
+
+
+def test_several_blocks_find_what_one_does(spark):
+    """At sf0.1 nothing is spared by looking up, so blocks are searched; recall holds over many of them."""
+    table = read_table(spark, ROOT + "sf0.1", "embeddings")
+    rows = [(r.vec_id, list(r.embedding)) for r in table.collect()]
+    want = brute(rows, {i for i, _ in rows if i % 20 == 0}, 20)
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0, index_block=300, query_block=40).toPandas()
+    hits = sum(len(set(part["vec_id"]) & {j for _, j in want[q]}) for q, part in got.groupby("query_id"))
+    assert len(got) == 20 * len(want) and hits >= 0.9 * len(got)
+
+
 def test_radius_grows_until_enough_are_found(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
