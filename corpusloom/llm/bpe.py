@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
+#: Words of one width below which each is merged by itself: rounds over arrays pay for many words only.
+FEW = 32
 #: Distinct words whose ids a worker remembers; longer words are not remembered.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 40
 
@@ -94,6 +96,49 @@ class MergeForest:
         return ids
 
 
+def merge_one(ids: list[int], merges: "Merges") -> list[int]:
+    """The ids of one word merged, by a segment tree in a plain list; for words too few or too long for MergeForest.
+
+    The tree's root is at 1, its leaves hold rank and position of the pairs that start there, as in MergeForest. An
+    update goes up only as far as it changes a minimum, so a merge takes a logarithmic number of steps at most.
+    """
+    n = len(ids)
+    width = 1 << max(1, (n - 1).bit_length())
+    shift, none, ranks, result = width.bit_length(), 1 << 62, merges.ranks, merges.results
+    tree = [none] * (2 * width)
+    for i in range(n - 1):
+        rank = ranks.get(ids[i] << 32 | ids[i + 1])
+        if rank is not None:
+            tree[width + i] = rank << shift | i
+    for p in range(width - 1, 0, -1):
+        tree[p] = min(tree[2 * p], tree[2 * p + 1])
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def update(i: int, rank: int | None) -> None:
+        p = width + i
+        tree[p] = none if rank is None else rank << shift | i
+        while p > 1:
+            p >>= 1
+            a, b = tree[2 * p], tree[2 * p + 1]
+            least = a if a < b else b
+            if tree[p] == least:
+                return
+            tree[p] = least
+
+    while tree[1] != none:
+        i = tree[1] & ((1 << shift) - 1)
+        j = after[i]
+        k = after[i] = after[j]
+        ids[i], ids[j] = result[tree[1] >> shift], -1
+        update(j, None)
+        if k < n:
+            before[k] = i
+        update(i, ranks.get(ids[i] << 32 | ids[k]) if k < n else None)
+        if before[i] >= 0:
+            update(before[i], ranks.get(ids[before[i]] << 32 | ids[i]))
+    return [x for x in ids if x >= 0]
+
+
 class Merges:
     """Rank and result of each mergeable pair of ids."""
 
@@ -103,6 +148,8 @@ class Merges:
         key = left << 32 | right
         self.order = np.argsort(key, kind="stable")
         self.sorted, self.result = key[self.order], result
+        self.ranks = dict(zip(reversed(key.tolist()), range(len(key) - 1, -1, -1), strict=True))  # the first of equals
+        self.results = result.tolist()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """-1 where the pair can't merge; ids of -1 stand for no symbol."""
@@ -149,6 +196,12 @@ class WordBpe:
         out: dict[str, bytes] = {}
         for w in np.unique(width):
             of = np.flatnonzero(width == w)
+            if len(of) < FEW:
+                for i in of.tolist():
+                    raw = coded[i]
+                    ids = [*self.inner[np.frombuffer(raw[:-1], dtype=np.uint8)].tolist(), int(self.last[raw[-1]])]
+                    out[words[i]] = np.array(merge_one(ids, self.merges), dtype="<u4").tobytes()
+                continue
             for part in np.array_split(of, -(-len(of) * int(w) // (1 << 20))):
                 n = sizes[part]
                 inside = np.arange(w) < n[:, None]

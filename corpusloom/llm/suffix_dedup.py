@@ -17,6 +17,8 @@ LENGTH, GRAM = 200, 32
 CHUNK, TRANSFORM = 1 << 22, 1 << 19
 #: Bytes of distinct segments beyond which the strings of one anchor are dealt out by more of what they share.
 CROWDED = 1 << 18
+#: Anchors are dense where more than one in so many bytes is another.
+DENSE = 16
 #: Anchors that are handed on together.
 FRAME_ROWS = 50_000
 #: A segment with more than one in so many of all anchors is hot; there are fewer than so many of them.
@@ -42,6 +44,10 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
     The anchor is the gram with the least hash in the string, the leftmost of equals: equal strings have
     equal anchors at equal places. key is the gram's hash, segment that of all bytes of those strings.
+
+    Where anchors change at nearly every byte (rulers, padding, blank runs) the bytes repeat themselves. Of strings that
+    a chunk holds more than once only the first then has its anchor's key; all of them are in segments of their own
+    that are given twice. So there are no more rows than other bytes have.
     """
     parts = []
     for offset in range(0, len(raw) - length + 1, CHUNK - length + 1):
@@ -60,13 +66,45 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
             least = np.minimum(least[: reach - window], least[window - reach :])
         at = (least & low).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        hi = np.append(lo[1:], len(at)) - 1
+        if len(lo) * DENSE > len(at):
+            first, again = within_itself(b, sums, length)
+            lo, hi = pieces(first, at)
+            run_lo, run_hi = pieces(again, np.arange(len(at)) // (length - gram + 1))
+            of_run = hashes(sums, run_lo, run_hi + length)
+            # of another key than any anchor's, and there twice: such a segment is known to be repeated whole
+            parts += [(mix(of_run + MIX), of_run, run_lo + offset, run_hi + offset)] * 2
+        else:
+            hi = np.append(lo[1:], len(at)) - 1
         parts.append((grams[at[lo]], hashes(sums, lo, hi + length), lo + offset, hi + offset))
     if not parts:
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def within_itself(b: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, again): starts of the first of equal strings of `length` bytes, and of all that are there more than once."""
+    places = np.arange(len(b) - length + 1)
+    _, at, back = np.unique(hashes(sums, places, places + length), return_index=True, return_inverse=True)
+    first = at[back]
+    later = np.flatnonzero(first != places)
+    differ = np.zeros(len(later), dtype=bool)
+    for k in range(length):  # the bytes, not only their hashes
+        differ |= b[later + k] != b[first[later] + k]
+    first[later[differ]] = later[differ]
+    again = np.zeros(len(places), dtype=bool)
+    again[first != places] = True
+    again[first[again]] = True
+    return np.flatnonzero(first == places), np.flatnonzero(again)
+
+
+def pieces(some: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of consecutive numbers that have the same value of `by`."""
+    if not len(some):
+        return some, some
+    cut = np.flatnonzero((np.diff(some) != 1) | (np.diff(by[some]) != 0))
+    return some[np.concatenate([[0], cut + 1])], some[np.append(cut, len(some) - 1)]
+
+
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment, the starts of its strings of `length` bytes that occur more than once among them all.
 

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -29,6 +30,26 @@ def test_encoding_is_the_librarys():
         assert ours.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_few_and_many_words_are_merged_alike(monkeypatch):
+    random.seed(17)
+    words = ["".join(random.choices("etaoinshré", k=random.randint(1, 40))) for _ in range(400)] + ["th" * 300, "a" * 1000]
+    ours = bpe.WordBpe(PATH)
+    monkeypatch.setattr(bpe, "FEW", 0)
+    many = ours.merge(words)
+    monkeypatch.setattr(bpe, "FEW", 1 << 30)
+    assert ours.merge(words) == many
+
+
+def test_a_very_long_word_takes_no_quadratic_time():
+    random.seed(18)
+    word = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=40_000))
+    ours = bpe.word_bpe(PATH)
+    began = time.process_time()
+    packed = ours.encode([word])[0]
+    assert time.process_time() - began < 1
+    assert np.frombuffer(packed, "<u4").tolist() == Tokenizer.from_file(PATH).encode(word, add_special_tokens=False).ids
+
+
 def test_other_special_tokens(tmp_path):
     spec = json.loads(open(PATH, encoding="utf-8").read())
     spec["added_tokens"] += [spec["added_tokens"][0] | {"id": 49408 + i, "content": c} for i, c in enumerate(("[end]", "[end]s"))]

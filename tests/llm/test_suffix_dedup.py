@@ -62,6 +62,16 @@ def test_anchor_of_a_segment_is_found_again():
         assert int(suffix_dedup.hashes(sums, here, here + 12)[0].view("i8")) == suffix_dedup.np.uint64(key).view("i8")
 
 
+def test_periodic_text_has_no_more_rows_than_other_text(spark):
+    for raw in (b"a" * 300_000, b"=-" * 150_000, b"0123456789" * 30_000, b"\n \n" * 100_000):
+        assert len(suffix_dedup.anchors(raw, 200, 32)[0]) < len(raw) / 60
+    docs = ["x" * 5000, "=-" * 900 + "end", "ab" * 40 + "tail of another kind " * 3, "begin" + "x" * 250, "-=" * 300, "y" * 59, "z" * 60, "z" * 61]
+    frame = spark.createDataFrame(list(enumerate(docs)), "row long, text string")
+    got = suffix_dedup.remove_repeats(frame, length=60, gram=12)
+    found = {r.row: ([tuple(s) for s in r.repeats.spans], bytes(r.repeats.kept)) for r in got.collect()}
+    assert found == dict(enumerate(removed(docs, 60)))
+
+
 def test_long_text_is_looked_at_in_chunks(monkeypatch):
     random.seed(14)
     raw = "".join(random.choices("abcd", k=3000)).encode()
