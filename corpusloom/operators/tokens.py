@@ -193,6 +193,16 @@ def cut_at_turn(ids: Column, spec: str, markers: tuple[str, ...] = TURN_MARKERS)
     return udf(ids)
 
 
-def lookup(tokens: DataFrame, vectors: DataFrame, tok: str = "tok") -> DataFrame:
-    """tokens with the vector of each from (tok, vector) rows; unknown tokens get null."""
-    return tokens.join(vectors.withColumnRenamed(tok, "_tok"), F.col(tok) == F.col("_tok"), "left").drop("_tok")
+def lookup(tokens: DataFrame, vectors: DataFrame, tok: str = "tok", sent_rows: int = 10_000, salts: int = 32) -> DataFrame:
+    """tokens with the vector of each from (tok, vector) rows; unknown tokens get null.
+
+    Some tokens are a large share of all. A table of at most sent_rows vectors, which is counted first, goes whole to
+    every task; a larger one is repeated `salts` times, and each token's rows are spread over its copies.
+    """
+    named = vectors.withColumnRenamed(tok, "_tok")
+    if len(vectors.select(tok).limit(sent_rows + 1).collect()) <= sent_rows:
+        return tokens.join(F.broadcast(named), F.col(tok) == F.col("_tok"), "left").drop("_tok")
+    copies = named.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hashed = [F.col(f"`{c}`") for c, kind in tokens.dtypes if "map<" not in kind]  # of the row, so a task that runs again deals alike
+    spread = tokens.withColumn("_salt", F.pmod(F.xxhash64(*hashed), salts).cast("int"))
+    return spread.join(copies, (F.col(tok) == F.col("_tok")) & (F.col("_salt") == F.col("_copy")), "left").drop("_tok", "_copy", "_salt")

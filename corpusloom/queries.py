@@ -682,14 +682,15 @@ def swiglu(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT vec_id AS idx, embedding[1]::double AS a, embedding[1]::double + (vec_id % 7) * 1e-4 AS b FROM embeddings)
+    """WITH x AS (SELECT vec_id, unnest(embedding::double[]) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+    a AS (SELECT vec_id * 64 + i AS idx, v AS a, v + (vec_id % 7) * 1e-4 AS b FROM x)
     SELECT round(max(abs(a - b)), 6) AS max_error, round(avg(abs(a - b)), 6) AS mean_error,
       (SELECT list(idx ORDER BY a DESC, idx) FROM (SELECT * FROM a ORDER BY a DESC, idx LIMIT 5)) = (SELECT list(idx ORDER BY b DESC, idx) FROM (SELECT * FROM a ORDER BY b DESC, idx LIMIT 5)) AS same_top FROM a"""
 )
 def logits_diff(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    left = rows.select(F.col("vec_id").alias("idx"), F.col("x")[0].alias("value"))
-    right = rows.select(F.col("vec_id").alias("idx"), (F.col("x")[0] + (F.col("vec_id") % 7) * 1e-4).alias("value"))
+    each = vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v")).withColumn("idx", F.col("vec_id") * 64 + F.col("i"))
+    left = each.select("idx", F.col("v").alias("value"))
+    right = each.select("idx", (F.col("v") + (F.col("vec_id") % 7) * 1e-4).alias("value"))
     found = experiments.compare_vectors(left, right)
     return found.select(F.round("max_error", 6).alias("max_error"), F.round("mean_error", 6).alias("mean_error"), "same_top")
 
@@ -954,13 +955,15 @@ def mfu_series(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, role, length(text) % 10 AS tok FROM conversations), v AS (SELECT vec_id AS tok, embedding[1]::double AS x FROM embeddings)
-    SELECT conv_id, turn, tok, round(x, 6) + 0.0 AS x FROM t LEFT JOIN v USING (tok)"""
+    """WITH t AS (SELECT conv_id, turn, ord(unnest(string_split(text, ''))) AS tok FROM conversations WHERE text <> ''),
+    v AS (SELECT vec_id AS tok, list_sum(embedding::double[]) AS x FROM embeddings)
+    SELECT conv_id, turn, count(*) AS n, count(x) AS n_known, round(sum(x), 6) + 0.0 AS total FROM t LEFT JOIN v USING (tok) GROUP BY ALL"""
 )
 def token_lookup(spark, sf_dir):
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 10).cast("long").alias("tok"))
-    found = tokens.lookup(said, vectors(spark, sf_dir).select(F.col("vec_id").alias("tok"), F.col("x")[0].alias("x")))
-    return found.withColumn("x", F.round("x", 6) + 0.0)
+    said = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.explode(arrays.code_points(F.col("text"))).alias("tok"))
+    found = tokens.lookup(said, vectors(spark, sf_dir).select(F.col("vec_id").alias("tok"), vx.total(F.col("x")).alias("x")))
+    sums = found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("n_known"), F.sum("x").alias("total"))
+    return sums.withColumn("total", F.round("total", 6) + 0.0)
 
 
 @query(

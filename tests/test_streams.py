@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import arrays, dialogue, experiments, streams
+from corpusloom.operators import arrays, dialogue, experiments, streams, tokens
 from corpusloom.plans import manifest
 
 
@@ -56,6 +56,15 @@ def test_arrays_of_a_batch(spark):
     assert [r[0] for r in text.select(arrays.code_points(F.col("t"))).collect()] == [[97, 233, 0x1D11E], [], None]
 
 
+def test_lookup_of_few_and_many_vectors(spark):
+    said = spark.createDataFrame([(n, n % 3 if n % 5 else 99, {"k": n}) for n in range(40)] + [(40, None, None)], "n int, tok int, extra map<string,int>")
+    vectors = spark.createDataFrame([(t, [float(t)]) for t in range(3)], "tok int, x array<double>")
+    for sent in (10_000, 1):
+        got = tokens.lookup(said, vectors, sent_rows=sent)
+        assert got.columns == ["n", "tok", "extra", "x"]
+        assert {r.n: r.x for r in got.collect()} == {n: [float(n % 3)] if n % 5 and n < 40 else None for n in range(41)} and got.count() == 41
+
+
 def test_shapes_of_ones_own(spark):
     rows = spark.createDataFrame([("q", "a"), (None, "b")], "ask string, say string")
     own = lambda r: dialogue.single_turn(r["ask"], r["say"])
