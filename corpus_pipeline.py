@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, near_dup, packing, pii, quality
-from corpusloom.llm.tables import materialise, read_table
+from corpusloom.llm.tables import clear, materialise, read_table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage's rows are written, its own tables and the rows before them are deleted."""
+    docs, begun = read_table(spark, sf_dir, "documents"), len(written)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, since=begun, keep=1)
     return docs

@@ -3,6 +3,7 @@
 import re
 from bisect import bisect_left
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -321,18 +322,17 @@ class Cell(NamedTuple):
 
 def places(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
     """Each cell with its column, the first that no cell of an earlier row fills; MOST_COLUMNS is that of all further ones."""
-    until = np.zeros(MOST_COLUMNS, dtype=np.int64)  # the row up to which a cell that began above fills a column
-    spanning, placed = False, []
+    until, placed = None, []  # the row up to which a cell that began above fills a column
     for r, row in enumerate(rows):
         line, at = [], 0
         for cell in row:
-            if spanning and at < MOST_COLUMNS and until[at] > r:
+            if until is not None and at < MOST_COLUMNS and until[at] > r:
                 free = until[at:] <= r
                 at = at + int(free.argmax()) if free.any() else MOST_COLUMNS
             line.append((at, cell))
             if cell.rows > 1:
+                until = np.zeros(MOST_COLUMNS, dtype=np.int64) if until is None else until
                 until[at : at + cell.columns] = r + cell.rows
-                spanning = True
             at = min(at + cell.columns, MOST_COLUMNS)
         placed.append(line)
     return placed
@@ -349,10 +349,12 @@ def aligned(rows: list[list[Cell]]) -> list[str]:
     for line in placed:
         for at, cell in line:
             if cell.columns == 1 and at < MOST_COLUMNS:
-                width[at] = max([width.get(at, 0), *(len(x) for x in cell.lines if len(x) <= ALIGNED)])
-    columns = sorted(c for c in width if width[c])
-    starts = np.concatenate([[0], np.cumsum([width[c] + 2 for c in columns], dtype=np.int64)])
-    begin = lambda at: int(starts[bisect_left(columns, at)])
+                for x in cell.lines:
+                    if width.get(at, 0) < len(x) <= ALIGNED:
+                        width[at] = len(x)
+    columns = sorted(width)
+    starts = list(accumulate((width[c] + 2 for c in columns), initial=0))
+    begin = {at: starts[bisect_left(columns, at)] for line in placed for at, _ in line}
     for padded in (True, False):
         out, spent = [], 0
         allowed = sum(PADDING[0] * cell.weight + PADDING[1] for line in placed for _, cell in line)
@@ -362,7 +364,7 @@ def aligned(rows: list[list[Cell]]) -> list[str]:
                 below.extend([] for _ in range(len(cell.lines) - len(below)))
                 for k, text in enumerate(cell.lines):
                     if text:
-                        below[k].append((begin(at) if padded else 0, text))
+                        below[k].append((begin[at] if padded else 0, text))
             for some in below:
                 parts, size = [], 0
                 for at, text in some:

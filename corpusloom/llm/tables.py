@@ -28,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or own_dir()
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables written so far. Results that read them can't be computed after that, so write those first."""
-    while written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(written.pop())
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written so far, or those after the first `since`; the last `keep` stay.
+
+    Results that read them can't be computed after that, so write those first.
+    """
+    gone = written[since : len(written) - keep]
+    del written[since : len(written) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
