@@ -204,7 +204,7 @@ JUDGED = f"""{PAIRED},
     cleaned AS (SELECT conv_id, turn, {CLEANED("user_")} AS u, {CLEANED("asst")} AS a FROM pairs WHERE user_ <> '' AND asst <> ''),
     sized AS (SELECT *, length({BARE("u")}) AS nu, length({BARE("a")}) AS na, {BARE("u")} AS bu, {BARE("a")} AS ba FROM cleaned),
     judged AS (SELECT *, CASE WHEN length(u) < 3 OR length(a) < 6 THEN 'too_short'
-      WHEN u IN ('继续', '好', '好的', '可以', '嗯', '对', '行', 'ok', 'okay', '继续吧', '然后呢', '然后', '是的', '对的', '好呀', '接着说') OR (length(u) <= 3 AND contains(u, '继续')) THEN 'stopword_user'
+      WHEN u IN ({", ".join(f"'{w}'" for w in tx.STOPWORDS)}) OR (length(u) <= 3 AND contains(u, '{tx.CONTINUE}')) THEN 'stopword_user'
       WHEN nu > 400 OR na > 700 OR nu + na > 900 THEN 'too_long'
       WHEN length(regexp_replace(bu || ba, '[^a-z]', '', 'g')) / nullif(nu + na, 0)::double < 0.8 THEN 'low_ratio'
       WHEN {DEGENERATE("bu")} OR {DEGENERATE("ba")} THEN 'degenerate'
