@@ -53,11 +53,17 @@ def attention_pairs(rows: DataFrame, group: list[str], pos: str, vec: str, windo
     return band.select(*group, "q", "k", dot(F.col("_x"), F.col("_y")).alias("score"))
 
 
-def causal_pairs(rows: DataFrame, group: list[str], pos: str, vec: str) -> DataFrame:
-    """(group, q, k, score) of every position with those not after it; groups are sequences of bounded length."""
-    q = rows.select(*group, F.col(pos).alias("q"), F.col(vec).alias("_x"))
-    k = rows.select(*group, F.col(pos).alias("k"), F.col(vec).alias("_y"))
-    pairs = q.join(k, group).where(F.col("k") <= F.col("q"))
+def causal_pairs(rows: DataFrame, group: list[str], pos: str, vec: str, size: int = 256) -> DataFrame:
+    """(group, q, k, score) of every position, from 0, with those not after it.
+
+    The pairs are the result; for weighted values see attended, which makes none. The join is on buckets of `size` keys,
+    to which each later position is sent, so what meets in a task is bounded on one side, and a long sequence is many keys
+    of which the larger can be split.
+    """
+    bucket = F.floor(F.col(pos) / size)
+    q = rows.select(*group, F.col(pos).alias("q"), F.col(vec).alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), bucket)).alias("_b"))
+    k = rows.select(*group, F.col(pos).alias("k"), F.col(vec).alias("_y"), bucket.alias("_b"))
+    pairs = q.join(k, [*group, "_b"]).where(F.col("k") <= F.col("q"))
     return pairs.select(*group, "q", "k", dot(F.col("_x"), F.col("_y")).alias("score"))
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators import attended
+from corpusloom.operators import attended, attention
 
 HEADS, DIM = 2, 3
 SCHEMA = "seq string, pos long, q array<double>, k array<double>, v array<double>, i array<double>, y string, qblock int"
@@ -157,6 +157,15 @@ def test_a_cell_holds_two_blocks_only(spark):
     assert attended.attention(some, ["seq"], "pos", "q", "k", "v", size=16).count() == 500
 
 
+def test_causal_pairs_at_every_bucket_size(spark):
+    rows = [("a", p, [float(p), 1.0]) for p in range(30)] + [("b", p, [1.0, float(p)]) for p in (0, 7, 8, 500)]
+    some = spark.createDataFrame(rows, "seq string, pos long, x array<double>")
+    want = {(s, p, t): sum(u * w for u, w in zip(x, y, strict=True)) for s, p, x in rows for r, t, y in rows if r == s and t <= p}
+    for size in (1, 8, 256):
+        got = attention.causal_pairs(some, ["seq"], "pos", "x", size).collect()
+        assert {(r.seq, r.q, r.k): r.score for r in got} == want and len(got) == len(want)
+
+
 def test_empty(spark):
     none = frame(spark, [])
     index = attended.Index("i", WEIGHTS)
