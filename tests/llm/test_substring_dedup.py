@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusloom.llm import queries, substring_dedup
 
@@ -100,5 +101,26 @@ def test_words_are_those_between_ascii_blanks():
     assert same[0] == same[2] != same[1]
 
 
+def test_suffixes_of_crowded_groups_grow_as_the_group(spark, monkeypatch):
+    random.seed(34)
+    make = lambda n: [f"x{random.randrange(10**9)}" for _ in range(n)]
+    base, rows, cut = make(60), [], substring_dedup.suffix_rows
+
+    def counted(*args):
+        rows.append(cut(*args).count())
+        raise StopIteration  # what follows is not needed here
+
+    monkeypatch.setattr(substring_dedup, "suffix_rows", counted)
+    near = [base[: (i := random.randrange(60))] + make(1) + base[i + 1 :] for _ in range(200)]
+    some = near + [make(20) + base[:k] + make(20) for k in (9, 40) for _ in range(200)]  # a common line, a common passage
+    random.shuffle(some)
+    for n in (150, 300, 600):
+        docs = [" ".join(t) for t in some[:n]] * 2  # whole copies add nothing
+        with pytest.raises(StopIteration):
+            substring_dedup.remove_repeats(spark.createDataFrame([(t,) for t in docs], "text string"), crowded=1)
+        assert 0 < rows[-1] <= 2 * sum(len(t) - 34 for t in some[:n])  # never more than the table's windows
+    assert rows[1] < 2.5 * rows[0] and rows[2] < 2.5 * rows[1]  # by the square each would be four times as many
+
+
 def test_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
