@@ -16,7 +16,7 @@ from .tables import materialise
 LENGTH, GRAM = 35, 8
 #: Words (and bytes) that are looked at together, and bytes of segments that one task holds as trees.
 CHUNK, FOREST = 1 << 20, 1 << 19
-#: Bytes of a group of suffixes beyond which it is split by longer prefixes.
+#: Bytes of a group of suffixes beyond which it is split by more of the words that their prefixes end with.
 CROWDED = 1 << 18
 #: Anchors that are handed on together.
 FRAME_ROWS = 50_000
@@ -210,74 +210,66 @@ def grow_trees(groups: DataFrame, length: int) -> DataFrame:
     return dealt.mapInPandas(grow, "key long, name long, start long, end long")
 
 
-def prefix_lengths(length: int, gram: int) -> list[int]:
-    """Words of the prefixes by which crowded groups are split, step by step, up to the whole window."""
-    third = (length - gram) // 3
-    return [gram, *(gram + k * third for k in (1, 2) if third), length]
-
-
 def suffix_rows(crowded: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, name, copy, twin, offset, p0, p1..): each suffix of crowded segments with hashes of its ever longer prefixes.
+    """Crowded pieces in halves: hashes of the words that the prefixes of all suffixes of a half end with, and of the half.
 
-    The shortest prefix ends with the anchor, as those of the group did; the last is the window.
+    Suffixes that begin `low` to `high` words before their anchor have prefixes that run to the end of the window of the
+    one that begins first, and all hold the words from where the last one begins: the narrower the range, the more words.
+    Equal windows have equal anchors at equal places, so they are in halves with the same such words.
     """
-    steps = prefix_lengths(length, gram)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for key, name, copy, twin, at, raw in zip(*(batch[c] for c in ("key", "name", "copy", "twin", "at", "words")), strict=True):
-                words = word_hashes(raw)
-                sums = np.concatenate([[np.uint64(0)], (words * POWERS[: len(words)]).cumsum(dtype=np.uint64)])
-                starts = np.arange(len(words) - length + 1)
-                reach = [np.maximum(starts + n, at + gram) for n in steps[:-1]] + [starts + length]
-                found = {f"p{k}": hashes(sums, starts, end).view(np.int64) for k, end in enumerate(reach)}
-                parts.append(pd.DataFrame({"key": key, "name": name, "copy": copy, "twin": twin, "offset": starts, **found}))
-            yield pd.concat(parts, ignore_index=True)
-
-    schema = "key long, name long, copy int, twin boolean, offset long, " + ", ".join(f"p{k} long" for k in range(len(steps)))
-    return crowded.select("key", "name", "copy", "twin", "at", "words").mapInPandas(cut, schema)
-
-
-def split_crowded(crowded: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """(groups, equal) of crowded segments: rows for grow_trees() of what longer prefixes leave together, and spans.
-
-    A suffix whose prefix no other has goes; a group of few suffixes gets its tree; one of many is split by the next
-    longer prefix. Where the prefix is the whole window the suffixes of a group are equal: they are repeated, however many.
+            out = []
+            for key, name, twin, offset, at, low, high, raw in zip(*(batch[c] for c in batch.columns), strict=True):
+                words, values = raw.split(), word_hashes(raw)
+                sums = np.concatenate([[np.uint64(0)], (values * POWERS[: len(values)]).cumsum(dtype=np.uint64)])
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    begin, end = max(at - b, 0), min(at - a + length, len(words))
+                    if end - begin >= length:
+                        group, whole = hashes(sums, np.array([at - a, begin]), np.array([at - b + length, end])).view(np.int64).tolist()
+                        out.append((group, whole, key, name, twin, offset + begin, offset + end, at - begin, a, b, b" ".join(words[begin:end])))
+            yield pd.DataFrame(out, columns=columns)
+
+    schema = "group long, whole long, key long, name long, twin boolean, offset long, end long, at long, low int, high int, words binary"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return crowded.select("key", "name", "twin", "offset", "at", "low", "high", "words").mapInPandas(cut, schema)
+
+
+def split_crowded(crowded: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(groups, equal) of crowded segments: rows for grow_trees() of what prefixes that share more leave together, and spans.
+
+    Pieces are halved by where their suffixes begin. Of equal halves all are repeated, and one goes on for them; a group
+    in which nothing is left to be found goes, one of at most `most` bytes gets its tree, a larger one is halved again.
+    What halves of one suffix share is the whole window, so those of a group are equal.
     """
-    rest, few = materialise(suffix_rows(crowded, length, gram), "suffixes"), []
-    steps = len(prefix_lengths(length, gram))
-    equal = None
-    for k in range(steps):
-        sizes = rest.groupBy(F.col(f"p{k}").alias("group")).agg(F.sum(F.when(F.col("twin"), 2).otherwise(1)).alias("size"))
-        sizes = materialise(sizes.where("size > 1"), "prefixes")  # so that the join below can be split where a prefix is hot
-        joined = rest.join(sizes, F.col(f"p{k}") == F.col("group"))
-        if k == steps - 1:
-            equal = joined.select("key", "name", F.col("offset").alias("start"), (F.col("offset") + length).alias("end"))
-            break
-        joined = materialise(joined, "shared")
-        few.append(joined.where(F.col("size") <= most).select("group", "key", "name", "copy", "offset"))
-        rest = joined.where(F.col("size") > most).drop("group", "size")
+    n_words = F.size(F.split(F.col("words").cast("string"), " ")).cast("long")
+    equal = crowded.where("twin").select("key", "name", F.lit(0).cast("long").alias("start"), n_words.alias("end"))
+    within = [F.lit(0).cast("long").alias("offset"), "at", F.lit(0).alias("low"), F.lit(length - gram).alias("high")]
+    rest, few = crowded.select("key", "name", "twin", *within, "words"), []
+    for _ in range(max(1, (length - gram).bit_length())):
+        rest = materialise(suffix_rows(rest, length, gram), "suffixes")
+        one = F.min(F.struct("key", "name", "offset", "at", "low", "high", "words")).alias("one")
+        pieces = rest.groupBy("group", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("twin").alias("twin"), one)
+        # as tables of their own they are shuffled for the joins, which can then be split where a piece or a group is hot
+        pieces = materialise(pieces.withColumn("twin", F.col("twin") | (F.col("n") > 1)), "pieces")
+        again = pieces.where("n > 1").select(F.col("group").alias("_group"), F.col("whole").alias("_whole"))
+        met = rest.join(again, (F.col("group") == F.col("_group")) & (F.col("whole") == F.col("_whole")))
+        equal = equal.union(met.select("key", "name", F.col("offset").alias("start"), "end"))
+        sizes = pieces.groupBy(F.col("group").alias("_group")).agg(
+            F.count(F.lit(1)).alias("n_pieces"), F.count_if(~F.col("twin")).alias("n_open"), F.sum(F.octet_length("one.words")).alias("size")
+        )
+        sizes = materialise(sizes.where("n_pieces > 1 and n_open > 0").select("_group", "size"), "prefixes")
+        shared = pieces.join(sizes, F.col("group") == F.col("_group")).select("group", "one.*", "twin", "size")
+        shared = materialise(shared, "shared")
+        few.append(shared.where(F.col("size") <= most).select("group", "key", "name", "twin", "offset", "words"))
+        rest = shared.where(F.col("size") > most)
         if rest.isEmpty():
             break
-    some = few[0]
+    groups = few[0]
     for more in few[1:]:
-        some = some.union(more)
-    some = some.groupBy(F.col("key").alias("_key"), F.col("name").alias("_name"), F.col("copy").alias("_copy")).agg(
-        F.collect_list(F.struct("group", "offset")).alias("suffixes")
-    )
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, name, twin, raw, suffixes in zip(*(batch[c] for c in ("key", "name", "twin", "words", "suffixes")), strict=True):
-                words = raw.split()
-                out += [(s["group"], key, name, twin, s["offset"], b" ".join(words[s["offset"] : s["offset"] + length])) for s in suffixes]
-            yield pd.DataFrame(out, columns=["group", "key", "name", "twin", "offset", "words"])
-
-    same = (F.col("key") == F.col("_key")) & (F.col("name") == F.col("_name")) & (F.col("copy") == F.col("_copy"))
-    held = crowded.join(some, same).select("key", "name", "twin", "words", "suffixes")
-    groups = held.mapInPandas(windows, "group long, key long, name long, twin boolean, offset long, words binary")
+        groups = groups.union(more)
     return groups, equal
 
 
@@ -296,11 +288,12 @@ def remove_repeats(
        Anchors are counted, and one that is met once has no repeated window.
     3. Of each distinct segment of the others two copies are taken (one, if it is met once or in equal texts only),
        and a suffix tree is built of each group: suffixes below a node of `length` words or more are repeated.
-       A group of more than `crowded` bytes is first split by longer prefixes, step by step.
+       A group of more than `crowded` bytes is first split: its segments are halved by where their suffixes begin, so
+       that the prefixes of a half end with more words than the anchor, step by step, and equal halves go on as one.
     4. What is found of a segment holds for all places that have it (two 64-bit hashes of its words). Texts are joined
        to their spans once, by content hash, so that a text that a third of the table repeats has one set of spans.
 
-    Words are compared as such within trees, by 64-bit hashes in 1 and where prefixes are as long as the window.
+    Words are compared as such within trees, by 64-bit hashes in 1, by two of them where equal halves go on as one.
     Null counts as empty; texts of fewer than `length` words keep everything, with blanks made one space. Repeated rows
     are repeated texts: of one of at least `length` words nothing stays. Other columns pass through, one named `repeats`
     is replaced. An empty table gives an empty result.
@@ -343,7 +336,7 @@ def remove_repeats(
     equal = None
     if not sizes.isEmpty():
         dense = materialise(segments.join(sizes, of_key, "left_semi"), "dense")
-        more, equal = split_crowded(dense, length, gram, max(1, crowded // (6 * length)))
+        more, equal = split_crowded(dense, length, gram, crowded)
         groups = groups.union(more)
     found = grow_trees(groups, length)
     parts = found if equal is None else found.union(equal)

@@ -122,5 +122,24 @@ def test_suffixes_of_crowded_groups_grow_as_the_group(spark, monkeypatch):
     assert rows[1] < 2.5 * rows[0] and rows[2] < 2.5 * rows[1]  # by the square each would be four times as many
 
 
+def test_crowded_segments_give_halves_not_all_their_suffixes(spark, monkeypatch):
+    random.seed(35)
+    make = lambda n: [f"y{random.randrange(10**9)}" for _ in range(n)]
+    base, passage, sizes, cut = make(60), make(40), [], substring_dedup.suffix_rows
+
+    def counted(crowded, *args):
+        rows = cut(crowded, *args)
+        sizes.append((crowded.count(), rows.count()))
+        return rows
+
+    monkeypatch.setattr(substring_dedup, "suffix_rows", counted)
+    near = [base[: (i := random.randrange(60))] + make(1) + base[i + 1 :] for _ in range(150)]
+    docs = near + [make(20) + line + make(20) for line in (base[:9], passage) for _ in range(150)]
+    docs = [" ".join(d) for d in docs + near[:20] + [passage + make(3), passage[2:] + make(1)]]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), crowded=2000)
+    assert {r.doc_id: (r.repeats.n_words, [tuple(s) for s in r.repeats.spans], r.repeats.kept) for r in got.collect()} == dict(enumerate(removed(docs, 35)))
+    assert sizes[0][0] > 400 and all(rows <= 2 * crowded for crowded, rows in sizes)
+
+
 def test_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
