@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +137,22 @@ def random_windows(streams: DataFrame, key: list[str], ids_col: str, length: int
     return each.select(*key, "window", cut(0).alias("x"), cut(1).alias("y"))
 
 
+def loss_mask_of(lists: pa.Array, opens: tuple[int, int], closes: tuple[tuple[int, int], ...], blank: tuple[int, int]) -> pa.Array:
+    """loss_mask() of an Arrow array of lists."""
+    values, begin, end = arrays.opened(lists)
+    tok = values.to_numpy(zero_copy_only=False)  # with null tokens nan, which begin no pair
+    at = np.arange(len(tok))
+    mark = np.zeros(len(tok), dtype=np.int8)  # 1: opens a reply, 2: opens another turn, 3: blank
+    inner = at[:-1] + 1 < end[:-1]  # of those with a token after them in their list
+    for pair, sign in [(blank, 3), *((p, 2) for p in closes), (opens, 1)]:
+        mark[:-1][inner & (tok[:-1] == pair[0]) & (tok[1:] == pair[1])] = sign
+    before = np.concatenate([[0], mark])[:-1]  # of the pair that a token ends, whose marks never end a list
+    last = np.maximum.accumulate(np.where(before > 0, at - 1, -1))
+    inside = (last >= begin) & (mark[last] == 1) if len(tok) else mark > 0
+    masked = np.where(mark > 0, mark < 3, np.where(before > 0, before < 3, inside))
+    return arrays.closed(pa.array(masked), lists)
+
+
 def loss_mask(ids: Column, opens: tuple[int, int], closes: tuple[tuple[int, int], ...], blank: tuple[int, int]) -> Column:
     """array<boolean>: whether a token of an array lies in a reply; null for null.
 
@@ -143,24 +160,7 @@ def loss_mask(ids: Column, opens: tuple[int, int], closes: tuple[tuple[int, int]
     blank pair closes it and is masked out. Otherwise a token is as the last pair before it left it. Marks are
     set within the row, so nothing is shuffled and rows may share an id.
     """
-
-    def mask(value: np.ndarray | None) -> np.ndarray | None:
-        if value is None:
-            return None
-        tok = np.asarray(value, dtype=np.float64)  # null tokens are nan and begin no pair
-        mark = np.zeros(len(tok), dtype=np.int8)  # 1: opens a reply, 2: opens another turn, 3: blank
-        for pair, sign in [(blank, 3), *((p, 2) for p in closes), (opens, 1)]:
-            mark[:-1][(tok[:-1] == pair[0]) & (tok[1:] == pair[1])] = sign
-        before = np.concatenate([[0], mark])[:-1]  # of the pair that a token ends
-        last = np.maximum.accumulate(np.where(before > 0, np.arange(len(tok)) - 1, -1))
-        inside = (last >= 0) & (mark[last] == 1) if len(tok) else mark > 0
-        return np.where(mark > 0, mark < 3, np.where(before > 0, before < 3, inside))
-
-    @F.pandas_udf("array<boolean>")
-    def udf(values: pd.Series) -> pd.Series:
-        return values.map(mask, na_action=None)
-
-    return udf(ids)
+    return arrays.by_pieces("array<boolean>", lambda lists: loss_mask_of(lists, opens, closes, blank), ids)
 
 
 def masked_targets(y: Column, mask: Column) -> Column:
@@ -168,6 +168,16 @@ def masked_targets(y: Column, mask: Column) -> Column:
     return arrays.where_true(y, mask, IGNORED)
 
 
+def masked_totals_of(texts: pa.Array, opens: tuple[int, int], closes: tuple[tuple[int, int], ...], blank: tuple[int, int]) -> pa.Array:
+    ids = arrays.code_points_of(texts)
+    return arrays.totals_of(arrays.where_true_of(ids, loss_mask_of(ids, opens, closes, blank), IGNORED), IGNORED)
+
+
+def masked_totals(text: Column, opens: tuple[int, int], closes: tuple[tuple[int, int], ...], blank: tuple[int, int]) -> Column:
+    """arrays.totals() of the masked_targets() of a text's code points under their loss_mask(), in one UDF that sends no arrays."""
+    return arrays.by_pieces(arrays.TOTALS, lambda texts: masked_totals_of(texts, opens, closes, blank), text)
+
+
 def cut_at_turn(ids: Column, spec: str, markers: tuple[str, ...] = TURN_MARKERS) -> Column:
     """Ids before a turn marker, cut at the last token that ends before it; the first marker in list order decides."""
 

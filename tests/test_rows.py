@@ -1,14 +1,18 @@
 """Operators over rows that share ids, hold nulls or clash in their columns' names."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as vx
-from corpusloom.operators import attention, filters, metrics, sampling, tokens
+from corpusloom.operators import arrays, attention, filters, metrics, sampling, tokens
+from corpusloom.queries import QUERIES
 from corpusloom.sources import text as sources
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -95,6 +99,60 @@ def test_masked_targets(spark):
     assert list(frame.select(tokens.masked_targets(F.col("y"), F.col("m"))).first()[0]) == [1, -100, -100]
 
 
+def test_masks_and_totals_by_pieces_of_a_batch():
+    texts = pa.array(["x the a. b an c", None, "", "t", "hthe. th", "h an"] * 300)
+    marks, sizes = ((116, 104), ((97, 110),), (46, 32)), []
+    ids = arrays.code_points_of(texts)
+
+    def plain(some):
+        out, inside = [], False
+        for i, c in enumerate(some or ""):
+            pairs = [some[i : i + 2], some[i - 1 : i + 1] if i else ""]
+            hit = next((p for p in pairs if p in ("th", "an", ". ")), None)
+            out.append(inside if hit is None else hit != ". ")
+            inside = some[i : i + 2] == "th" if some[i : i + 2] in ("th", "an", ". ") else inside
+        return None if some is None else out
+
+    want = [plain(t) for t in texts.to_pylist()]
+    assert tokens.loss_mask_of(ids, *marks).to_pylist() == want
+    targets = arrays.where_true_of(ids, tokens.loss_mask_of(ids, *marks), tokens.IGNORED)
+    for (piece,) in arrays.pieces((texts,), 64):
+        sizes.append(pc.sum(pc.binary_length(piece)).as_py())
+        assert pc.sum(pc.binary_length(piece.slice(0, len(piece) - 1))).as_py() <= 64
+    assert len(sizes) > 50 and sum(sizes) == pc.sum(pc.binary_length(texts)).as_py()
+    pieces = [arrays.totals_of(t, tokens.IGNORED) for (t,) in arrays.pieces((targets,), 64)]
+    got = pa.concat_arrays(pieces).to_pylist()
+    assert [g["n"] for g in got] == [sum(w or []) for w in want]
+    assert [g["total"] or 0 for g in got] == [sum(ord(c) for c, m in zip(t or "", w or []) if m) for t, w in zip(texts.to_pylist(), want)]
+    assert arrays.totals_of(arrays.code_points_of(texts.slice(0, 0))).to_pylist() == []
+
+
+def most_mb(work, texts):
+    """MB of Python and numpy, and of Arrow, that a function of a batch holds at most besides it."""
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        arrays.piecewise(work)(texts)
+        return tracemalloc.get_traced_memory()[1] / 1e6, pool.max_memory() / 1e6
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masked_targets_send_no_arrays_and_grow_by_pieces(spark):
+    texts = pa.array(["then a man. " * 250] * 4000)  # 12 MB, a third of a batch of documents
+    numpy_mb, arrow_mb = most_mb(lambda t: tokens.masked_totals_of(t, (116, 104), ((97, 110),), (46, 32)), texts)
+    assert numpy_mb < 50 and arrow_mb < 20  # 720 and 150 for the batch at once
+    plan = plan_of(QUERIES["masked_targets"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython [") == 1 and plan.count("AS ids#") == 0
+
+
 def test_texts_to_token_file_and_back(spark, tmp_path):
     texts = ["hello world", "", "é你好 " * 50]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
