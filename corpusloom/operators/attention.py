@@ -1,5 +1,6 @@
 """Batch analytics over tables of logits and vectors: routing load, pooling, windowed attention, sampling."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +138,18 @@ def ahead_targets(rows: DataFrame, ids_col: str, steps: int) -> DataFrame:
     return rows.withColumns({f"ahead_{n}": arrays.ahead(F.col(ids_col), n) for n in range(1, steps + 1)})
 
 
+def ahead_totals_of(texts: pa.Array, steps: int) -> pa.Array:
+    ids = arrays.code_points_of(texts)
+    found = [arrays.totals_of(arrays.ahead_of(ids, n)) for n in range(1, steps + 1)]
+    return pa.StructArray.from_arrays(found, names=[f"t{n}" for n in range(1, steps + 1)])
+
+
+def ahead_totals(text: Column, steps: int) -> Column:
+    """struct t1..tsteps: arrays.totals() of the ahead_targets() of a text's code points, in one UDF that sends no arrays."""
+    kind = ", ".join(f"t{n}: {arrays.TOTALS}" for n in range(1, steps + 1))
+    return arrays.by_pieces(f"struct<{kind}>", lambda texts: ahead_totals_of(texts, steps), text)
+
+
 def penalise(logits: DataFrame, history: DataFrame, key: list[str], penalty: float, once: bool = False, context: int | None = None) -> DataFrame:
     """logits (key, tok, logit) with the logit penalised for each time that its token is in history (key, pos, tok).
 

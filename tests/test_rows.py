@@ -153,6 +153,17 @@ def test_masked_targets_send_no_arrays_and_grow_by_pieces(spark):
     assert plan.count("ArrowEvalPython [") == 1 and plan.count("AS ids#") == 0
 
 
+def test_ahead_totals_send_no_arrays_and_grow_by_pieces(spark):
+    rows = ["abcd", "ab", "é", "", None, "x" * 70]
+    want = [[(sum(1 for _ in (t or "")[k:]), sum(i * ord(c) for i, c in enumerate((t or "")[k:]))) for k in (1, 2, 3)] for t in rows]
+    frame = spark.createDataFrame([(t,) for t in rows], "t string").coalesce(1).select(attention.ahead_totals(F.col("t"), 3).alias("a"))
+    assert [[(r.a[k].n, r.a[k].places or 0) for k in range(3)] for r in frame.collect()] == want
+    numpy_mb, arrow_mb = most_mb(lambda t: attention.ahead_totals_of(t, 3), pa.array(["then a man. " * 250] * 4000))
+    assert numpy_mb < 50 and arrow_mb < 20
+    plan = plan_of(QUERIES["mtp_targets"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython [") == 1 and plan.count("AS ids#") == 0
+
+
 def test_texts_to_token_file_and_back(spark, tmp_path):
     texts = ["hello world", "", "é你好 " * 50]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
