@@ -1,11 +1,12 @@
 """Vocabularies, encodings, token windows and loss masks."""
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +26,39 @@ def char_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return chars.select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).cast("long").alias("id"))
 
 
-def char_encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the numbers of a text's characters; those outside the vocabulary are left out, a null text has none.
+def char_encoder(docs: DataFrame, vocab: DataFrame) -> Callable[[pa.Array], pa.Array]:
+    """What makes lists of character numbers of an Arrow array of texts.
 
     The vocabulary, which Unicode bounds, is sent to tasks as two sorted arrays of its own size.
     """
     known = vocab.select(F.ascii("ch").cast("int").alias("code"), "id").where("code is not null and id is not null").toPandas().sort_values("code")
     shared = docs.sparkSession.sparkContext.broadcast((known["code"].to_numpy(dtype=np.int32), known["id"].to_numpy(dtype=np.int64)))
 
-    @F.pandas_udf("array<bigint>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(texts: pa.Array) -> pa.Array:
         codes, ids = shared.value
+        texts = pc.fill_null(texts, "")
+        wanted = arrays.code_points_of(texts).values.to_numpy()
+        if not len(codes):
+            return arrays.lists_of(pa.array(ids), pa.array(np.zeros(len(texts), dtype=np.int64)))
+        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        found = codes[at] == wanted
+        edges = np.concatenate([[0], pc.utf8_length(texts).to_numpy().cumsum()])
+        sizes = np.diff(np.concatenate([[0], found.cumsum()])[edges])
+        return arrays.lists_of(pa.array(ids[at[found]]), pa.array(sizes))
+
+    return encode
 
-        def one(text: str | None) -> np.ndarray:
-            wanted = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<i4")
-            at = np.minimum(np.searchsorted(codes, wanted), max(len(codes) - 1, 0))
-            return ids[at[codes[at] == wanted]] if len(codes) else ids
 
-        return texts.map(one)
+def char_encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids): the numbers of a text's characters; those outside the vocabulary are left out, a null text has none."""
+    return docs.select(id_col, arrays.by_pieces("array<bigint>", char_encoder(docs, vocab), F.col(text_col)).alias("ids"))
+
 
-    return docs.select(id_col, encode(F.col(text_col)).alias("ids"))
+def char_totals(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, total): how many numbers char_encode() gives the texts of an id, and their sum, without sending the numbers."""
+    encode = char_encoder(docs, vocab)
+    sums = arrays.by_pieces(arrays.TOTALS, lambda texts: arrays.totals_of(encode(texts)), F.col(text_col))
+    return docs.select(id_col, sums.alias("_t")).groupBy(id_col).agg(F.sum("_t.n").alias("n"), F.sum("_t.total").alias("total"))
 
 
 def char_decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:

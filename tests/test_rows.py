@@ -164,6 +164,21 @@ def test_ahead_totals_send_no_arrays_and_grow_by_pieces(spark):
     assert plan.count("ArrowEvalPython [") == 1 and plan.count("AS ids#") == 0
 
 
+def test_encoding_grows_by_pieces(spark):
+    rows = [(1, "b𝒂é b"), (1, "bé"), (2, "zz"), (3, None), (3, ""), (4, "é")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    vocab = spark.createDataFrame([("b", 5), ("é", 2**40), ("𝒂", 7)], "ch string, id long")
+    assert sorted(map(tuple, tokens.char_totals(docs, vocab).collect()), key=repr) == [(1, 6, 2 * 2**40 + 22), (2, 0, None), (3, 0, None), (4, 1, 2**40)]
+    none = tokens.char_totals(docs, vocab.limit(0))
+    assert sorted(map(tuple, none.collect())) == [(i, 0, None) for i in (1, 2, 3, 4)]
+    assert [list(r.ids) for r in tokens.char_encode(docs, vocab.limit(0)).collect()] == [[]] * 6
+    encode = tokens.char_encoder(docs, spark.createDataFrame([(c, n) for n, c in enumerate(" .aehmnt")], "ch string, id long"))
+    numpy_mb, arrow_mb = most_mb(lambda t: arrays.totals_of(encode(t)), pa.array(["then a man. " * 250] * 4000))
+    assert numpy_mb < 50 and arrow_mb < 20
+    plan = plan_of(QUERIES["char_encode_len"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython [") == 1 and plan.count("AS ids#") == 0 and "aggregate(" not in plan
+
+
 def test_texts_to_token_file_and_back(spark, tmp_path):
     texts = ["hello world", "", "é你好 " * 50]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
