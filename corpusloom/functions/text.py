@@ -32,8 +32,8 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
 
 
-def no_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, "")
+def no_spaces(text: Column, space: str = SPACE) -> Column:
+    return F.regexp_replace(text, space, "")
 
 
 def strip_noise(text: Column) -> Column:
@@ -43,9 +43,9 @@ def strip_noise(text: Column) -> Column:
     return F.trim(text)
 
 
-def char_len(text: Column) -> Column:
+def char_len(text: Column, space: str = SPACE) -> Column:
     """Characters that are not white space."""
-    return F.length(no_spaces(text))
+    return F.length(no_spaces(text, space))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -53,13 +53,13 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
 
-def class_ratio(text: Column, character_class: str = HAN_OR_PUNCTUATION) -> Column:
+def class_ratio(text: Column, character_class: str = HAN_OR_PUNCTUATION, space: str = SPACE) -> Column:
     """Share of the characters of a class among those that are not white space."""
-    return ratio(F.regexp_count(text, F.lit(character_class)), char_len(text))
+    return ratio(F.regexp_count(text, F.lit(character_class)), char_len(text, space))
 
 
-def whitespace_ratio(text: Column) -> Column:
-    return ratio(F.regexp_count(text, F.lit(SPACE)), F.length(text))
+def whitespace_ratio(text: Column, space: str = SPACE) -> Column:
+    return ratio(F.regexp_count(text, F.lit(space)), F.length(text))
 
 
 def unify_spaces(text: Column) -> Column:
